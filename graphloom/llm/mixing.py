@@ -48,7 +48,7 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent:
     total = F.sum("source_size").over(everything) * percent
     left = total - 100 * F.coalesce(F.sum("cap").over(before), F.lit(0))
     s = s.withColumn("level", left / (100 * F.sum("weight").over(after)))
-    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
+    s = s.withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
     capped = F.col("cap").cast("double")
     target = F.when(F.col("level").isNull(), capped).otherwise(F.least(capped, F.col("weight") * F.col("level")))
     return s.select("skey", "source", "source_size", "weight", target.alias("target"))
