@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, sharding, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = substring.substring_dedup(_documents(spark, sf_dir))
+    return rest.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = sharding.shard_plan(_documents(spark, sf_dir))
     return plan.select(
@@ -35,6 +40,7 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_hilbert_shards": op4_hilbert_shards,
 }
 
