@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding, substring
+from . import exact_dedup, minhash, mixing, sharding, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,11 +37,17 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(_documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_hilbert_shards": op4_hilbert_shards,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
 }
 
 ORACLE_SQL = {
