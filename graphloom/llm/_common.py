@@ -97,10 +97,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a run of texts: byte spans, the text each belongs to, and 64-bit hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, gaps: np.ndarray = SPACE):
         self.data, self.offsets = (LOWER[data] if lower else data), offsets
         n = len(data)
-        inside = ~SPACE[data]
+        inside = ~gaps[data]
         begins, stops = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
         stops[:-1] &= ~inside[1:]
@@ -114,8 +114,13 @@ class Words:
         self.first = np.concatenate(([0], np.cumsum(self.counts)))
 
     def hashes(self) -> np.ndarray:
-        raw = _spans(self.data.astype(np.uint64) + np.uint64(1), self.starts, self.ends, _BYTE_BASE)
-        return mixed(raw + (self.ends - self.starts).astype(np.uint64))
+        return self.heads(len(self.data) + 1)
+
+    def heads(self, most: int) -> np.ndarray:
+        """Hashes of the first `most` bytes of each word."""
+        ends = np.minimum(self.ends, self.starts + most)
+        raw = _spans(self.data.astype(np.uint64) + np.uint64(1), self.starts, ends, _BYTE_BASE)
+        return mixed(raw + (ends - self.starts).astype(np.uint64))
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each position, and which positions have k words of one text."""
