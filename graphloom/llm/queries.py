@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, minhash, mixing, sharding, substring, toxicity
+from . import exact_dedup, langid, minhash, mixing, quality, sharding, substring, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     profiles = langid.learn_profiles(docs.where(~langid.held_out("doc_id")))
@@ -63,6 +67,7 @@ QUERIES = {
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_toxicity": op5_toxicity,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op8_quality_rules": op8_quality_rules,
     "op10_language_id": op10_language_id,
 }
 
