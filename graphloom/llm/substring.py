@@ -10,9 +10,9 @@ smaller id go. Three steps find them, all linear in the text:
    smallest document of each owns it. Runs of windows that a document owns are its passages.
 3. Automata. Passages and the candidate stretches of all documents are dealt by the owner of their anchor
    to bins of bounded passage text. A task compiles the passages of a bin, cut into HALF-word phrases (any
-   window over a passage spans a whole phrase), into Aho-Corasick automata over word codes, streams the
-   stretches through them, and extends each phrase found word by word against its passage. Matches of at
-   least a window's length against a smaller document are the words to remove.
+   window over a passage spans a whole phrase), into Aho-Corasick automata over word codes and streams the
+   stretches through them. The windows around each phrase found are confirmed as a whole; those that a
+   smaller document owns are the words to remove.
 
 Anchors of very many documents spread their stretches over several bins that all get the passages, and the
 stretches are streamed, not gathered, so no task depends on the size of a group of copies.
@@ -67,7 +67,6 @@ def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            keys = batch.column(1).to_numpy(zero_copy_only=False)
             for i, _, data, offsets in steps(batch, "text"):
                 words = Words(data, offsets)
                 anchors, ok = _window_anchors(words, words.hashes(), window)
@@ -83,7 +82,7 @@ def _anchors(window: int):
                 new[1:] = (anchors[1:] != anchors[:-1]) | (doc[1:] != doc[:-1])
                 anchors, doc = anchors[new], doc[new]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(anchors)), pa.array(ids[i + doc]), pa.array(keys[i + doc])], names=["anchor", "id", "key"]
+                    [pa.array(signed(anchors)), pa.array(ids[i + doc])], names=["anchor", "id"]
                 )
 
     return run
@@ -199,87 +198,77 @@ def _letters(hashes: np.ndarray) -> str:
 
 
 class Automaton:
-    """Passages of a bin, compiled: the phrases they are cut into lead to (passage, offset)."""
+    """Passages of a bin, compiled: their phrases, and the owner of each of their windows."""
 
-    def __init__(self, half: int):
-        self.half, self.hashes, self.owners, self.words = half, [], [], 0
+    def __init__(self, half: int, window: int):
+        self.half, self.window, self.words = half, window, 0
         self.machine = ahocorasick.Automaton()
-        self.made = False
-
-    def add(self, owner: int, hashes: np.ndarray) -> None:
-        n, letters, k = len(self.hashes), _letters(hashes), self.half
-        self.hashes.append(hashes)
-        self.owners.append(owner)
+        self.parts: list[tuple[np.ndarray, int]] = []
+        self.keys = self.owners = None
+
+    def add(self, owner: int, hashes: np.ndarray, windows: np.ndarray) -> None:
+        letters = _letters(hashes)
+        for at in range(0, len(hashes) - self.half + 1, self.half):
+            self.machine.add_word(letters[at : at + self.half], True)
+        self.parts.append((windows, owner))
         self.words += len(hashes)
-        for at in range(0, len(hashes) - k + 1, k):
-            phrase = letters[at : at + k]
-            places = self.machine.get(phrase, None)
-            if places is None:
-                self.machine.add_word(phrase, [(n, at)])
-            else:
-                places.append((n, at))
-
-    def locate(self, owner: int, hashes: np.ndarray, window: int, gone: np.ndarray) -> None:
-        """Mark in gone the window starts of a stretch of document `owner` that a smaller document owns."""
-        if not self.made:
-            self.machine.make_automaton()
-            self.made = True
-        n = len(hashes)
-        seen: set[tuple[int, int]] = set()
-        for last, places in self.machine.iter(_letters(hashes)):
-            first = last - self.half + 1
-            low, high = max(0, last + 1 - window), min(first, n - window) + 1
-            if gone[low:high].all():
-                continue
-            for passage, at in places:
-                if self.owners[passage] >= owner or (passage, first - at) in seen:
-                    continue
-                seen.add((passage, first - at))
-                other, shift = self.hashes[passage], first - at
-                a, b = max(0, shift), min(n, shift + len(other))
-                unlike = np.flatnonzero(hashes[a:b] != other[a - shift : b - shift])
-                edges = np.concatenate(([-1], unlike, [b - a]))
-                for x in np.flatnonzero(np.diff(edges) > window):
-                    gone[a + edges[x] + 1 : a + edges[x + 1] - window + 1] = True
+
+    def _compile(self) -> None:
+        self.machine.make_automaton()
+        keys = np.concatenate([w for w, _ in self.parts])
+        owners = np.repeat(np.array([o for _, o in self.parts], np.int64), [len(w) for w, _ in self.parts])
+        order = np.lexsort((owners, keys))
+        keys, owners = keys[order], owners[order]
+        first = np.ones(len(keys), bool)
+        first[1:] = keys[1:] != keys[:-1]
+        self.keys, self.owners = keys[first], owners[first]
+
+    def locate(self, doc: int, hashes: np.ndarray, windows: np.ndarray, gone: np.ndarray) -> None:
+        """Mark in gone the window starts of a stretch of `doc` that a smaller document owns.
+
+        A phrase found makes the windows that span it candidates; each is then confirmed as a whole.
+        """
+        if self.keys is None:
+            self._compile()
+        ends = np.fromiter((e for e, _ in self.machine.iter(_letters(hashes))), np.int64)
+        if not len(ends):
+            return
+        span = np.zeros(len(hashes) + 1, np.int64)
+        np.add.at(span, np.maximum(ends + 1 - self.window, 0), 1)
+        np.add.at(span, ends - self.half + 2, -1)
+        at = np.flatnonzero(np.cumsum(span)[: len(windows)] > 0)
+        place = np.minimum(np.searchsorted(self.keys, windows[at]), len(self.keys) - 1)
+        gone[at[(self.keys[place] == windows[at]) & (self.owners[place] < doc)]] = True
 
 
 def _spans(window: int, automaton_words: int):
     """(id, key, start, end) of removed words, from rows sorted by bin with passages before stretches."""
-    half = window // 2
-
-    def hashes_of(texts: list[bytes]) -> list[np.ndarray]:
-        joined = np.frombuffer(b"".join(texts), np.uint8)
-        offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-        words = Words(joined, offsets)
-        return np.split(words.hashes(), words.first[1:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, book = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in range(6)]
-            texts = batch.column(6).to_pylist()
+            bins, passages, docs, keys, begins = (batch.column(c).to_pylist() for c in range(5))
             out: list[tuple[int, int, int, int]] = []
-            begin = 0
-            while begin < len(texts):
-                end, size = begin, 0
-                while end < len(texts) and (end == begin or size < (1 << 20)):
-                    size += len(texts[end])
-                    end += 1
-                for r, hashes in zip(range(begin, end), hashes_of(texts[begin:end]), strict=True):
-                    to, passage, doc, key, start, _ = (c[r] for c in columns)
-                    if to != current:
-                        current, book = to, []
-                    if passage:
-                        if not book or book[-1].words + len(hashes) > automaton_words and book[-1].words:
-                            book.append(Automaton(half))
-                        book[-1].add(doc, hashes)
+            for i, j, data, offsets in steps(batch, "text"):
+                words = Words(data, offsets)
+                hashes = words.hashes()
+                whole, _ = words.windows(hashes, window)
+                for r in range(i, j):
+                    if bins[r] != current:
+                        current, book = bins[r], []
+                    a, b = words.first[r - i], words.first[r - i + 1]
+                    own, windows = hashes[a:b], whole[a : b - window + 1]
+                    if passages[r]:
+                        if not book or book[-1].words and book[-1].words + len(own) > automaton_words:
+                            book.append(Automaton(window // 2, window))
+                        book[-1].add(docs[r], own, windows)
                         continue
-                    gone = np.zeros(max(0, len(hashes) - window + 1), bool)
+                    gone = np.zeros(len(windows), bool)
                     for automaton in book:
-                        automaton.locate(doc, hashes, window, gone)
-                    edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-                    out += [(doc, key, start + int(a), start + int(b) + window - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
-                begin = end
+                        automaton.locate(docs[r], own, windows, gone)
+                    edges = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0]))))
+                    for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                        out.append((docs[r], keys[r], begins[r] + x, begins[r] + y + window - 1))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)],
@@ -294,10 +283,10 @@ def _rest():
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(2)
             ids = batch.column(0)
             counts, removed, digests, kept_texts = [], [], [], []
-            for text, cut in zip(batch.column(1).to_pylist(), spans.to_pylist(), strict=True):
+            for key, text, cut in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                cut = [x for x in cut or () if x["key"] == key]
                 words = (text or "").encode().split()
                 n = len(words)
                 if cut:
@@ -325,24 +314,27 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     with_id = rows.where("id IS NOT NULL")
-    anchors = with_id.mapInArrow(_anchors(window), "anchor long, id long, key long")
+    anchors = with_id.select("id", "text").mapInArrow(_anchors(window), "anchor long, id long")
     recurring = anchors.groupBy("anchor").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count("*").alias("n"))
     recurring = recurring.where("owner < last")
     level = F.floor(F.log2(F.col("n"))).cast("int")
     recurring = staged(recurring.select("anchor", "owner", level.alias("level")))
-    found = anchors.join(recurring, "anchor").groupBy("id", "key")
-    found = staged(found.agg(F.collect_list(F.struct("anchor", "owner", "level")).alias("anchors")))
+    found = anchors.join(recurring, "anchor").groupBy("id")
+    found = staged(found.agg(F.collect_set(F.struct("anchor", "owner", "level")).alias("anchors")))
 
-    dealt = with_id.select("id", "key", "text")
-    near = dealt.join(found, ["id", "key"]).select("id", "key", "anchors", "text")
+    # All joins with the texts are by id alone, so their one exchange is reused.
+    near = with_id.join(found, "id").select("id", "key", "anchors", "text")
     windows = near.mapInArrow(_candidate_windows(window), "whash long, id long")
     owned = windows.groupBy("whash").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id < last")
     owned = owned.groupBy("id").agg(F.collect_list("whash").alias("owned"))
     bins = max(1, recurring.count() * ANCHOR // BIN_WORDS)
-    both = near.join(owned, "id", "left").select("id", "key", "anchors", "text", F.coalesce("owned", F.array().cast("array<long>")).alias("owned"))
+    both = near.join(owned, "id", "left")
+    both = both.select("id", "key", "anchors", "text", F.coalesce("owned", F.array().cast("array<long>")).alias("owned"))
     pieces = both.mapInArrow(_pieces(window, bins), PIECES)
     pieces = pieces.repartition("bin").sortWithinPartitions("bin", F.col("passage").desc(), "id")
     spans = pieces.mapInArrow(_spans(window, AUTOMATON_WORDS), "id long, key long, start int, end int")
-    spans = spans.groupBy("id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    out = rows.join(spans, ["id", "key"], "left").select("id", "text", "spans")
-    return out.mapInArrow(_rest(), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    spans = spans.groupBy("id").agg(F.collect_list(F.struct("key", "start", "end")).alias("spans"))
+    out = with_id.join(spans, "id", "left").select("id", "key", "text", "spans")
+    no_id = rows.where("id IS NULL").select("id", "key", "text", F.lit(None).cast(out.schema["spans"].dataType).alias("spans"))
+    schema = "id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    return out.unionByName(no_id).mapInArrow(_rest(), schema)
