@@ -3,22 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import exact_dedup, mixing
+from graphloom.llm import exact_dedup, minhash, mixing, packing, toxicity
 from graphloom.llm._common import staged
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the severity limit."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return exact_dedup.exact_dedup(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component at similarity 0.8 of five-word shingles stays."""
+    return minhash.near_dedup(docs, shingle=5)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often, and as far, as the mixture takes them."""
-    return mixing.mix_sources(docs)
+    mixed = mixing.mix_sources(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the mixture placed in sequences."""
+    return packing.pack(docs).withColumnRenamed("id", "doc_id")
+
 
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
-STAGES = [("exact_dedup", exact), ("mixing", mix)]
+#: Learning, hashing and packing are beyond SQL; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 

@@ -32,7 +32,7 @@ STEMS = (4, 5, 6, 7, 8)
 MAX_LABELLED = 20_000
 MAX_FEATURES = 4096
 #: Least standardised log-odds of a feature, and documents it must be in.
-LEAST_Z, LEAST_DOCS = 3.5, 4
+LEAST_Z, LEAST_DOCS = 3.2, 4
 GRADES = 3
 #: Expected severity from which a document is rejected.
 LIMIT = 0.5
@@ -167,14 +167,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return Model(features, weights, thresholds)
 
 
-def _scorer(model: Model | None):
+def _scorer(model: Model | None, column: str):
+    """All columns of a batch, then expected_severity and grade of the text in `column`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.full(1 << BITS, -1, np.int64)
         if model:
             table[model.features] = np.arange(len(model.features))
         for batch in batches:
             severity, grade = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int32)
-            for i, j, data, offsets in steps(batch, "text") if model else ():
+            for i, j, data, offsets in steps(batch, column) if model else ():
                 d, f, v = _values(Words(data, offsets, lower=True, gaps=GAPS), table)
                 n = len(model.features)
                 pairs, at = np.unique(d * n + f, return_inverse=True)
@@ -184,7 +186,7 @@ def _scorer(model: Model | None):
                 severity[i:j] = np.where(has, p.sum(axis=1), 0.0)
                 grade[i:j] = np.where(has, (p >= 0.5).sum(axis=1), 0)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(severity), pa.array(grade)], names=[*batch.schema.names[:-1], "expected_severity", "grade"]
+                [*batch.columns, pa.array(severity), pa.array(grade)], names=[*batch.schema.names, "expected_severity", "grade"]
             )
 
     return run
@@ -197,14 +199,16 @@ def score_toxicity(
     model = train(docs, labels, id_col, text_col, label_col, max_labelled)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_scorer(model), f"id {kind}, expected_severity double, grade int")
+    scored = rows.mapInArrow(_scorer(model, "text"), f"id {kind}, text string, expected_severity double, grade int")
+    return scored.drop("text")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: float = LIMIT, **params) -> DataFrame:
     """The documents below the limit, with all their columns."""
     model = train(docs, labels, id_col, text_col, params.get("label_col", "toxic"), params.get("max_labelled", MAX_LABELLED))
-    carried = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    rows = docs.select(*carried, F.col(text_col).alias("text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    out = rows.mapInArrow(_scorer(model), f"{schema}, expected_severity double, grade int").where(F.col("expected_severity") < limit)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    names = [f"c{i}" for i in range(len(docs.columns))]  # other columns may clash with those added
+    rows = docs.toDF(*names)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    scorer = _scorer(model, names[docs.columns.index(text_col)])
+    out = rows.mapInArrow(scorer, f"{schema}, expected_severity double, grade int").where(F.col("expected_severity") < limit)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
