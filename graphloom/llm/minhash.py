@@ -5,11 +5,14 @@ rest of the work is on classes.
 
 1. Post each class under its COORDINATES (coordinate, value) pairs. Values held by one class only can never
    collide, and a class with fewer than MATCHES others cannot reach the match threshold: both drop out.
-2. Prefix: two classes that share MATCHES pairs share one among the rarest (count - MATCHES + 1) of each,
+2. Count in how many of the remaining sets each shingle is. Only shared shingles can be in an intersection,
+   so a class needs `percent` of its shingles shared, and a pair a bound that follows from both counts. This
+   parts texts that have nothing in common but a frequent passage.
+3. Prefix: two classes that share MATCHES pairs share one among the rarest (count - MATCHES + 1) of each,
    in one order by frequency, so only those are posted again. Very frequent values end up outside.
-3. Merge with skips: the smallest class of a posting list stands for it, and only its collisions with the
-   others are counted; pairs with MATCHES or more are confirmed on the full sets. Members that are then in
-   one component need no comparison. What stays apart in a list is compared across components only: long
+4. Merge with skips: the most central class of a posting list stands for it, and only its collisions with
+   the others are counted; pairs with MATCHES or more are confirmed on the full sets. Members that are then
+   in one component need no comparison. What stays apart in a list is compared across components only: long
    lists (over SHORT) by further seeded stand-ins first, then all lists exhaustively.
 
 With 48 coordinates and 24 matches a pair at similarity 0.8 is missed with a chance under one in a million.
@@ -105,11 +108,18 @@ def _full_sets(k: int):
     return run
 
 
-def _collisions(pairs: DataFrame, posted: DataFrame, matches: int, percent: int) -> DataFrame:
-    """The pairs whose signatures match in `matches` coordinates and whose set sizes allow a link."""
-    a, b = (posted.select(*[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "tokens")]) for side in "ab")
+def _in_lists(tokens: DataFrame, keys: list[str], matches: int) -> DataFrame:
+    """Classes with `matches` values at least that others have too; tokens in order of frequency."""
+    frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    posted = tokens.join(frequent, "token").groupBy(*keys).agg(F.collect_list(F.struct("df", "token")).alias("found"))
+    posted = posted.where(F.size("found") >= matches)
+    return posted.select(*keys, F.transform(F.array_sort("found"), lambda t: t["token"]).alias("tokens"))
+
+
+def _collisions(pairs: DataFrame, posted: DataFrame, matches: int) -> DataFrame:
+    """The pairs whose signatures match in `matches` coordinates."""
+    a, b = (posted.select(F.col("rep").alias(f"rep_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
     near = pairs.join(a, F.col("a") == F.col("rep_a")).join(b, F.col("b") == F.col("rep_b"))
-    near = near.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     return near.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= matches).select("a", "b")
 
 
@@ -123,15 +133,26 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b").distinct()
 
 
+def _possible(percent: int):
+    """Whether sizes and shared shingles of two classes (n_a, s_a, n_b, s_b) allow a link."""
+    return (100 + percent) * F.least("s_a", "s_b") >= percent * (F.col("n_a") + F.col("n_b"))
+
+
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    """Postings renamed for one side of a pair."""
+    names = {"rep": side, "n": f"n_{side}", "s": f"s_{side}", "label": f"label_{side}"}
+    return rows.select("token", *[F.col(c).alias(new) for c, new in names.items() if c in rows.columns])
+
+
 def _apart(postings: DataFrame, labels: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """Postings with their component, and the lists that span several: length and a seeded stand-in."""
     at = postings.join(labels, F.col("rep") == F.col("node"), "left")
-    at = at.select("token", "rep", F.coalesce("label", "rep").alias("label"))
+    at = at.select("token", "rep", "n", "s", F.coalesce("label", "rep").alias("label"))
     lists = at.groupBy("token").agg(
         F.count("*").alias("m"),
         F.min("label").alias("low"),
         F.max("label").alias("high"),
-        F.min(F.struct(F.xxhash64("rep", F.lit(seed)), "rep", "label")).alias("stand"),
+        F.min(F.struct(F.xxhash64("rep", F.lit(seed)), "rep", "n", "s", "label")).alias("stand"),
     )
     return at, lists.where("low < high")
 
@@ -155,39 +176,46 @@ def near_duplicates(
     classes = staged(filled.groupBy("set_a", "set_b", "n", "tokens").agg(F.min("id").alias("rep")))
 
     tokens = classes.select("rep", "n", F.explode("tokens").alias("token"))
-    frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    posted = tokens.join(frequent, "token").groupBy("rep", "n").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
-    posted = posted.where(F.size("shared") >= matches)
-    in_order = F.transform(F.array_sort("shared"), lambda t: t["token"])
-    posted = posted.select("rep", "n", in_order.alias("tokens"))
-    posted = staged(posted.withColumn("prefix", F.slice("tokens", 1, F.size("tokens") - (matches - 1))))
+    posted = staged(_in_lists(tokens, ["rep", "n"], matches))
 
     wanted = posted.select(F.col("rep").alias("id")).distinct()
     wanted = F.broadcast(wanted) if posted.count() <= BROADCAST_IDS else wanted
     sets = rows.join(wanted, "id", "left_semi").mapInArrow(_full_sets(shingle), "id long, shingles array<long>")
     sets = staged(sets.where(F.size("shingles") > 0))
 
-    postings = posted.select("rep", F.explode("prefix").alias("token"))
+    each = sets.select(F.col("id").alias("rep"), F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(shared, "shingle").groupBy("rep").agg(
+        F.count("*").alias("s"), F.sum(F.floor(16 * F.log2("df")).cast("long")).alias("weight")
+    )
+    posted = posted.join(shared, "rep").where(100 * F.col("s") >= percent * F.col("n"))
+    posted = posted.withColumn("central", F.floor(F.col("weight") / F.col("n")).cast("long")).drop("weight")
+    tokens = posted.select("rep", "n", "s", "central", F.explode("tokens").alias("token"))
+    posted = staged(_in_lists(tokens, ["rep", "n", "s", "central"], matches))
+    prefix = F.explode(F.slice("tokens", 1, F.size("tokens") - (matches - 1)))
+    postings = posted.select("rep", "n", "s", "central", prefix.alias("token"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return staged(_confirmed(_collisions(pairs, posted, matches, percent), sets, percent))
+        return staged(_confirmed(_collisions(pairs, posted, matches), sets, percent))
 
-    heads = postings.groupBy("token").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where("m > 1")
-    links = linked(postings.join(heads, "token").select("a", F.col("rep").alias("b")))
+    heads = postings.groupBy("token").agg(F.max(F.struct("central", "rep", "n", "s")).alias("head"), F.count("*").alias("m"))
+    heads = heads.where("m > 1").select("token", *[F.col(f"head.{c}").alias(new) for c, new in (("rep", "a"), ("n", "n_a"), ("s", "s_a"))])
+    links = linked(_side(postings, "b").join(heads, "token").where(_possible(percent)).select("a", "b"))
     labels = staged(components(links))
     for nth in range(ROUNDS):
         at, apart = _apart(postings, labels, nth)
         long_lists = staged(apart.where(F.col("m") > SHORT))
         if long_lists.isEmpty():
             break
-        pairs = at.join(long_lists, "token").where("label <> stand.label")
-        links = links.unionByName(linked(pairs.select(F.col("stand.rep").alias("a"), F.col("rep").alias("b"))))
+        stands = long_lists.select("token", *[F.col(f"stand.{c}").alias(c) for c in ("rep", "n", "s", "label")])
+        pairs = _side(at, "b").join(_side(stands, "a"), "token").where("label_a <> label_b").where(_possible(percent))
+        links = links.unionByName(linked(pairs.select("a", "b")))
         labels = staged(components(links))
     at, apart = _apart(postings, labels, ROUNDS)
     at = at.join(apart.select("token"), "token", "left_semi")
-    left, right = (at.select("token", F.col("rep").alias(r), F.col("label").alias(f"label_{r}")) for r in "ab")
-    across = linked(left.join(right, "token").where("a < b AND label_a <> label_b").select("a", "b"))
+    across = _side(at, "a").join(_side(at, "b"), "token").where("a < b AND label_a <> label_b").where(_possible(percent))
+    across = linked(across.select("a", "b"))
     if not across.isEmpty():
         labels = staged(components(links.unionByName(across)))
     reps = classes.select("set_a", "set_b", "rep").join(labels, F.col("rep") == F.col("node"), "left")
