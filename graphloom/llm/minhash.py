@@ -12,8 +12,9 @@ rest of the work is on classes.
    in one order by frequency, so only those are posted again. Very frequent values end up outside.
 4. Merge with skips: the most central class of a posting list stands for it, and only its collisions with
    the others are counted; pairs with MATCHES or more are confirmed on the full sets. Members that are then
-   in one component need no comparison. What stays apart in a list is compared across components only: long
-   lists (over SHORT) by further seeded stand-ins first, then all lists exhaustively.
+   in one component need no comparison. What stays apart in a list is compared across components only: in
+   short lists pair by pair, in lists over SHORT by matrix products of the members' sets in blocks, which
+   give all intersections of a block at once and hand on one link for each two components.
 
 With 48 coordinates and 24 matches a pair at similarity 0.8 is missed with a chance under one in a million.
 Links are exact: 100 x intersection >= percent x union of the full sets.
@@ -39,9 +40,11 @@ SHINGLE = 4
 PERCENT = 80
 COORDINATES = 48
 MATCHES = 24
-#: Lists up to this long skip the rounds of further stand-ins.
+#: Lists up to this long are compared pair by pair; longer ones in blocks of so many classes.
 SHORT = 32
-ROUNDS = 4
+BLOCK = 1024
+#: Shingles that one matrix product takes.
+COLUMNS = 4096
 #: Ids that may be broadcast to pick texts; with more, the join shuffles them.
 BROADCAST_IDS = 500_000
 
@@ -144,17 +147,73 @@ def _side(rows: DataFrame, side: str) -> DataFrame:
     return rows.select("token", *[F.col(c).alias(new) for c, new in names.items() if c in rows.columns])
 
 
-def _apart(postings: DataFrame, labels: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Postings with their component, and the lists that span several: length and a seeded stand-in."""
+def _apart(postings: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings with their component, and the lists that span several, with their length."""
     at = postings.join(labels, F.col("rep") == F.col("node"), "left")
     at = at.select("token", "rep", "n", "s", F.coalesce("label", "rep").alias("label"))
-    lists = at.groupBy("token").agg(
-        F.count("*").alias("m"),
-        F.min("label").alias("low"),
-        F.max("label").alias("high"),
-        F.min(F.struct(F.xxhash64("rep", F.lit(seed)), "rep", "n", "s", "label")).alias("stand"),
-    )
-    return at, lists.where("low < high")
+    lists = at.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return at, lists.where("low < high").select("token", "m")
+
+
+def _products(percent: int):
+    """(a, b): of all classes of a block, one link for each two components that have any."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        reps, labels = (table.column(c).to_numpy() for c in ("rep", "label"))
+        m = len(reps)
+        sets = table.column("shingles").combine_chunks()
+        offsets = np.asarray(sets.offsets).astype(np.int64)
+        sizes = np.diff(offsets)
+        doc = np.repeat(np.arange(m), sizes)
+        flat = np.asarray(sets.values)[offsets[0] : offsets[-1]]
+        values, column = np.unique(flat, return_inverse=True)
+        shared = np.bincount(column, minlength=len(values)) > 1
+        doc, column = doc[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+        order = np.argsort(column, kind="stable")
+        doc, column = doc[order], column[order]
+        both = np.zeros((m, m), np.float32)
+        for first in range(0, int(shared.sum()), COLUMNS):
+            i, j = np.searchsorted(column, (first, first + COLUMNS))
+            part = np.zeros((m, COLUMNS), np.float32)
+            part[doc[i:j], column[i:j] - first] = 1
+            both += part @ part.T
+        total = sizes[:, None] + sizes[None, :]
+        i, j = np.nonzero(((100 + percent) * both.astype(np.int64) >= percent * total) & (labels[:, None] < labels[None, :]))
+        _, once = np.unique(np.stack([labels[i], labels[j]]), axis=1, return_index=True)
+        return pa.table({"a": pa.array(reps[i[once]]), "b": pa.array(reps[j[once]])})
+
+    return run
+
+
+def _blocks(at: DataFrame, lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across the components of long lists.
+
+    The component with the most members of a list is never compared with itself: its blocks meet the rest's
+    blocks only, so a large component and a few outsiders cost no more than its members.
+    """
+    at = at.join(lists.select("token"), "token", "left_semi")
+    by = at.groupBy("token", "label").agg(F.count("*").alias("c"))
+    by = by.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("bulk"), F.max("c").alias("c"), F.sum("c").alias("m"))
+    at = at.join(by, "token")
+    blocks = lambda n: F.greatest(F.ceil(n / F.lit(BLOCK)), F.lit(1)).cast("int")
+    few, rest = F.col("m") <= BLOCK, blocks(F.col("m") - F.col("c"))
+    in_bulk = (F.col("label") == F.col("bulk")) & ~few
+    own = F.pmod(F.xxhash64("rep"), F.when(in_bulk, blocks(F.col("c"))).otherwise(F.when(few, 1).otherwise(rest))).cast("int")
+    at = at.select("token", "rep", "label", in_bulk.alias("in_bulk"), own.alias("own"), F.when(few, 1).otherwise(rest).alias("n_rest"), F.when(few, 0).otherwise(blocks(F.col("c"))).alias("n_bulk"))
+    pair = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
+    to_rest = F.transform(F.sequence(F.lit(0), F.col("n_rest") - 1), lambda j: pair(F.least("own", j), F.greatest("own", j)))
+    to_bulk = F.when(F.col("n_bulk") > 0, F.transform(F.sequence(F.lit(1), F.greatest("n_bulk", F.lit(1))), lambda j: pair(F.col("own"), -j)))
+    from_bulk = F.transform(F.sequence(F.lit(0), F.col("n_rest") - 1), lambda i: pair(i, -1 - F.col("own")))
+    none = F.array().cast("array<struct<p:int,q:int>>")
+    places = F.when(F.col("in_bulk"), from_bulk).otherwise(F.concat(to_rest, F.coalesce(to_bulk, none)))
+    at = at.select("token", "rep", "label", F.explode(places).alias("at"))
+    at = at.join(sets.select(F.col("id").alias("rep"), "shingles"), "rep").select("token", "at.p", "at.q", "rep", "label", "shingles")
+    return at.groupBy("token", "p", "q").applyInArrow(_drop_key(_products(percent)), "a long, b long").distinct()
+
+
+def _drop_key(run):
+    return lambda table: run(table.select(["rep", "label", "shingles"]))
 
 
 def near_duplicates(
@@ -203,19 +262,14 @@ def near_duplicates(
     heads = heads.where("m > 1").select("token", *[F.col(f"head.{c}").alias(new) for c, new in (("rep", "a"), ("n", "n_a"), ("s", "s_a"))])
     links = linked(_side(postings, "b").join(heads, "token").where(_possible(percent)).select("a", "b"))
     labels = staged(components(links))
-    for nth in range(ROUNDS):
-        at, apart = _apart(postings, labels, nth)
-        long_lists = staged(apart.where(F.col("m") > SHORT))
-        if long_lists.isEmpty():
-            break
-        stands = long_lists.select("token", *[F.col(f"stand.{c}").alias(c) for c in ("rep", "n", "s", "label")])
-        pairs = _side(at, "b").join(_side(stands, "a"), "token").where("label_a <> label_b").where(_possible(percent))
-        links = links.unionByName(linked(pairs.select("a", "b")))
-        labels = staged(components(links))
-    at, apart = _apart(postings, labels, ROUNDS)
-    at = at.join(apart.select("token"), "token", "left_semi")
-    across = _side(at, "a").join(_side(at, "b"), "token").where("a < b AND label_a <> label_b").where(_possible(percent))
+    at, apart = _apart(postings, labels)
+    apart = staged(apart)
+    short = at.join(apart.where(F.col("m") <= SHORT), "token", "left_semi")
+    across = _side(short, "a").join(_side(short, "b"), "token").where("a < b AND label_a <> label_b").where(_possible(percent))
     across = linked(across.select("a", "b"))
+    long = apart.where(F.col("m") > SHORT)
+    if not long.isEmpty():
+        across = across.unionByName(staged(_blocks(at, long, sets, percent)))
     if not across.isEmpty():
         labels = staged(components(links.unionByName(across)))
     reps = classes.select("set_a", "set_b", "rep").join(labels, F.col("rep") == F.col("node"), "left")

@@ -60,9 +60,12 @@ def test_near_duplicates(spark, seed):
         assert r.kept == (r.id == want[r.id][1])
 
 
-def test_near_duplicates_long_lists(spark, monkeypatch):
-    """A group of near copies longer than SHORT takes the rounds of stand-ins."""
+@pytest.mark.parametrize("block", [3, 1024])
+def test_near_duplicates_long_lists(spark, monkeypatch, block):
+    """A group of near copies longer than SHORT is compared in blocks, here of three."""
     monkeypatch.setattr(minhash, "SHORT", 4)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "COLUMNS", 50)
     rows = [r for r in make_rows(5) if r[0] < 60]
     base = " ".join(f"w{i}" for i in range(100)).split()
     for i in range(24):  # a chain: neighbours are near, the ends are not
