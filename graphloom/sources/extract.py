@@ -11,7 +11,7 @@ import ast
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,21 +181,22 @@ EXTRACTORS["python"] = python_rows
 
 def extract(files: DataFrame) -> DataFrame:
     """ROW rows of (file, language, content): kinds symbol, call, import, heritage, component, error."""
-    names = [c.split()[0] for c in ROW.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ROW.split(", ")])
     extractors = dict(EXTRACTORS)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for file, language, text in zip(frame["file"], frame["language"], frame["content"], strict=True):
+            for file, language, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 try:
                     rows = list(extractors[language](file, text) if language in extractors else pattern_rows(language, file, text))
                 except Exception as e:  # a broken file is a row, not a failed job
                     rows = [{"kind": "error", "error": f"{type(e).__name__}: {e}"[:300]}]
                 out += [{"file": file, "language": language} | r for r in rows]
-            yield pd.DataFrame(out, columns=names)
+            yield pa.RecordBatch.from_pylist(out, schema)
 
-    return files.select("file", "language", "content").mapInPandas(run, ROW)
+    return files.select("file", "language", "content").mapInArrow(run, ROW)
 
 
 def symbols(rows: DataFrame) -> DataFrame:
