@@ -2,38 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import staged
+
+__all__ = ["LOWER", "SPACE", "WORD", "Words", "mixed", "row_key", "signed", "staged", "steps"]
+
 #: Word pattern of all contracts: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step works on; whole documents only, so a longer one is a step of its own.
 STEP_BYTES = 1 << 20
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends here and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_key(id_col: str, text_col: str):
     """A non-null key of a row by id and text; rows that repeat both share it."""
     text = F.col(text_col)

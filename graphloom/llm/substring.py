@@ -337,4 +337,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = with_id.join(spans, "id", "left").select("id", "key", "text", "spans")
     no_id = rows.where("id IS NULL").select("id", "key", "text", F.lit(None).cast(out.schema["spans"].dataType).alias("spans"))
     schema = "id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    return out.unionByName(no_id).mapInArrow(_rest(), schema)
+    return out.mapInArrow(_rest(), schema).unionByName(no_id.mapInArrow(_rest(), schema))

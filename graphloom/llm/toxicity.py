@@ -97,7 +97,8 @@ def _rows(features: np.ndarray):
                 v = np.bincount(at, v, len(pairs))
                 cuts = np.searchsorted(pairs // max(1, len(features)), np.arange(j - i + 1))
                 ends = pa.array(cuts.astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (pairs % max(1, len(features)), v)]
+                entries = ((pairs % max(1, len(features))).astype(np.int32), v.astype(np.float32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in entries]
                 yield pa.RecordBatch.from_arrays([pa.array(toxic[i:j].astype(np.int32)), *lists], names=["toxic", "f", "v"])
 
     return run
@@ -154,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     if not picked:
         return None
     features, strength = np.array([f for f, _ in picked]), np.array([s for _, s in picked])
-    found = rows.mapInArrow(_rows(features), "toxic int, f array<long>, v array<double>").collect()
+    found = rows.mapInArrow(_rows(features), "toxic int, f array<int>, v array<float>").collect()
     toxic = np.array([r["toxic"] for r in found])
     row = np.repeat(np.arange(len(found)), [len(r["f"]) for r in found])
     col = np.concatenate([np.array(r["f"], np.int64) for r in found])
