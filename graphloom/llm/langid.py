@@ -41,14 +41,14 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
     keep = np.ones(len(x), bool)
     keep[1:] = (x[1:] != 32) | (x[:-1] != 32) | (doc[1:] != doc[:-1])
     x, doc = x[keep].astype(np.int32), doc[keep]
-    # a space before and after each text
-    edges = np.flatnonzero(np.diff(doc)) + 1
-    at = np.concatenate(([0], edges, [len(x)])) if len(x) else np.zeros(0, np.int64)
     if not len(x):
         return
-    owner = doc[np.concatenate(([0], edges))]
-    at = np.concatenate((at[:-1], at[1:]))
-    x, doc = np.insert(x, at, 32), np.insert(doc, at, np.concatenate((owner, owner)))
+    # A space after and before each text; where two meet, the first one's comes first.
+    edges = np.flatnonzero(np.diff(doc)) + 1
+    starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(x)]))
+    owners = doc[starts]
+    at = np.concatenate((ends, starts))
+    x, doc = np.insert(x, at, 32), np.insert(doc, at, np.concatenate((owners, owners)))
     yield x[x != 32], doc[x != 32]
     two = x[:-1] << 8 | x[1:]
     ok = (doc[:-1] == doc[1:]) & (two != (32 << 8 | 32))

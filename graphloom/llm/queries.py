@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, minhash, mixing, packing, quality, sharding, substring, toxicity, url_filter
+from . import exact_dedup, langid, minhash, mixing, oracles, packing, quality, sharding, substring, toxicity, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,11 +82,13 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
+#: The others learn, fit or pack beyond SQL; tests hold them against brute force and held-out labels.
 ORACLE_SQL = {
-    "op1_exact_dedup": """
-        WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
-        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = max(doc_id) OVER w AS kept, text_sha256
-        FROM d WINDOW w AS (PARTITION BY text_sha256)
-    """,
+    "op1_exact_dedup": oracles.EXACT,
+    "op2_mix_sources": oracles.MIXING,
+    "op3_substring_dedup": oracles.SUBSTRING,
+    "op4_hilbert_shards": oracles.SHARDING,
+    "op6_minhash_near_dedup": oracles.NEAR,
+    "op9_url_filter": oracles.url_sql(url_filter.RULES),
+    "op10_language_id": oracles.LANGUAGE,
 }

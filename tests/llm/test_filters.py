@@ -164,6 +164,18 @@ def test_out_of_place_by_hand(spark):
     assert r["lang_pred"] == "y" and r["score"] == pytest.approx(1 - 401 / 1200)
 
 
+def test_grams_of_several_texts_are_those_of_each():
+    texts = ["Ab, c", "", "!!", "é x", "b"]
+    def grams(batch):
+        data = np.frombuffer("".join(t.lower() for t in batch).encode(), np.uint8)
+        offsets = np.concatenate(([0], np.cumsum([len(t.lower().encode()) for t in batch])))
+        return sorted((int(d), int(c)) for codes, doc in langid._grams(data, offsets) for c, d in zip(codes, doc, strict=True))
+
+    alone = sorted((i, c) for i, t in enumerate(texts) for _, c in grams([t]))
+    assert grams(texts) == alone
+    assert (4, (32 << 16 | ord("b") << 8 | 32) | 1 << 25) in alone
+
+
 def test_held_out_is_crc32(spark):
     import zlib
 
