@@ -219,14 +219,23 @@ def extraction_stats(rows: DataFrame) -> DataFrame:
 
 def build_graph(files: DataFrame, aliases: dict[str, str] | None = None):
     """The graph of a source tree: extracted rows, linked."""
+    from ..storage import staged
+
+    return link_rows(staged(extract(files)), files.select("file", "language"), aliases)
+
+
+def link_rows(rows: DataFrame, file_table: DataFrame, aliases: dict[str, str] | None = None):
+    """The graph of extracted rows and their (file, language) table.
+
+    Reading sources is the costly part and goes file by file; linking always sees all rows, so an
+    incremental index links calls between changed and unchanged files like a full one.
+    """
     from ..graph import CodeGraph
     from ..operators import linking
     from ..storage import staged
 
-    rows = staged(extract(files))
     syms = staged(symbols(rows))
     raw_imports = rows.where("kind = 'import'").select("file", F.col("detail").alias("source"), "names", F.col("start_line").alias("line"))
-    file_table = files.select("file", "language")
     imports = linking.resolve_imports(raw_imports, file_table, aliases)
     calls = linking.link_calls(
         rows.where("kind = 'call'").select("file", F.col("name").alias("callee"), F.col("start_line").alias("line")),
