@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import cosine, index_tokens, search_tokens
 from ..graph import CodeGraph
+from ..storage import staged
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -51,6 +53,26 @@ def bm25(index: DataFrame, stats: DataFrame, query: str, limit: int = 20) -> Dat
     return scored.orderBy(F.desc(F.round("score", 9)), "seq", "id").limit(limit).select("id", "score")
 
 
+def bm25_scan(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """bm25 without an index: one pass over (id, seq, tokens) that keeps lengths and the query's counts only."""
+    spark = docs.sparkSession
+    asked = spark.range(1).select(F.explode(search_tokens(F.lit(query))).alias("t")).groupBy("t").count().orderBy("t").collect()
+    if not asked:
+        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
+    occurrences = lambda word: F.size(F.filter("tokens", lambda t: t == word))
+    tf = [occurrences(a["t"]).alias(f"tf{k}") for k, a in enumerate(asked)]
+    counts = staged(docs.select("id", "seq", F.size("tokens").alias("dl"), *tf))
+    has = [F.count_if(F.col(f"tf{k}") > 0) for k in range(len(asked))]
+    n_docs, avgdl, *df = counts.agg(F.count("*"), F.avg("dl"), *has).first()
+    score = F.lit(0.0)
+    for k, a in enumerate(asked):
+        idf = math.log(1 + (n_docs - df[k] + 0.5) / (df[k] + 0.5))
+        tf = F.col(f"tf{k}")
+        score = score + a["count"] * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
+    scored = counts.select("id", "seq", score.alias("score")).where("score > 0")
+    return scored.orderBy(F.desc(F.round("score", 9)), "seq", "id").limit(limit).select("id", "score")
+
+
 def prefix_search(graph: CodeGraph, query: str, limit: int = 50) -> DataFrame:
     """Nodes with a token, in name, package or file, that starts with one of the query's."""
     spark = graph.nodes.sparkSession

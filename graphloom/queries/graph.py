@@ -9,6 +9,7 @@ from ..operators import community, export, linking, lookup, process, rename, rev
 from ..plans import pattern
 from ..sources import graph_store
 from ..sources.derived import GRAPH_CTE, HUNKS_CTE, derived_graph, derived_hunks
+from ..storage import staged
 from . import register
 
 FLAGSHIP = "impact_upstream"
@@ -19,11 +20,18 @@ def sql(body: str, *more: str) -> str:
     return f"WITH RECURSIVE {', '.join([GRAPH_CTE, *more])} {body}"
 
 
-def on_graph(name: str, oracle: str | None = None, *more: str):
-    """Registers a function of the graph; the oracle's text follows the graph's common table expressions."""
+def on_graph(name: str, oracle: str | None = None, *more: str, again: bool = False):
+    """Registers a function of the graph; the oracle's text follows the graph's common table expressions.
+
+    again: the operator reads the graph level by level, so the derivation is written down first.
+    """
 
     def add(f):
-        register(name, sql(oracle, *more) if oracle else None)(lambda spark, sf_dir: f(derived_graph(spark, sf_dir)))
+        def run(spark, sf_dir):
+            g = derived_graph(spark, sf_dir)
+            return f(g.staged() if again else g)
+
+        register(name, sql(oracle, *more) if oracle else None)(run)
         return f
 
     return add
@@ -32,7 +40,7 @@ def on_graph(name: str, oracle: str | None = None, *more: str):
 def on_review(name: str, oracle: str | None = None, *more: str):
     def add(f):
         full = sql(oracle, HUNKS_CTE, *more) if oracle else None
-        register(name, full)(lambda spark, sf_dir: f(derived_graph(spark, sf_dir), derived_hunks(spark, sf_dir)))
+        register(name, full)(lambda spark, sf_dir: f(derived_graph(spark, sf_dir).staged(), derived_hunks(spark, sf_dir)))
         return f
 
     return add
@@ -285,7 +293,7 @@ def rule_unused_exports(g):
     return rules.unused_exports(g)
 
 
-@on_graph("rule_circular_deps")
+@on_graph("rule_circular_deps", again=True)
 def rule_circular_deps(g):
     return rules.circular_deps(g)
 
@@ -294,6 +302,7 @@ def rule_circular_deps(g):
     "packages_on_cycles",
     "SELECT DISTINCT a AS id FROM reach WHERE a = b",
     "reach AS (SELECT source_id AS a, target_id AS b FROM edges WHERE type = 'IMPORTS' UNION SELECT r.a, e.target_id FROM reach r JOIN edges e ON e.source_id = r.b AND e.type = 'IMPORTS')",
+    again=True,
 )
 def packages_on_cycles(g):
     return rules.packages_on_cycles(g)
@@ -339,7 +348,7 @@ UP = f"""up AS (SELECT '{TARGET}' AS id, 0 AS depth UNION SELECT e.source_id, u.
 TEST_FILE = "regexp_matches(n.file, '(?i)[._]test\\.|[._]spec\\.|__tests__|test/|tests/|_test\\.go$')"
 
 
-@on_graph("impact_upstream", f"SELECT r.depth, n.id, n.name, n.type, n.file, n.start_line AS line, n.is_test OR {TEST_FILE} AS is_test FROM reached r JOIN nodes n ON n.id = r.id WHERE r.depth > 0", UP)
+@on_graph("impact_upstream", f"SELECT r.depth, n.id, n.name, n.type, n.file, n.start_line AS line, n.is_test OR {TEST_FILE} AS is_test FROM reached r JOIN nodes n ON n.id = r.id WHERE r.depth > 0", UP, again=True)
 def impact_upstream(g):
     return traversal.impact(g, TARGET).select("depth", "id", "name", "type", "file", "line", "is_test")
 
@@ -348,6 +357,7 @@ def impact_upstream(g):
     "impact_first_edges",
     f"""SELECT source_id AS id, arg_min(type, (edge_seq, id)) AS edge_type, arg_min(confidence, (edge_seq, id)) AS confidence FROM edges
     WHERE target_id = '{TARGET}' AND source_id <> target_id AND source_id IN (SELECT id FROM nodes) GROUP BY source_id""",
+    again=True,
 )
 def impact_first_edges(g):
     return traversal.impact(g, TARGET, max_depth=1).select("id", "edge_type", "confidence")
@@ -357,6 +367,7 @@ def impact_first_edges(g):
     "impact_downstream",
     "SELECT r.depth, n.id FROM reached r JOIN nodes n ON n.id = r.id WHERE r.depth > 0",
     UP.replace("e.source_id, u.depth", "e.target_id, u.depth").replace("e.target_id = u.id", "e.source_id = u.id").replace("u.depth < 3", "u.depth < 2"),
+    again=True,
 )
 def impact_downstream(g):
     return traversal.impact(g, TARGET, "downstream", 2).select("depth", "id")
@@ -369,6 +380,7 @@ def impact_downstream(g):
                count(DISTINCT CASE WHEN NOT t AND app <> '' THEN app END) AS apps, count(*) FILTER (t) AS tests
         FROM (SELECT r.depth, n.is_test OR {TEST_FILE} AS t, regexp_extract(n.file, '^apps/([^/]+)', 1) AS app FROM reached r JOIN nodes n ON n.id = r.id WHERE r.depth > 0) x) y""",
     UP,
+    again=True,
 )
 def impact_summary(g):
     return traversal.impact_summary(traversal.impact(g, TARGET))
@@ -379,6 +391,7 @@ def impact_summary(g):
     "SELECT id, min(depth) AS depth FROM ego WHERE id IN (SELECT id FROM nodes) GROUP BY id",
     """both_ways AS (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges),
     ego AS (SELECT id, 0 AS depth FROM nodes WHERE contains(lower(name), 'nation_1') UNION SELECT w.b, e.depth + 1 FROM ego e JOIN both_ways w ON w.a = e.id WHERE e.depth < 2)""",
+    again=True,
 )
 def ego_graph(g):
     return traversal.ego(g, "NATION_1", 2)
@@ -423,7 +436,7 @@ AFFECTED = f"""hit AS (SELECT c.node_seq AS seed_seq, c.id AS seed, c.id AS id,
 
 @on_review("blast_radius", "SELECT a.id, a.depth, a.seed_seq, c.name AS via FROM affected a JOIN changed c ON c.node_seq = a.seed_seq", CHANGED, AFFECTED)
 def blast_radius(g, hunks):
-    changed = review.changed_symbols(g, hunks)
+    changed = staged(review.changed_symbols(g, hunks))
     return review.affected_symbols(g, changed).select("id", "depth", "seed_seq", "via")
 
 
@@ -438,14 +451,14 @@ def blast_radius(g, hunks):
     AFFECTED,
 )
 def review_file_risks(g, hunks):
-    changed = review.changed_symbols(g, hunks)
+    changed = staged(review.changed_symbols(g, hunks))
     risks = review.file_risks(g, hunks.select("file"), changed, review.affected_symbols(g, changed))
     return risks.select("file", "modified", "direct", "affected", "risk")
 
 
 @on_review("review_risk")
 def review_risk(g, hunks):
-    return review.overall_risk(review.affected_symbols(g, review.changed_symbols(g, hunks)))
+    return review.overall_risk(review.affected_symbols(g, staged(review.changed_symbols(g, hunks))))
 
 
 @on_review(
@@ -479,12 +492,13 @@ def enclosing_symbol(g, hunks):
         SELECT 0 AS part, 0 AS o, file, start_line AS line, 'graph' AS confidence, 'definition' AS context FROM nodes WHERE id = 'struct:supplier:3'
         UNION ALL SELECT 1, e.edge_seq, n.file, n.start_line, 'graph', CASE e.type WHEN 'CALLS' THEN 'called' WHEN 'HAS_METHOD' THEN 'has method' ELSE 'referenced' END || ' by ' || n.name FROM edges e JOIN nodes n ON n.id = e.source_id WHERE e.target_id = 'struct:supplier:3' AND n.file <> ''
         UNION ALL SELECT 2, e.edge_seq, n.file, n.start_line, 'graph', 'method ' || n.name || ' on Supplier#000000003' FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.source_id = 'struct:supplier:3' AND e.type = 'HAS_METHOD' AND n.file <> '') x) y WHERE k = 1""",
+    again=True,
 )
 def rename_plan(g):
     return rename.plan_rename(g, "Supplier#000000003", "Vendor").select("file", "line", "confidence", "context")
 
 
-@on_graph("rename_totals")
+@on_graph("rename_totals", again=True)
 def rename_totals(g):
     return rename.rename_totals(rename.plan_rename(g, "Supplier#000000003", "Vendor"))
 
@@ -492,12 +506,12 @@ def rename_totals(g):
 # Communities and flows.
 
 
-@on_graph("label_propagation")
+@on_graph("label_propagation", again=True)
 def label_propagation(g):
     return community.label_propagation(g, 5)
 
 
-@on_graph("community_stats")
+@on_graph("community_stats", again=True)
 def community_stats(g):
     return community.community_stats(community.name_communities(g, community.label_propagation(g, 3)))
 
@@ -513,7 +527,7 @@ def entry_points(g):
     return process.entry_points(g).select("id", F.round("score", 6).alias("score"))
 
 
-@on_graph("processes")
+@on_graph("processes", again=True)
 def processes(g):
     flows = process.detect_processes(g)
     return flows.select("entry", "name", "label", "complexity", "depth", "process_type", F.array_join("trace", ",").alias("trace"), F.size("steps").alias("steps"))

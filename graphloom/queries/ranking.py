@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import search
 from ..functions.columns import search_tokens
 from ..sources.derived import GRAPH_CTE, derived_graph
+from ..storage import staged
 from . import register
 
 TOKENS = r"""list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c},
@@ -32,8 +33,7 @@ DOCS = f"docs AS (SELECT CAST(doc_id AS STRING) AS id, doc_id AS seq, {tokens('t
 
 
 def _bm25_docs(spark, sf_dir, limit=20):
-    docs = _docs(spark, sf_dir)
-    return search.bm25(search.postings(docs), search.index_stats(docs), "the heart of anon", limit)
+    return search.bm25_scan(_docs(spark, sf_dir), "the heart of anon", limit)
 
 
 @register("bm25_documents", f"WITH {DOCS}, {BM25.format(asked=chr(39) + (chr(39) + ', ' + chr(39)).join(['the', 'heart', 'of', 'anon']) + chr(39))} SELECT id, round(score, 6) AS score FROM scored ORDER BY round(scored.score, 9) DESC, seq, id LIMIT 20")
@@ -48,7 +48,14 @@ NODE_DOCS = f"""docs AS (SELECT id, node_seq AS seq, list_concat(list_concat(lis
 @register("bm25_symbols", f"WITH {GRAPH_CTE}, {NODE_DOCS}, {BM25.format(asked=chr(39) + 'red' + chr(39) + ', ' + chr(39) + 'widget' + chr(39))} SELECT id, round(score, 6) AS score FROM scored ORDER BY round(scored.score, 9) DESC, seq, id LIMIT 20")
 def bm25_symbols(spark, sf_dir):
     docs = search.node_documents(derived_graph(spark, sf_dir))
-    return search.bm25(search.postings(docs), search.index_stats(docs), "redWidget").withColumn("score", F.round("score", 6))
+    return search.bm25_scan(docs, "redWidget").withColumn("score", F.round("score", 6))
+
+
+@register("bm25_index", f"WITH {GRAPH_CTE}, {NODE_DOCS}, {BM25.format(asked=chr(39) + 'blue' + chr(39) + ', ' + chr(39) + 'bolt' + chr(39))} SELECT id, round(score, 6) AS score FROM scored ORDER BY round(scored.score, 9) DESC, seq, id LIMIT 20")
+def bm25_index(spark, sf_dir):
+    docs = staged(search.node_documents(derived_graph(spark, sf_dir)))
+    index = staged(search.postings(docs))
+    return search.bm25(index, search.index_stats(docs), "blueBolt").withColumn("score", F.round("score", 6))
 
 
 @register("document_frequency", f"WITH {DOCS} SELECT token, count(*) AS df FROM (SELECT DISTINCT id, unnest(tokens) AS token FROM docs) x GROUP BY token")
