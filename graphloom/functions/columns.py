@@ -50,9 +50,9 @@ def wildcard_regex(pattern: str) -> str:
 TEST_FILE = {
     "process": r"\.(test|spec|_test)\.[^.]+$|[\\/](test|tests|__tests__|__test__|spec|specs)[\\/]|[\\/]fixtures?[\\/]",
     "tools": r"(?i)[._]test\.|[._]spec\.|__tests__|test\/|tests\/|_test\.go$",
-    "extractor": r"_test\.(go|py|rs|rb)$|\.(test|spec)\.(ts|tsx|js|jsx)$|(^|/)test_[^/]*\.py$|(^|/)(tests?|__tests__|spec)/",
-    "typescript": r"\.(test|spec)\.tsx?$|(^|/)__tests__/",
-    "watcher": r"\.(test|spec)\.|\.d\.ts$",
+    "extractor": r"\.test\.[tj]sx?$|\.spec\.[tj]sx?$|_test\.[tj]sx?$|[\\/]__tests__[\\/]|[\\/]test[\\/]",
+    "typescript": r"\.test\.[tj]sx?$|\.spec\.[tj]sx?$|_test\.[tj]sx?$|[\\/]__tests__[\\/]|[\\/]test[\\/]",
+    "watcher": r"\.test\.|\.spec\.",
 }
 
 
@@ -134,10 +134,19 @@ def is_helper_name(name: Column | str) -> Column:
 
 #: File name endings and their languages (fixed values).
 EXTENSIONS = {
-    ".go": "go", ".ts": "typescript", ".tsx": "typescript", ".py": "python", ".rs": "rust", ".java": "java", ".c": "c", ".h": "c",
-    ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".rb": "ruby", ".php": "php", ".cs": "csharp", ".kt": "kotlin",
-    ".kts": "kotlin", ".swift": "swift", ".hh": "cpp",
+    ".ts": "typescript", ".tsx": "typescript",
+    ".go": "go", ".py": "python", ".pyw": "python", ".rs": "rust", ".java": "java", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp",
+    ".cxx": "cpp", ".hpp": "cpp", ".hxx": "cpp", ".hh": "cpp", ".rb": "ruby", ".php": "php", ".cs": "csharp", ".kt": "kotlin",
+    ".kts": "kotlin", ".swift": "swift",
 }
+#: Endings of files that a watcher follows (fixed values).
+WATCHED = (".ts", ".tsx", ".go", ".py", ".rs", ".java", ".c", ".cpp", ".rb", ".php", ".kt", ".swift", ".cs")
+
+
+def is_watched(file: Column | str) -> Column:
+    file = _col(file)
+    ending = F.regexp_extract(file, r"(\.[^.]*)$", 1)
+    return ending.isin(*WATCHED) & ~is_test_file(file, "watcher") & ~file.endswith(".d.ts")
 
 
 def file_language(file: Column | str) -> Column:
@@ -154,6 +163,14 @@ def package_of(file: Column | str) -> Column:
     return F.regexp_extract(_col(file), r"^(.*)/", 1)
 
 
+def ts_package(file: Column | str, app: str = ".") -> Column:
+    """Folders between an app's src and the file; root (or the app) for files elsewhere or right in src."""
+    file, prefix = _col(file), "src/" if app == "." else f"{app}/src/"
+    folder = F.regexp_extract(F.substring(file, len(prefix) + 1, 1 << 20), r"^(.*)/", 1)
+    inside = F.when(folder != "", folder).otherwise(F.lit("root"))
+    return F.when(file.startswith(prefix), inside).otherwise(F.lit("root" if app == "." else app))
+
+
 def normalize_pattern(path: Column | str) -> Column:
     """A route or API path without its prefix, parameters as *, without query and outer slashes."""
     path = F.regexp_replace(_col(path), r"^/api/v1/", "")

@@ -132,6 +132,15 @@ IMPORTS = {
 _CALL = re.compile(r"(?<![\w.])(?:[\w.]+\.)?([A-Za-z_]\w*)\s*\(")
 #: Words before a bracket that are no calls (fixed values).
 NO_CALL = frozenset("if for while switch catch return function new typeof await super this import require fn func def class match loop sizeof elif not and or in".split())
+#: Calls that say nothing of a TypeScript project (fixed values).
+TYPESCRIPT_NO_CALL = frozenset("""
+    require import console log warn error info debug setTimeout setInterval clearTimeout clearInterval
+    Promise resolve reject then catch finally JSON parse stringify toString valueOf Array Object Map Set String Number Boolean
+    push pop shift unshift splice slice concat filter map reduce forEach find findIndex some every
+    includes indexOf join split replace trim match test keys values entries has get set delete add clear
+    from of isArray assign freeze defineProperty addEventListener removeEventListener querySelector getElementById
+    createElement appendChild emit on off once describe it test expect beforeEach afterEach beforeAll afterAll
+""".split())
 _COMPONENT = re.compile(r"<([A-Z]\w*)[\s/>]")
 
 
@@ -146,6 +155,24 @@ def _block_end(lines: list[str], at: int) -> int:
     return at + 1 if not opened else len(lines)
 
 
+#: Words on a declaration that hide it, by language.
+_HIDING = {"php": "private|protected", "csharp": "private|internal", "kotlin": "private|internal|protected", "swift": "private|fileprivate"}
+_JAVA_MODIFIERS = re.compile(r"\b(private|protected|static|final|abstract|synchronized)\b")
+
+
+def _exported(language: str, name: str, line: str, marked: bool) -> bool:
+    """Whether a declaration is visible outside: by marker, capital, underscore or modifier, as the language has it."""
+    if language in ("typescript", "rust"):
+        return marked
+    if language == "go":
+        return name[:1].isupper()
+    if language == "ruby":
+        return not name.startswith("_")
+    if language == "java":
+        return marked or not _JAVA_MODIFIERS.search(line)
+    return not (language in _HIDING and re.search(rf"\b({_HIDING[language]})\b", line))
+
+
 def pattern_rows(language: str, file: str, text: str) -> Iterator[dict]:
     declarations = [(re.compile(p), t) for p, t in DECLARATIONS.get(language, ())]
     imports = re.compile(IMPORTS[language]) if language in IMPORTS else None
@@ -163,14 +190,14 @@ def pattern_rows(language: str, file: str, text: str) -> Iterator[dict]:
             name = groups["name"]
             if language == "typescript" and kind in ("Function", "Class") and name[:1].isupper() and file.endswith("x"):
                 kind = "Component"
-            public = {"typescript": bool(groups.get("out")), "rust": bool(groups.get("out")), "java": bool(groups.get("out")), "csharp": bool(groups.get("out")), "go": name[:1].isupper()}
-            yield {"kind": "symbol", "name": name, "type": kind, "start_line": n + 1, "end_line": _block_end(lines, n), "exported": public.get(language, not name.startswith("_")), "parent": groups.get("parent"), "names": []}
+            out = _exported(language, name, line, bool(groups.get("out")))
+            yield {"kind": "symbol", "name": name, "type": kind, "start_line": n + 1, "end_line": _block_end(lines, n), "exported": out, "parent": groups.get("parent"), "names": []}
             for how in ("extends", "implements"):
                 for parent in re.findall(r"\w+", groups.get(how) or ""):
                     yield {"kind": "heritage", "name": name, "detail": how, "parent": parent}
         start = found[0].end() if found else 0
         for m in _CALL.finditer(line, start):
-            if m[1] not in NO_CALL:
+            if m[1] not in NO_CALL and not (language == "typescript" and m[1] in TYPESCRIPT_NO_CALL):
                 yield {"kind": "call", "name": m[1], "start_line": n + 1}
         for m in _COMPONENT.finditer(line) if language == "typescript" else ():
             yield {"kind": "component", "name": m[1], "start_line": n + 1}

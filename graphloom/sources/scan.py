@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import file_language
 
 MOST_BYTES = 1_000_000
-#: Folders that are never sources (fixed values).
-SKIPPED = (
-    "node_modules", "dist", "build", "out", "target", "vendor", "__pycache__", "venv", "env", "coverage", "bin", "obj",
-    "Pods", "DerivedData", "bower_components", "site-packages", "tmp", "logs", "third_party",
-)
+#: Folders that are never sources; hidden ones are skipped as well (fixed values).
+SKIPPED = ("node_modules", "vendor", "target", "build", "dist", "out", "venv", "__pycache__", "bin", "obj")
 
 
 def scan_sources(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
@@ -37,11 +34,6 @@ def scan_named(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return scan_sources(spark, root).where(F.element_at(F.split("file", "/"), -1).rlike(f"(?i){pattern}"))
 
 
-def watchable(file):
-    """Files that a watcher follows: sources, but no tests, specs and declarations."""
-    return file_language(file).isNotNull() & ~F.col(file).rlike(r"\.(test|spec)\.|\.d\.ts$")
-
-
 def content_hash(column: str = "content"):
     return F.sha2(F.col(column), 256)
 
@@ -69,17 +61,30 @@ def carry_over(previous, new, status: DataFrame):
 
 #: What a manifest's text tells of the stack: (file, text in it, name); fixed values.
 STACK = (
-    ("package.json", '"react"', "React"), ("package.json", '"next"', "Next.js"), ("package.json", '"vue"', "Vue"),
-    ("package.json", '"express"', "Express"), ("package.json", '"typescript"', "TypeScript"), ("package.json", '"vitest"', "Vitest"),
-    ("go.mod", "gin-gonic/gin", "Gin"), ("go.mod", "gofiber/fiber", "Fiber"), ("requirements.txt", "django", "Django"),
-    ("requirements.txt", "flask", "Flask"), ("requirements.txt", "fastapi", "FastAPI"), ("pyproject.toml", "django", "Django"),
-    ("Cargo.toml", "tokio", "Tokio"), ("Cargo.toml", "actix-web", "Actix"), ("Dockerfile", "", "Docker"),
+    *(("package.json", f'"{key}":', name) for key, name in (
+        ("next", "Next.js"), ("react", "React"), ("vue", "Vue"), ("@angular/core", "Angular"), ("express", "Express"),
+        ("@nestjs/core", "NestJS"), ("fastify", "Fastify"), ("vite", "Vite"), ("vitest", "Vitest"), ("jest", "Jest"),
+        ("tailwindcss", "Tailwind"), ("prisma", "Prisma"),
+    )),
+    ("go.mod", "gin-gonic/gin", "Gin"), ("go.mod", "labstack/echo", "Echo"), ("go.mod", "gofiber/fiber", "Fiber"), ("go.mod", "go-chi/chi", "Chi"),
+    *((file, text, name) for file in ("requirements.txt", "pyproject.toml", "Pipfile") for text, name in (
+        ("django", "Django"), ("flask", "Flask"), ("fastapi", "FastAPI"), ("pytest", "pytest"),
+    )),
+    ("Cargo.toml", "actix", "Actix"), ("Cargo.toml", "axum", "Axum"), ("Cargo.toml", "rocket", "Rocket"), ("Cargo.toml", "tokio", "Tokio"),
+    ("Dockerfile", "", "Docker"),
 )
+#: Of these manifests the first that exists counts.
+PYTHON_MANIFESTS = ("requirements.txt", "pyproject.toml", "Pipfile")
 
 
 def tech_stack(manifests: DataFrame) -> DataFrame:
-    """(name) found in (file, content) manifests."""
+    """(name) found in (file, content) manifests of a project."""
     table = manifests.sparkSession.createDataFrame(list(STACK), "manifest string, needle string, name string")
-    at = F.element_at(F.split("file", "/"), -1) == F.col("manifest")
-    rows = manifests.join(F.broadcast(table), at)  # the fixed table above
-    return rows.where(F.lower("content").contains(F.lower("needle"))).select("name").distinct().orderBy("name")
+    rows = manifests.withColumn("manifest", F.element_at(F.split("file", "/"), -1))
+    rank = F.array_position(F.array(*map(F.lit, PYTHON_MANIFESTS)), F.col("manifest"))
+    first = rows.where(rank > 0).agg(F.min(rank).alias("first"))
+    chosen = rows.join(F.broadcast(first)).where((rank == 0) | (rank == F.col("first")))  # one row
+    text = F.regexp_replace(F.when(rank > 0, F.lower("content")).otherwise(F.col("content")), r'"\s+:', '":')
+    found = chosen.join(F.broadcast(table), "manifest").where(text.contains(F.col("needle"))).select("name")
+    workflows = manifests.where(F.col("file").contains(".github/workflows/")).select(F.lit("GitHub Actions").alias("name"))
+    return found.unionByName(workflows).distinct().orderBy("name")

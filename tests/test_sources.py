@@ -133,6 +133,30 @@ def test_compare_and_carry_over(spark):
 def test_tech_stack(spark):
     files = spark.createDataFrame([("x/package.json", '{"dependencies": {"react": "1"}}'), ("Dockerfile", "FROM x")], "file string, content string")
     assert [r["name"] for r in scan.tech_stack(files).collect()] == ["Docker", "React"]
+    more = spark.createDataFrame([("requirements.txt", "Flask==3"), ("pyproject.toml", "django"), (".github/workflows/ci.yml", "x")], "file string, content string")
+    assert [r["name"] for r in scan.tech_stack(more).collect()] == ["Flask", "GitHub Actions"]
+
+
+def test_file_functions(spark):
+    from graphloom.functions import columns as c
+
+    files = ["src/a/b.ts", "src/x.tsx", "lib/y.py", "src/z.test.ts", "src/q.d.ts", "a/test/b.go", "m.kts"]
+    df = spark.createDataFrame([(f,) for f in files], "file string")
+    got = {r["file"]: tuple(r)[1:] for r in df.select("file", c.ts_package("file"), c.is_watched("file"), c.is_test_file("file", "extractor"), c.file_language("file")).collect()}
+    assert got["src/a/b.ts"] == ("a", True, False, "typescript") and got["src/x.tsx"][0] == "root" and got["lib/y.py"] == ("root", True, False, "python")
+    assert got["src/z.test.ts"][1:3] == (False, True) and not got["src/q.d.ts"][1] and got["a/test/b.go"][2] and got["m.kts"][1:] == (False, False, "kotlin")
+
+
+def test_visibility_by_language():
+    def names(language, text):
+        return {r["name"]: r["exported"] for r in extract.pattern_rows(language, "f", text) if r["kind"] == "symbol"}
+
+    assert names("java", "public class A {\n  private void b() {\n  }\n}\nclass C {\n}") == {"A": True, "b": False, "C": True}
+    assert names("rust", "pub fn a() {}\nfn b() {}\npub(crate) struct C {}") == {"a": True, "b": False, "C": True}
+    assert names("go", "func Do() {\n}\nfunc (s *S) run() {\n}") == {"Do": True, "run": False}
+    assert names("kotlin", "private fun a() {}\nfun b() {}") == {"a": False, "b": True}
+    assert names("ruby", "class A < B\n  def _x\n  end\nend") == {"A": True, "_x": False}
+    assert names("php", "class A {\n    private function b() {\n    }\n}") == {"A": True, "b": False}
 
 
 def test_watcher_stream(spark, tmp_path):
