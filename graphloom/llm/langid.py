@@ -96,7 +96,9 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     rows = rows.select(F.col(lang_col).alias("lang"), F.lower(text_col).alias("text"))
     counts = rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.select("lang", "gram", (F.row_number().over(order) - 1).alias("rank")).where(F.col("rank") < profile)
+    # The plain comparison lets Spark keep the best of each partition before the shuffle by language.
+    best = counts.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= profile)
+    return best.select("lang", "gram", (F.col("nth") - 1).alias("rank"))
 
 
 def _classifier(profiles: dict[str, list[int]], profile: int, ranks: int):
