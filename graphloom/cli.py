@@ -13,6 +13,7 @@ from . import config
 from .engine import Engine
 from .errors import GraphError, IndexStale
 from .operators import community, guide, review
+from .service import Service, http_server, stdio_server
 from .session import local_session
 from .sources import extract, graph_store, scan
 from .storage import staged
@@ -55,7 +56,7 @@ def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="graphloom")
     parser.add_argument("--root", default=".")
     tools = parser.add_subparsers(dest="tool", required=True)
-    for name in ("index", "init", "status", "clean", "map", "guide", "rules", "changes"):
+    for name in ("index", "init", "status", "clean", "map", "guide", "rules", "changes", "serve", "stdio"):
         tools.add_parser(name)
     for name, what in (("query", "text"), ("find", "text"), ("explain", "symbol"), ("impact", "symbol"), ("export", "symbol")):
         tools.add_parser(name).add_argument(what)
@@ -87,6 +88,10 @@ def main(args: list[str] | None = None) -> int:
             print(guide.agent_guide(engine.graph, meta["repo"]))
         elif given.tool == "changes":
             print(engine.report("changes", review.git_diff(spark, settings.root), review.changed_files(spark, settings.root)))
+        elif given.tool == "serve":
+            http_server(Service(engine, settings.root)).serve_forever()
+        elif given.tool == "stdio":
+            stdio_server(Service(engine, settings.root))
         elif given.tool == "export":
             print(engine.report("export", symbol=given.symbol))
         else:

@@ -239,7 +239,8 @@ def imported_by(graph: CodeGraph) -> DataFrame:
 
 def top_degree(graph: CodeGraph, limit: int = 300, node_type: str | None = None, package: str | None = None) -> CodeGraph:
     """The most connected nodes, 2000 at most, and the edges among them but CONTAINS."""
-    rows = graph.select(type=node_type, package=package)
+    rows = graph.select(type=node_type)
+    rows = rows.where(F.col("package").contains(package)) if package else rows
     rows = rows.join(degree(graph), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     rows = rows.orderBy(F.desc("degree"), "node_seq", "id").limit(min(limit, 2000))
     from .export import induced
