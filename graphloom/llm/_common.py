@@ -16,7 +16,7 @@ __all__ = ["LOWER", "SPACE", "WORD", "Words", "mixed", "row_key", "signed", "sta
 #: Word pattern of all contracts: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step works on; whole documents only, so a longer one is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 
 def row_key(id_col: str, text_col: str):
@@ -57,7 +57,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     """base ** i modulo 2 ** 64 for i < n at least."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        n = max(n, 2 * STEP_BYTES)
+        n = 1 << (n - 1).bit_length()
         table = np.full(n, base, np.uint64)
         table[0] = 1
         have = _POWERS[base] = np.multiply.accumulate(table)

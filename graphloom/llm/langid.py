@@ -101,37 +101,54 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     return best.select("lang", "gram", (F.col("nth") - 1).alias("rank"))
 
 
+#: Places of a table over all n-grams: 1-grams, then 2-grams, then 3-grams.
+SLOTS = 256 + (1 << 16) + (1 << 24)
+#: Counters that are held at once, for as many documents as they serve.
+COUNTERS = 1 << 21
+
+
+def _slot(codes: np.ndarray) -> np.ndarray:
+    two, three = codes - (1 << 24) + 256, codes - (1 << 25) + 256 + (1 << 16)
+    return np.where(codes >= 1 << 25, three, np.where(codes >= 1 << 24, two, codes))
+
+
 def _classifier(profiles: dict[str, list[int]], profile: int, ranks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = sorted(profiles)
         vocabulary = np.array(sorted({g for p in profiles.values() for g in p}), np.int64)
         n = len(vocabulary)
-        table = np.full((1 << 25) + (1 << 24), -1, np.int32)
-        table[vocabulary] = np.arange(n)
+        table = np.full(SLOTS, -1, np.int16 if n < 1 << 15 else np.int32)
+        table[_slot(vocabulary)] = np.arange(n)
         place = np.full((len(langs), n), profile, np.int32)
         for k, lang in enumerate(langs):
             own = np.array(profiles[lang], np.int64)
-            place[k, table[own]] = np.arange(len(own))
+            place[k, table[_slot(own)]] = np.arange(len(own))
         for batch in batches:
             letters = batch.column(batch.schema.get_field_index("has_letter")).to_pylist()
             names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             for i, j, data, offsets in steps(batch, "text") if n else ():
-                found = [(table[codes], doc) for codes, doc in _grams(data, offsets)]
-                if not found:
-                    continue
-                keys = np.concatenate([doc[t >= 0] * n + t[t >= 0] for t, doc in found])
-                counts = np.bincount(keys, minlength=(j - i) * n).reshape(j - i, n)
-                for d in range(j - i):
-                    if not letters[i + d]:
-                        continue
-                    # most frequent first, ties in the vocabulary's order
-                    order = np.argsort(-counts[d], kind="stable")[:ranks]
-                    order = order[counts[d][order] > 0]
-                    far = np.abs(place[:, order] - np.arange(len(order))[None, :])
-                    far = np.where(place[:, order] == profile, profile, far).sum(axis=1)
-                    best = int(np.argmin(far))
-                    names[i + d] = langs[best]
-                    scores[i + d] = 1 - far[best] / (profile * len(order)) if len(order) else 0.0
+                found = [(table[_slot(codes)], doc) for codes, doc in _grams(data, offsets)]
+                found = [(t[t >= 0].astype(np.int64), doc[t >= 0]) for t, doc in found]
+                width = max(1, COUNTERS // n)
+                for first in range(0, j - i, width) if found else ():
+                    keys = []
+                    for t, doc in found:
+                        x, y = np.searchsorted(doc, (first, first + width))
+                        keys.append((doc[x:y] - first) * n + t[x:y])
+                    rows = min(width, j - i - first)
+                    counts = np.bincount(np.concatenate(keys), minlength=rows * n).reshape(rows, n)
+                    for d in range(rows):
+                        at = i + first + d
+                        if not letters[at]:
+                            continue
+                        # most frequent first, ties in the vocabulary's order
+                        order = np.argsort(-counts[d], kind="stable")[:ranks]
+                        order = order[counts[d][order] > 0]
+                        far = np.abs(place[:, order] - np.arange(len(order))[None, :])
+                        far = np.where(place[:, order] == profile, profile, far).sum(axis=1)
+                        best = int(np.argmin(far))
+                        names[at] = langs[best]
+                        scores[at] = 1 - far[best] / (profile * len(order)) if len(order) else 0.0
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["id", "lang_pred", "score"]
             )
