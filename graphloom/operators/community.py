@@ -12,7 +12,7 @@ from ..storage import staged
 def label_propagation(graph: CodeGraph, rounds: int = 10) -> DataFrame:
     """(id, label) of all but Package and File nodes.
 
-    Every round has two halves: nodes of even, then of odd id hash adopt the label most of their neighbours
+    Every round has two halves: nodes of even, then of odd id digest adopt the label most of their neighbours
     have (edges count both ways, each for itself). A tie keeps the current label if it is among the most
     frequent, else takes the smallest. Halving stops the flipping of synchronous updates; unlike a
     shuffled asynchronous run the outcome is the same each time.
@@ -23,7 +23,7 @@ def label_propagation(graph: CodeGraph, rounds: int = 10) -> DataFrame:
     edges = edges.join(own, "source_id", "left_semi").join(own.select(F.col("source_id").alias("target_id")), "target_id", "left_semi")
     both = edges.unionByName(edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
     both = staged(both.groupBy("source_id", "target_id").agg(F.count("*").alias("w")))
-    labels = staged(nodes.withColumn("label", F.col("id")).withColumn("half", F.crc32("id") % 2))
+    labels = staged(nodes.withColumn("label", F.col("id")).withColumn("half", F.conv(F.substring(F.md5("id"), 1, 1), 16, 10).cast("int") % 2))
     for _ in range(rounds):
         before = labels
         for half in (0, 1):

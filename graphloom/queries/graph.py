@@ -486,19 +486,26 @@ def enclosing_symbol(g, hunks):
     return linking.enclosing(points, g.nodes.where("type <> 'File'").withColumnRenamed("node_seq", "seq")).select("file", "line", "source_id")
 
 
-@on_graph(
-    "rename_plan",
-    f"""SELECT file, line, confidence, context FROM (SELECT *, row_number() OVER (PARTITION BY file, line ORDER BY part, o, context) AS k FROM (
+RENAMED = f"""SELECT file, line, confidence, context FROM (SELECT *, row_number() OVER (PARTITION BY file, line ORDER BY part, o, context) AS k FROM (
         SELECT 0 AS part, 0 AS o, file, start_line AS line, 'graph' AS confidence, 'definition' AS context FROM nodes WHERE id = 'struct:supplier:3'
         UNION ALL SELECT 1, e.edge_seq, n.file, n.start_line, 'graph', CASE e.type WHEN 'CALLS' THEN 'called' WHEN 'HAS_METHOD' THEN 'has method' ELSE 'referenced' END || ' by ' || n.name FROM edges e JOIN nodes n ON n.id = e.source_id WHERE e.target_id = 'struct:supplier:3' AND n.file <> ''
-        UNION ALL SELECT 2, e.edge_seq, n.file, n.start_line, 'graph', 'method ' || n.name || ' on Supplier#000000003' FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.source_id = 'struct:supplier:3' AND e.type = 'HAS_METHOD' AND n.file <> '') x) y WHERE k = 1""",
+        UNION ALL SELECT 2, e.edge_seq, n.file, n.start_line, 'graph', 'method ' || n.name || ' on Supplier#000000003' FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.source_id = 'struct:supplier:3' AND e.type = 'HAS_METHOD' AND n.file <> '') x) y WHERE k = 1"""
+
+
+@on_graph(
+    "rename_plan",
+    RENAMED,
     again=True,
 )
 def rename_plan(g):
     return rename.plan_rename(g, "Supplier#000000003", "Vendor").select("file", "line", "confidence", "context")
 
 
-@on_graph("rename_totals", again=True)
+@on_graph(
+    "rename_totals",
+    f"SELECT count(DISTINCT file) AS files, count(*) FILTER (confidence = 'graph') AS graph_edits, count(*) FILTER (confidence = 'text_search') AS text_edits FROM ({RENAMED}) r",
+    again=True,
+)
 def rename_totals(g):
     return rename.rename_totals(rename.plan_rename(g, "Supplier#000000003", "Vendor"))
 
@@ -506,12 +513,35 @@ def rename_totals(g):
 # Communities and flows.
 
 
-@on_graph("label_propagation", again=True)
+def _rounds(n: int) -> str:
+    """Label propagation unrolled; the last table is lab<2n>."""
+    own = "SELECT id FROM nodes WHERE type NOT IN ('Package', 'File')"
+    parts = [
+        f"""both_ways AS MATERIALIZED (SELECT s, t, CAST(count(*) AS BIGINT) AS w FROM (SELECT source_id AS s, target_id AS t FROM edges UNION ALL SELECT target_id, source_id FROM edges) x
+            WHERE s IN ({own}) AND t IN ({own}) GROUP BY s, t)""",
+        f"lab0 AS MATERIALIZED (SELECT id, id AS label, CAST('0x' || substr(md5(id), 1, 1) AS INT) % 2 AS half FROM ({own}) x)",
+    ]
+    for k in range(2 * n):
+        parts.append(f"""lab{k + 1} AS MATERIALIZED (SELECT l.id, coalesce(c.new, l.label) AS label, l.half FROM lab{k} l LEFT JOIN (
+            SELECT s, arg_min(label, (-n, CAST(label <> now AS INT), label)) AS new FROM (
+                SELECT b.s, m.label AS now, o.label, CAST(sum(w) AS BIGINT) AS n FROM both_ways b JOIN lab{k} m ON m.id = b.s AND m.half = {k % 2} JOIN lab{k} o ON o.id = b.t GROUP BY b.s, m.label, o.label) v GROUP BY s) c ON c.s = l.id)""")
+    return ", ".join(parts)
+
+
+@on_graph("label_propagation", "SELECT id, label FROM lab10", _rounds(5), again=True)
 def label_propagation(g):
     return community.label_propagation(g, 5)
 
 
-@on_graph("community_stats", again=True)
+@on_graph(
+    "community_stats",
+    """SELECT count(*) AS communities, arg_min(community, (-n, community)) AS largest, max(n) AS largest_size FROM (SELECT community, count(*) AS n FROM lab6 JOIN named USING (label) GROUP BY community) x""",
+    _rounds(3),
+    """by_package AS (SELECT label, CASE WHEN coalesce(package, '') = '' THEN 'unknown' ELSE package END AS package, count(*) AS n, min(node_seq) AS first FROM lab6 JOIN nodes USING (id) GROUP BY 1, 2),
+    top AS (SELECT label, arg_max(package, (n, -first)) AS package, min(first) AS first FROM by_package GROUP BY label),
+    named AS (SELECT label, CASE WHEN k = 1 THEN package ELSE package || ' #' || k END AS community FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY first, label) AS k FROM top) x)""",
+    again=True,
+)
 def community_stats(g):
     return community.community_stats(community.name_communities(g, community.label_propagation(g, 3)))
 

@@ -35,7 +35,20 @@ def symbol_functions(spark, sf_dir):
     )
 
 
-@register("framework_multipliers")
+def _first(text: str, patterns, field: int) -> str:
+    quote = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{p[0]}') THEN {quote(p[field])}" for p in patterns) + " END"
+
+
+PATHS, NAMES = columns.PATH_FRAMEWORKS, columns.NAME_FRAMEWORKS
+
+
+@register(
+    "framework_multipliers",
+    f"""WITH {GRAPH_CTE}, hint AS (SELECT id, {_first("'/' || file", PATHS, 2)} AS pm, {_first("'/' || file", PATHS, 1)} AS pf, {_first("name", NAMES, 2)} AS nm, {_first("name", NAMES, 1)} AS nf FROM nodes)
+    SELECT id, CASE WHEN pm IS NOT NULL AND (nm IS NULL OR pm >= nm) THEN pf ELSE coalesce(nf, 'unknown') END AS framework,
+        CAST(CASE WHEN pm IS NOT NULL AND (nm IS NULL OR pm >= nm) THEN pm ELSE coalesce(nm, 1.0) END AS DOUBLE) AS multiplier FROM hint""",
+)
 def framework_multipliers(spark, sf_dir):
     nodes = derived_graph(spark, sf_dir).nodes
     name, multiplier = columns.framework(F.concat(F.lit("/"), "file"), "name")
