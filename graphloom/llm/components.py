@@ -13,16 +13,16 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Every round links a node's larger neighbours to its smallest one and then its smaller neighbours, so
     paths shrink by half at least; a node with very many neighbours only enters aggregates and joins, which
-    combine on the map side or split. Each round is written down, so a lost executor repeats one round.
+    combine on the map side or split. The joins merge, as a broadcast a round would gather on the driver. Each round is written down, so a lost executor repeats one round.
     """
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     state = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low.hint("merge"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = large.join(low.hint("merge"), "u")
         small = small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = staged(small.distinct())
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()

@@ -122,13 +122,13 @@ def _in_lists(tokens: DataFrame, keys: list[str], matches: int) -> DataFrame:
 def _collisions(pairs: DataFrame, posted: DataFrame, matches: int) -> DataFrame:
     """The pairs whose signatures match in `matches` coordinates."""
     a, b = (posted.select(F.col("rep").alias(f"rep_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
-    near = pairs.join(a, F.col("a") == F.col("rep_a")).join(b, F.col("b") == F.col("rep_b"))
+    near = pairs.join(a.hint("merge"), F.col("a") == F.col("rep_a")).join(b.hint("merge"), F.col("b") == F.col("rep_b"))
     return near.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= matches).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a, b = (sets.select(F.col("id").alias(f"id_{side}"), F.col("shingles").alias(f"set_{side}")) for side in "ab")
-    both = pairs.join(a, F.col("a") == F.col("id_a")).join(b, F.col("b") == F.col("id_b"))
+    both = pairs.join(a.hint("merge"), F.col("a") == F.col("id_a")).join(b.hint("merge"), F.col("b") == F.col("id_b"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
     both = both.withColumn("shared", shared).where(
         100 * F.col("shared") >= percent * (F.size("set_a") + F.size("set_b") - F.col("shared"))
@@ -149,7 +149,7 @@ def _side(rows: DataFrame, side: str) -> DataFrame:
 
 def _apart(postings: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Postings with their component, and the lists that span several, with their length."""
-    at = postings.join(labels, F.col("rep") == F.col("node"), "left")
+    at = postings.join(labels.hint("merge"), F.col("rep") == F.col("node"), "left")
     at = at.select("token", "rep", "n", "s", F.coalesce("label", "rep").alias("label"))
     lists = at.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
     return at, lists.where("low < high").select("token", "m")

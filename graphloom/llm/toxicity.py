@@ -155,13 +155,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     if not picked:
         return None
     features, strength = np.array([f for f, _ in picked]), np.array([s for _, s in picked])
-    found = rows.mapInArrow(_rows(features), "toxic int, f array<int>, v array<float>").collect()
-    toxic = np.array([r["toxic"] for r in found])
-    row = np.repeat(np.arange(len(found)), [len(r["f"]) for r in found])
-    col = np.concatenate([np.array(r["f"], np.int64) for r in found])
-    val = np.concatenate([np.array(r["v"], float) for r in found])
+    # Arrow keeps the sample's entries as flat arrays; max_labelled bounds it.
+    found = rows.mapInArrow(_rows(features), "toxic int, f array<int>, v array<float>").toArrow().combine_chunks()
+    toxic = found.column("toxic").to_numpy()
+    entries = [found.column(c).combine_chunks() for c in ("f", "v")]
+    row = np.repeat(np.arange(len(toxic)), np.diff(np.asarray(entries[0].offsets)))
+    col, val = entries[0].flatten().to_numpy().astype(np.int64), entries[1].flatten().to_numpy().astype(float)
     val = np.minimum(val, 10.0)
-    density = np.bincount(row, val * (strength[col] > 0), len(found))
+    density = np.bincount(row, val * (strength[col] > 0), len(toxic))
     cuts = np.quantile(density[toxic == 1], [1 / 3, 2 / 3])
     grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, density, "right"), 0)
     weights, thresholds = fit(row, col, val, grade, len(features))
