@@ -85,19 +85,26 @@ def _edges(calls: str = "", methods: str = "") -> str:
 
 EDGES = _edges()
 
-HUNKS = f"""
+
+def _hunks(rows: str = "") -> str:
+    """Hunks of all orders, or of those that the condition keeps."""
+    return f"""
     SELECT file, CAST(10 * p_partkey + o_orderkey % 7 AS INT) AS start_line, CAST(o_orderkey % 4 AS INT) AS line_count
-    FROM {{orders}} JOIN ({PARTS}) p ON p_partkey = o_orderkey % (SELECT count(*) FROM {{part}}) WHERE o_orderkey % 97 = 0
+    FROM {{orders}} JOIN ({PARTS}) p ON p_partkey = o_orderkey % (SELECT count(*) FROM {{part}}){rows}
 """
 
+
+HUNKS = _hunks()
+
 #: What the registered oracles still read; the queries read every row.
 _ORACLE_EDGES = _edges(" WHERE l_orderkey % 8 = 0 OR l_orderkey % 40 BETWEEN 1 AND 5", " AND l_orderkey % 16 = 0")
+_ORACLE_HUNKS = _hunks(" WHERE o_orderkey % 97 = 0")
 
 TABLES = ("region", "nation", "supplier", "part", "orders", "lineitem")
 
 #: The graph as common table expressions for an oracle.
 GRAPH_CTE = "nodes AS (" + NODES.format(**{t: t for t in TABLES}) + "), edges AS (" + _ORACLE_EDGES.format(**{t: t for t in TABLES}) + ")"
-HUNKS_CTE = "hunks AS (" + HUNKS.format(**{t: t for t in TABLES}) + ")"
+HUNKS_CTE = "hunks AS (" + _ORACLE_HUNKS.format(**{t: t for t in TABLES}) + ")"
 
 
 def _run(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:

@@ -25,3 +25,10 @@ def test_edges_of_all_rows(spark):
     edges = derived.derived_graph(spark, SF).edges.collect()
     got = [(e.type, e.source_id, e.target_id) for e in edges if e.type in {"CALLS", "HAS_METHOD", *TYPES.values()}]
     assert len(got) == len(set(got)) and set(got) == calls | methods
+
+
+def test_hunks_of_all_orders(spark):
+    parts = {r.p_partkey for r in table(spark, "part")}
+    want = sorted((10 * p + k % 7, k % 4) for k in (r.o_orderkey for r in table(spark, "orders")) if (p := k % len(parts)) in parts)
+    got = derived.derived_hunks(spark, SF).collect()
+    assert sorted((r.start_line, r.line_count) for r in got) == want
