@@ -62,7 +62,7 @@ def framework_multipliers(spark, sf_dir):
     FROM (SELECT DISTINCT trim(substr(text, 1, 12)) AS text FROM conversations) x""",
 )
 def classify_queries(spark, sf_dir):
-    texts = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.trim(F.substring("text", 1, 12)).alias("text")).distinct()
+    texts = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.trim("text").alias("text")).distinct()
     return texts.select("text", lookup.classify_column(F.col("text")).alias("strategy"))
 
 
