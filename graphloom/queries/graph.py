@@ -530,7 +530,7 @@ def _rounds(n: int) -> str:
 
 @on_graph("label_propagation", "SELECT id, label FROM lab10", _rounds(5), again=True)
 def label_propagation(g):
-    return community.label_propagation(g, 5)
+    return community.label_propagation(g)
 
 
 @on_graph(
@@ -543,7 +543,7 @@ def label_propagation(g):
     again=True,
 )
 def community_stats(g):
-    return community.community_stats(community.name_communities(g, community.label_propagation(g, 3)))
+    return community.community_stats(community.name_communities(g, community.label_propagation(g)))
 
 
 ENTRY = """calls AS (SELECT * FROM edges WHERE type IN ('CALLS', 'CALLS_API') AND confidence >= 0.5),
