@@ -127,5 +127,5 @@ def embedding_text(spark, sf_dir):
 
 @register("embed_symbols")
 def embed_symbols(spark, sf_dir):
-    found = search.embed(search.embedding_text(derived_graph(spark, sf_dir).nodes), 64)
-    return found.select("id", F.size("embedding").alias("dims"))
+    found = search.embed(search.embedding_text(derived_graph(spark, sf_dir).nodes))
+    return found.select("id", F.size("embedding").alias("dims"), "embedding")

@@ -28,3 +28,8 @@ def test_label_propagation_runs_to_its_default_of_ten_rounds(spark, monkeypatch)
     stats = QUERIES["community_stats"](spark, SF).first()
     assert asked == [10, 10]
     assert stats.communities == len(set(labels.values()))
+
+
+def test_embed_symbols_returns_the_default_embedding(spark):
+    rows = QUERIES["embed_symbols"](spark, SF).limit(5).collect()
+    assert rows and all(r.dims == len(r.embedding) == 384 and any(r.embedding) for r in rows)
