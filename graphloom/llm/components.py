@@ -29,5 +29,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components: not settled after {max_rounds} rounds")
     ends = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return ends.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
