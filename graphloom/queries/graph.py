@@ -528,16 +528,16 @@ def _rounds(n: int) -> str:
     return ", ".join(parts)
 
 
-@on_graph("label_propagation", "SELECT id, label FROM lab10", _rounds(5), again=True)
+@on_graph("label_propagation", "SELECT id, label FROM lab20", _rounds(10), again=True)
 def label_propagation(g):
     return community.label_propagation(g)
 
 
 @on_graph(
     "community_stats",
-    """SELECT count(*) AS communities, arg_min(community, (-n, community)) AS largest, max(n) AS largest_size FROM (SELECT community, count(*) AS n FROM lab6 JOIN named USING (label) GROUP BY community) x""",
-    _rounds(3),
-    """by_package AS (SELECT label, CASE WHEN coalesce(package, '') = '' THEN 'unknown' ELSE package END AS package, count(*) AS n, min(node_seq) AS first FROM lab6 JOIN nodes USING (id) GROUP BY 1, 2),
+    """SELECT count(*) AS communities, arg_min(community, (-n, community)) AS largest, max(n) AS largest_size FROM (SELECT community, count(*) AS n FROM lab20 JOIN named USING (label) GROUP BY community) x""",
+    _rounds(10),
+    """by_package AS (SELECT label, CASE WHEN coalesce(package, '') = '' THEN 'unknown' ELSE package END AS package, count(*) AS n, min(node_seq) AS first FROM lab20 JOIN nodes USING (id) GROUP BY 1, 2),
     top AS (SELECT label, arg_max(package, (n, -first)) AS package, min(first) AS first FROM by_package GROUP BY label),
     named AS (SELECT label, CASE WHEN k = 1 THEN package ELSE package || ' #' || k END AS community FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY first, label) AS k FROM top) x)""",
     again=True,

@@ -59,7 +59,7 @@ def framework_multipliers(spark, sf_dir):
     "classify_queries",
     """SELECT text, CASE WHEN regexp_matches(text, '[*?]') THEN 'pattern' WHEN NOT regexp_matches(text, '\\s') THEN 'exact'
         WHEN regexp_matches(lower(text), 'exported|no callers|no callees|unused|implements|extends|orphan|dead|circular|test|entry point') THEN 'structural' ELSE 'fulltext' END AS strategy
-    FROM (SELECT DISTINCT trim(substr(text, 1, 12)) AS text FROM conversations) x""",
+    FROM (SELECT DISTINCT trim(text) AS text FROM conversations) x""",
 )
 def classify_queries(spark, sf_dir):
     texts = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.trim("text").alias("text")).distinct()

@@ -48,9 +48,8 @@ NODES = f"""
 """
 
 
-def _edges(calls: str = "", methods: str = "") -> str:
-    """Edges of all rows, or of those that the conditions keep. The relation of consecutive parts of an order follows from the order's number."""
-    return f"""
+#: The relation of consecutive parts of an order follows from the order's number.
+EDGES = f"""
     SELECT CAST(e.seq AS BIGINT) AS edge_seq, e.type || ':' || e.source_id || ':' || e.target_id AS id, e.type, e.source_id, e.target_id, e.confidence
     FROM (
         SELECT type, source_id, target_id, {_KIND} * 100 * min(rank) + min(seq * 4 + flag) AS seq,
@@ -63,7 +62,7 @@ def _edges(calls: str = "", methods: str = "") -> str:
                    CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS flag,
                    'sym:part:' || CAST(l_partkey AS STRING) AS source_id,
                    'sym:part:' || CAST(lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS STRING) AS target_id
-            FROM {{lineitem}}{calls}
+            FROM {{lineitem}}
         ) calls WHERE target_id IS NOT NULL AND source_id <> target_id
         GROUP BY type, source_id, target_id
         UNION ALL
@@ -74,7 +73,7 @@ def _edges(calls: str = "", methods: str = "") -> str:
         UNION ALL
         SELECT DISTINCT 'HAS_METHOD', 'struct:supplier:' || CAST(l_suppkey AS STRING), 'sym:part:' || CAST(l_partkey AS STRING),
                {_KIND} * 800 + l_suppkey * 1000000 + l_partkey, 1.0
-        FROM {{lineitem}} WHERE l_linenumber = 1{methods}
+        FROM {{lineitem}} WHERE l_linenumber = 1
         UNION ALL
         SELECT 'IMPORTS', 'pkg:nation:' || CAST(a AS STRING), 'pkg:nation:' || CAST(b AS STRING), {_KIND} * 900 + min(k), 1.0
         FROM (SELECT s_suppkey AS k, s_nationkey AS a, lead(s_nationkey) OVER (ORDER BY s_suppkey) AS b FROM {{supplier}}) s
@@ -82,29 +81,17 @@ def _edges(calls: str = "", methods: str = "") -> str:
     ) e
 """
 
-
-EDGES = _edges()
-
-
-def _hunks(rows: str = "") -> str:
-    """Hunks of all orders, or of those that the condition keeps."""
-    return f"""
+#: A hunk of each order.
+HUNKS = f"""
     SELECT file, CAST(10 * p_partkey + o_orderkey % 7 AS INT) AS start_line, CAST(o_orderkey % 4 AS INT) AS line_count
-    FROM {{orders}} JOIN ({PARTS}) p ON p_partkey = o_orderkey % (SELECT count(*) FROM {{part}}){rows}
+    FROM {{orders}} JOIN ({PARTS}) p ON p_partkey = o_orderkey % (SELECT count(*) FROM {{part}})
 """
 
-
-HUNKS = _hunks()
-
-#: What the registered oracles still read; the queries read every row.
-_ORACLE_EDGES = _edges(" WHERE l_orderkey % 8 = 0 OR l_orderkey % 40 BETWEEN 1 AND 5", " AND l_orderkey % 16 = 0")
-_ORACLE_HUNKS = _hunks(" WHERE o_orderkey % 97 = 0")
-
 TABLES = ("region", "nation", "supplier", "part", "orders", "lineitem")
 
 #: The graph as common table expressions for an oracle.
-GRAPH_CTE = "nodes AS (" + NODES.format(**{t: t for t in TABLES}) + "), edges AS (" + _ORACLE_EDGES.format(**{t: t for t in TABLES}) + ")"
-HUNKS_CTE = "hunks AS (" + _ORACLE_HUNKS.format(**{t: t for t in TABLES}) + ")"
+GRAPH_CTE = "nodes AS (" + NODES.format(**{t: t for t in TABLES}) + "), edges AS (" + EDGES.format(**{t: t for t in TABLES}) + ")"
+HUNKS_CTE = "hunks AS (" + HUNKS.format(**{t: t for t in TABLES}) + ")"
 
 
 def _run(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
