@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,35 +42,60 @@ def entry_points(graph: CodeGraph) -> DataFrame:
 
 
 def trace_paths(graph: CodeGraph, entries: DataFrame) -> DataFrame:
-    """(entry, place, path): up to PATHS_AN_ENTRY call paths of each entry (id, place), breadth first.
+    """(entry, place, nth, path): up to PATHS_AN_ENTRY call paths of each entry (id, place), breadth first.
 
     A path ends at a node without calls, at MAX_NODES nodes, or where its first BRANCHING callees would all
-    close a cycle. Order within an entry is by length, then by the branches taken.
+    close a cycle. Order within an entry is by length, then by the branches taken. The calls around each entry
+    are gathered level by level; an entry's paths are then enumerated in one task, BRANCHING ** (MAX_NODES - 1)
+    at most.
     """
     edges = calls(graph)
     nth = F.row_number().over(Window.partitionBy("source_id").orderBy("edge_seq", "id"))
     edges = edges.withColumn("nth", nth).where(F.col("nth") <= BRANCHING)
-    nexts = staged(edges.groupBy(F.col("source_id").alias("last")).agg(F.array_sort(F.collect_list(F.struct("nth", "target_id"))).alias("callees")))
-    live = entries.select(F.col("id").alias("entry"), "place", F.array("id").alias("path"), F.array().cast("array<int>").alias("turns"))
-    live, done = staged(live), None
-    for length in range(1, MAX_NODES + 1):
-        step = live.withColumn("last", F.element_at("path", -1)).join(nexts, "last", "left")
-        fresh = F.filter("callees", lambda c: ~F.array_contains("path", c["target_id"]))
-        step = staged(step.withColumn("fresh", F.coalesce(fresh, F.array().cast("array<struct<nth:int,target_id:string>>"))))
-        ended = step.where((F.size("fresh") == 0) | F.lit(length >= MAX_NODES)).where(F.lit(length >= LEAST_NODES))
-        ended = ended.select("entry", "place", "path", "turns")
-        done = ended if done is None else done.unionByName(ended)
-        if length == MAX_NODES:
+    nexts = edges.groupBy(F.col("source_id").alias("node")).agg(F.array_sort(F.collect_list(F.struct("nth", "target_id"))).alias("callees"))
+    nexts = staged(nexts.select("node", F.transform("callees", lambda c: c["target_id"]).alias("callees")))
+    level = staged(entries.select(F.col("id").alias("entry"), "place", F.col("id").alias("node")))
+    around = level
+    for _ in range(MAX_NODES - 2):
+        step = level.join(nexts, "node").select("entry", "place", F.explode("callees").alias("node")).distinct()
+        level = staged(step.join(around, ["entry", "place", "node"], "left_anti"))
+        if level.isEmpty():
             break
-        # Longer paths come after all that have ended, so an entry that has enough goes no further.
-        full = done.groupBy("entry").count().where(F.col("count") >= PATHS_AN_ENTRY)
-        grow = step.join(full, "entry", "left_anti").select("entry", "place", "path", "turns", F.explode("fresh").alias("c"))
-        live = staged(grow.select("entry", "place", F.concat("path", F.array("c.target_id")).alias("path"), F.concat("turns", F.array("c.nth")).alias("turns")))
-        if live.isEmpty():
+        around = around.unionByName(level)
+    around = around.join(nexts, "node").select("entry", "place", "node", "callees")
+    schema = f"entry string, place {entries.schema['place'].dataType.simpleString()}, nth int, path array<string>"
+    around = around.repartition(4 * graph.nodes.sparkSession.sparkContext.defaultParallelism, "entry")  # few rows, much work
+    return around.groupBy("entry", "place").applyInArrow(_first_paths, schema)
+
+
+def _first_paths(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The first paths of one entry, all paths of a length grown at once."""
+    entry, place = key
+    nodes = table.column("node").to_pylist()
+    lists = table.column("callees").to_pylist()
+    number: dict[str, int] = {entry.as_py(): 0}
+    for name in [*nodes, *(c for own in lists for c in own)]:
+        number.setdefault(name, len(number))
+    callees = np.full((len(number), BRANCHING), -1, np.int64)
+    for node, own in zip(nodes, lists, strict=True):
+        callees[number[node], : len(own)] = [number[c] for c in own]
+    paths, found = np.zeros((1, 1), np.int64), []
+    for length in range(1, MAX_NODES + 1):
+        onward = callees[paths[:, -1]]
+        fresh = (onward >= 0) & ~(paths[:, :, None] == onward[:, None, :]).any(axis=1)
+        ended = ~fresh.any(axis=1) | (length == MAX_NODES)
+        if length >= LEAST_NODES:
+            found.extend(paths[ended][: PATHS_AN_ENTRY - len(found)].tolist())
+        if length == MAX_NODES or len(found) >= PATHS_AN_ENTRY:
             break
-    order = Window.partitionBy("entry").orderBy(F.size("path"), "turns")
-    done = done.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PATHS_AN_ENTRY)
-    return done.select("entry", "place", "nth", "path")
+        path, branch = np.nonzero(fresh)
+        if length + 1 == MAX_NODES:  # all of these end next
+            path, branch = path[:PATHS_AN_ENTRY], branch[:PATHS_AN_ENTRY]
+        paths = np.concatenate((paths[path], onward[path, branch][:, None]), axis=1)
+    names = list(number)
+    columns = [[entry.as_py()] * len(found), [place.as_py()] * len(found), range(1, len(found) + 1), [[names[i] for i in p] for p in found]]
+    kinds = [pa.string(), place.type, pa.int32(), pa.list_(pa.string())]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["entry", "place", "nth", "path"])
 
 
 def capped(traces: DataFrame, most: int = MOST_TRACES) -> DataFrame:

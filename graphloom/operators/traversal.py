@@ -95,25 +95,27 @@ def ego(graph: CodeGraph, name_part: str, depth: int = 2) -> DataFrame:
 def blast_radius(graph: CodeGraph, seeds: DataFrame, exclude: DataFrame, depth: int = 2, include_tests: bool = False) -> DataFrame:
     """Upstream of several seeds (id, seed_seq, via): each node once, for the first seed that reaches it.
 
-    Seeds are traversed apart from each other; nodes in `exclude` (changed themselves) are passed through but
-    not reported, nodes in test files neither reported nor passed.
+    Columns: id, seed_seq, depth, rank (the edges of the way, an order within seed and depth), edge_type, confidence, via.
+    Nodes in `exclude` (changed themselves) are passed through but not reported, nodes in test files neither
+    reported nor passed.
+
+    A node's first seed is the least that starts a walk to it, and every step of the least walk starts from a
+    neighbour whose own least walk of that length has the same seed. So one row a node and level is enough.
     """
-    edges = graph.edges.select(F.col("target_id").alias("here"), F.col("source_id").alias("id"), "edge_seq", F.col("id").alias("edge_id"), "type", "confidence")
+    edges = graph.edges.select(F.col("target_id").alias("here"), F.col("source_id").alias("id"), F.struct("edge_seq", F.col("id").alias("edge_id")).alias("by"), "type", "confidence")
     nodes = graph.nodes if include_tests else graph.nodes.where(~is_test_file("file"))
-    known = nodes.select("id")
-    frontier = staged(seeds.select("seed_seq", F.col("id").alias("here"), F.lit(0).cast("long").alias("at")))
-    visited = frontier.select("seed_seq", F.col("here").alias("id"))
-    found = None
+    edges = edges.join(nodes.select("id"), "id", "left_semi")
+    way = seeds.groupBy(F.col("id").alias("here")).agg(F.min("seed_seq").alias("seed_seq")).withColumn("rank", F.array().cast("array<struct<edge_seq:long,edge_id:string>>"))
+    levels = []
     for d in range(1, depth + 1):
-        order = F.struct("at", "edge_seq", "edge_id", "type", "confidence")
-        step = edges.join(frontier, "here").join(visited, ["seed_seq", "id"], "left_anti").groupBy("seed_seq", "id").agg(F.min(order).alias("by"))
-        step = step.join(known, "id", "left_semi").select("seed_seq", "id", "by.*")
-        rank = F.row_number().over(Window.partitionBy("seed_seq").orderBy("at", "edge_seq", "edge_id")).cast("long")
-        step = staged(step.withColumn("rank", rank))
-        level = step.select("seed_seq", F.lit(d).alias("depth"), "rank", "id", F.col("type").alias("edge_type"), "confidence")
-        found = level if found is None else found.unionByName(level)
-        frontier = step.select("seed_seq", F.col("id").alias("here"), F.col("rank").alias("at"))
-        visited = visited.unionByName(step.select("seed_seq", "id"))
+        step = edges.join(way, "here").select("id", "seed_seq", F.concat("rank", F.array("by")).alias("rank"), F.col("type").alias("edge_type"), "confidence")
+        least = F.struct("seed_seq", "rank", "edge_type", "confidence")
+        step = staged(step.groupBy("id").agg(F.min(least).alias("w")).select("id", "w.*"))
+        levels.append(step.select("id", "seed_seq", F.lit(d).alias("depth"), "rank", "edge_type", "confidence"))
+        way = step.select(F.col("id").alias("here"), "seed_seq", "rank")
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.unionByName(level)
     found = found.join(exclude.select("id"), "id", "left_anti")
     first = found.groupBy("id").agg(F.min(F.struct("seed_seq", "depth", "rank", "edge_type", "confidence")).alias("f")).select("id", "f.*")
     return first.join(seeds.select("seed_seq", "via"), "seed_seq")

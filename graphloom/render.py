@@ -111,7 +111,7 @@ def review_report(parts: dict[str, DataFrame], title: str = "") -> str:
     if not files:
         return "# PR Review\n\n_No changes detected._"
     modified = parts["changed"].where("reason = 'modified'").count()
-    affected = parts["affected"].orderBy("depth", "rank").collect()
+    affected = parts["affected"].orderBy("depth", "seed_seq", "rank").collect()
     direct = [a for a in affected if a["depth"] == 1]
     flows = parts["flows"].collect()
     lines = [

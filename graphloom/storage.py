@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only where the session names none."""
+    """The cluster's checkpoint folder; a local one only where the session names none and runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(path)
     return path
