@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from ..storage import staged
 
-__all__ = ["LOWER", "SPACE", "WORD", "Words", "mixed", "row_key", "signed", "staged", "steps"]
+__all__ = ["LOWER", "SPACE", "WORD", "Words", "mixed", "named", "numbered", "plain", "row_key", "signed", "staged", "steps"]
 
 #: Word pattern of all contracts: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +29,34 @@ def row_key(id_col: str, text_col: str):
     )
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with its columns renamed to c0, c1, ..., which clash with none that are added, and those names in order."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names
+
+
+def numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """rows with the column id as a long, and the table (own, id) that leads back, None where ids are integers already.
+
+    Other ids get numbers that rise with them: a range-sorted table's monotonic ids. Null stays null.
+    """
+    if isinstance(rows.schema["id"].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        return rows.withColumn("id", F.col("id").cast("long")), None
+    own = rows.select(F.col("id").alias("own")).where("own IS NOT NULL").distinct().orderBy("own")
+    names = staged(own.withColumn("id", F.monotonically_increasing_id()))
+    return rows.withColumnRenamed("id", "own").join(names, "own", "left").select("id", *[c for c in rows.columns if c != "id"]), names
+
+
+def named(found: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """found with the ids in `columns` as they were before numbered()."""
+    if names is None:
+        return found
+    order = found.columns
+    for c in columns:
+        found = found.withColumnRenamed(c, "__id").join(names.select(F.col("id").alias("__id"), F.col("own").alias(c)), "__id", "left").drop("__id")
+    return found.select(*order)
+
+
 def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole texts; null counts as empty."""
     col = batch.column(batch.schema.get_field_index(column))

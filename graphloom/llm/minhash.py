@@ -12,16 +12,18 @@ rest of the work is on classes.
    in one order by frequency, so only those are posted again. Very frequent values end up outside.
 4. Merge with skips: the most central class of a posting list stands for it, and only its collisions with
    the others are counted; pairs with MATCHES or more are confirmed on the full sets. Members that are then
-   in one component need no comparison. What stays apart in a list is compared across components only: in
-   short lists pair by pair, in lists over SHORT by matrix products of the members' sets in blocks, which
-   give all intersections of a block at once and hand on one link for each two components.
+   in one component need no comparison. What stays apart in a list is compared across components only, by the
+   same rule at any length: count collisions, keep MATCHES or more, confirm. Lists up to SHORT do so by joins,
+   longer ones in blocks, whose collisions and intersections are matrix products; a block hands on one link
+   for each two components. SHORT and BLOCK change the cost, not the links.
 
 With 48 coordinates and 24 matches a pair at similarity 0.8 is missed with a chance under one in a million.
 Links are exact: 100 x intersection >= percent x union of the full sets.
 
 Defined results: null or wordless text has no shingles and links to nothing, itself being its component;
-fewer words than a shingle count as one shingle; a null id has a null component and is kept; rows that
-repeat an id and text share one. An empty table gives an empty result; further columns are ignored.
+fewer words than a shingle count as one shingle; a null id has a null component and is kept; ids of any
+orderable type keep it. Rows that repeat an id are one document: they share its component, so an id with two
+texts joins the copies of both. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, mixed, signed, staged, steps
+from ._common import Words, mixed, named, numbered, plain, signed, staged, steps
 from .components import components
 
 SHINGLE = 4
@@ -155,38 +157,49 @@ def _apart(postings: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame
     return at, lists.where("low < high").select("token", "m")
 
 
-def _products(percent: int):
+def _intersections(lists: pa.ListArray, chosen: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the chosen sets, all with all."""
+    offsets = np.asarray(lists.offsets).astype(np.int64)
+    flat = np.asarray(lists.values)
+    parts = [flat[offsets[k] : offsets[k + 1]] for k in chosen]
+    doc = np.repeat(np.arange(len(chosen)), [len(p) for p in parts])
+    values, column = np.unique(np.concatenate(parts), return_inverse=True)
+    shared = np.bincount(column, minlength=len(values)) > 1
+    doc, column = doc[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    both = np.zeros((len(chosen), len(chosen)), np.float32)
+    for first in range(0, int(shared.sum()), COLUMNS):
+        i, j = np.searchsorted(column, (first, first + COLUMNS))
+        part = np.zeros((len(chosen), COLUMNS), np.float32)
+        part[doc[i:j], column[i:j] - first] = 1
+        both += part @ part.T
+    return both.astype(np.int64)
+
+
+def _products(percent: int, matches: int):
     """(a, b): of all classes of a block, one link for each two components that have any."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         reps, labels = (table.column(c).to_numpy() for c in ("rep", "label"))
-        m = len(reps)
-        sets = table.column("shingles").combine_chunks()
-        offsets = np.asarray(sets.offsets).astype(np.int64)
-        sizes = np.diff(offsets)
-        doc = np.repeat(np.arange(m), sizes)
-        flat = np.asarray(sets.values)[offsets[0] : offsets[-1]]
-        values, column = np.unique(flat, return_inverse=True)
-        shared = np.bincount(column, minlength=len(values)) > 1
-        doc, column = doc[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
-        order = np.argsort(column, kind="stable")
-        doc, column = doc[order], column[order]
-        both = np.zeros((m, m), np.float32)
-        for first in range(0, int(shared.sum()), COLUMNS):
-            i, j = np.searchsorted(column, (first, first + COLUMNS))
-            part = np.zeros((m, COLUMNS), np.float32)
-            part[doc[i:j], column[i:j] - first] = 1
-            both += part @ part.T
+        tokens, sets = (table.column(c).combine_chunks() for c in ("tokens", "shingles"))
+        near = (_intersections(tokens, np.arange(len(reps))) >= matches) & (labels[:, None] != labels[None, :])
+        chosen = np.flatnonzero(near.any(axis=1))
+        if not len(chosen):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        reps, labels, near = reps[chosen], labels[chosen], near[np.ix_(chosen, chosen)]
+        sizes = np.diff(np.asarray(sets.offsets).astype(np.int64))[chosen]
         total = sizes[:, None] + sizes[None, :]
-        i, j = np.nonzero(((100 + percent) * both.astype(np.int64) >= percent * total) & (labels[:, None] < labels[None, :]))
+        linked = near & ((100 + percent) * _intersections(sets, chosen) >= percent * total)
+        i, j = np.nonzero(linked & (labels[:, None] < labels[None, :]))
         _, once = np.unique(np.stack([labels[i], labels[j]]), axis=1, return_index=True)
         return pa.table({"a": pa.array(reps[i[once]]), "b": pa.array(reps[j[once]])})
 
     return run
 
 
-def _blocks(at: DataFrame, lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _blocks(at: DataFrame, lists: DataFrame, posted: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
     """Links across the components of long lists.
 
     The component with the most members of a list is never compared with itself: its blocks meet the rest's
@@ -208,12 +221,13 @@ def _blocks(at: DataFrame, lists: DataFrame, sets: DataFrame, percent: int) -> D
     none = F.array().cast("array<struct<p:int,q:int>>")
     places = F.when(F.col("in_bulk"), from_bulk).otherwise(F.concat(to_rest, F.coalesce(to_bulk, none)))
     at = at.select("token", "rep", "label", F.explode(places).alias("at"))
-    at = at.join(sets.select(F.col("id").alias("rep"), "shingles"), "rep").select("token", "at.p", "at.q", "rep", "label", "shingles")
-    return at.groupBy("token", "p", "q").applyInArrow(_drop_key(_products(percent)), "a long, b long").distinct()
+    each = posted.select("rep", "tokens").join(sets.select(F.col("id").alias("rep"), "shingles"), "rep")
+    at = at.join(each, "rep").select("token", "at.p", "at.q", "rep", "label", "tokens", "shingles")
+    return at.groupBy("token", "p", "q").applyInArrow(_drop_key(_products(percent, matches)), "a long, b long").distinct()
 
 
 def _drop_key(run):
-    return lambda table: run(table.select(["rep", "label", "shingles"]))
+    return lambda table: run(table.select(["rep", "label", "tokens", "shingles"]))
 
 
 def near_duplicates(
@@ -227,7 +241,7 @@ def near_duplicates(
     matches: int = MATCHES,
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows, names = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     sketches = staged(
         rows.mapInArrow(_sketches(shingle, coordinates), "id long, n long, set_a long, set_b long, tokens array<long>")
     )
@@ -269,7 +283,7 @@ def near_duplicates(
     across = linked(across.select("a", "b"))
     long = apart.where(F.col("m") > SHORT)
     if not long.isEmpty():
-        across = across.unionByName(staged(_blocks(at, long, sets, percent)))
+        across = across.unionByName(staged(_blocks(at, long, posted, sets, percent, matches)))
     if not across.isEmpty():
         labels = staged(components(links.unionByName(across)))
     reps = classes.select("set_a", "set_b", "rep").join(labels, F.col("rep") == F.col("node"), "left")
@@ -278,10 +292,12 @@ def near_duplicates(
     out = out.select("id", "n", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
     out = out.unionByName(sketches.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
-    return out.select("id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    return named(out.select("id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept")), names, "id", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The documents that stay, one of each component, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col, **params).where("NOT kept").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, **params).where("NOT kept").select(F.col("id").alias("gone")).distinct()
+    rows, names = plain(docs)
+    rest = rows.join(gone, F.col(names[docs.columns.index(id_col)]) == F.col("gone"), "left_anti")
+    return rest.toDF(*docs.columns)
