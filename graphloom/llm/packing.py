@@ -8,11 +8,13 @@ smallest residual that fits and goes to the successor until a bin without confli
 compatible one. Without one a new bin opens.
 
 Documents are dealt into shards of about `shard_rows` by a hash of their id, which spreads the largest source
-and the largest group of copies alike, so a shard is bounded.
+and the largest group of copies alike. Rows that repeat id, source, cluster and size are counted first, on the
+map side, and then dealt by their number among each other, so they spread as well and a shard is bounded.
 
 Defined results: null or wordless text has 0 words and takes no room, in bin -1 of its shard; null source
-is a source of its own. Reruns agree: pieces are ordered by size, id and piece. An empty table gives an
-empty result; further columns are ignored.
+is a source of its own, a null id comes after all others of its size. Reruns agree: pieces are ordered by size,
+id, cluster, source and piece, and rows alike in all of them are interchangeable. An empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from ._common import Words, staged, steps
 CAPACITY = 2048
 PER_SOURCE = 3
 SHARD_ROWS = 4096
+#: Repeated rows that one task writes out.
+REPEATS = 65_536
 
 
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +98,7 @@ def pack_shard(sizes: list[int], sources: list, clusters: list, capacity: int =
 
 def _packer(capacity: int, per_source: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("words", "id", "source", "cluster", "shard")), strict=True), key=lambda r: (r[0], r[1] is None, r[1] or 0, r[3]))
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("words", "id", "source", "cluster", "shard")), strict=True), key=lambda r: (r[0], r[1] is None, r[1], r[3], r[2]))
         pieces = []
         for words, id_, source, cluster, _ in rows:
             for nth, begin in enumerate(range(0, max(words, 1), capacity)):
@@ -129,12 +133,17 @@ def pack(
         text.alias("text"),
     )
     kind = rows.schema["id"].dataType.simpleString()
-    # Only rows without an id are dealt by where they stand, which the staged table fixes.
-    sized = rows.mapInArrow(_sized, f"id {kind}, source string, cluster long, words long").withColumn("row", F.monotonically_increasing_id())
-    sized = staged(sized)
-    shards = max(1, -(-sized.count() // shard_rows))
-    own = F.coalesce(F.col("id").cast("string"), F.col("row").cast("string"))
-    shard = F.pmod(F.xxhash64(own, "cluster"), F.lit(shards)).cast("long")
-    dealt = sized.withColumn("shard", shard).drop("row")
+    sized = rows.mapInArrow(_sized, f"id {kind}, source string, cluster long, words long")
+    # Repeats are counted, then written out again in lots, each row with its number among its like.
+    sized = staged(sized.groupBy("id", "source", "cluster", "words").agg(F.count("*").alias("n")))
+    total, most = sized.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    lots = sized.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / REPEATS))).alias("lot"))
+    lots = lots.repartition("id", "lot") if most > REPEATS else lots
+    least = F.least(F.lit(REPEATS), F.col("n") - F.col("lot") * REPEATS)
+    each = lots.select("*", F.explode(F.sequence(F.lit(0).cast("long"), least - 1)).alias("nth"))
+    shards = max(1, -(-total // shard_rows))
+    text_id = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    shard = F.pmod(F.xxhash64(text_id, "cluster", "lot", "nth"), F.lit(shards)).cast("long")
+    dealt = each.select("id", "source", "cluster", "words", shard.alias("shard"))
     schema = f"id {kind}, shard long, bin long, position int, offset int, piece int, word_start long, n_words long"
     return dealt.groupBy("shard").applyInArrow(_packer(capacity, per_source), schema)
