@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .mixing import BLOCK_WORDS, REPEATS, SHARD_WORDS, SHARE_PERCENT, STEP, WEIGHTS
+from .mixing import BLOCK_WORDS, BUCKET_SHARDS, REPEATS, SHARD_WORDS, SHARE_PERCENT, STEP, WEIGHTS
 from .sharding import BUCKET_ROWS, LEVEL_BITS, SHARDS, WHOLE_SHARE, hilbert_table
 from .url_filter import ALIKE, DEPTH, MAX_BRANCHES, PRIOR, REJECT
 
@@ -98,15 +98,17 @@ MIXING = f"""
             / CAST(100 * sum(weight) OVER (ORDER BY cap / weight, skey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM w),
     t AS (SELECT skey, source_size, least(CAST(cap AS DOUBLE), coalesce(weight * (SELECT max(level) FROM lev WHERE level <= cap / weight), CAST(cap AS DOUBLE))) AS target FROM lev),
     dealt AS (SELECT d.*, source_size, target, CAST('0x' || substr(h, 1, 8) AS BIGINT) % CAST(ceil(greatest(source_size, 1) / {SHARD_WORDS}.0::DOUBLE) AS BIGINT) AS shard FROM d JOIN t USING (skey)),
-    sh AS (SELECT skey, shard, CAST(sum(size) AS BIGINT) AS words, CASE WHEN sum(size) > 0 THEN greatest(1, CAST(round(CAST(sum(size) AS BIGINT) / {BLOCK_WORDS}.0::DOUBLE) AS BIGINT)) ELSE 0 END AS blocks FROM dealt GROUP BY skey, shard),
+    sh AS (SELECT skey, shard, shard // {BUCKET_SHARDS} AS bucket, CAST(sum(size) AS BIGINT) AS words, CASE WHEN sum(size) > 0 THEN greatest(1, CAST(round(CAST(sum(size) AS BIGINT) / {BLOCK_WORDS}.0::DOUBLE) AS BIGINT)) ELSE 0 END AS blocks FROM dealt WHERE size > 0 GROUP BY skey, shard),
     ask0 AS (SELECT skey, CASE WHEN any_value(source_size) > 0 THEN any_value(target) / any_value(source_size) * CAST(sum(blocks) AS BIGINT) ELSE 0 END AS votes FROM sh JOIN t USING (skey) GROUP BY skey),
     ask AS (SELECT skey, votes, CAST(round(sum(votes) OVER ()) AS BIGINT) AS seats FROM ask0),
     {_sainte_lague('ask', 'seats', 'skey', None)},
-    ask2 AS (SELECT skey, shard, blocks AS votes, coalesce(quota, 0) AS seats FROM sh LEFT JOIN seats USING (skey)),
-    {_sainte_lague('ask2', 'quotas', 'shard', 'skey')},
+    ask2 AS (SELECT skey, bucket, CAST(sum(blocks) AS BIGINT) AS votes, any_value(coalesce(quota, 0)) AS seats FROM sh LEFT JOIN seats USING (skey) GROUP BY skey, bucket),
+    {_sainte_lague('ask2', 'lots', 'bucket', 'skey')},
+    ask3 AS (SELECT skey, bucket, shard, blocks AS votes, coalesce(quota, 0) AS seats FROM sh LEFT JOIN lots USING (skey, bucket)),
+    {_sainte_lague('ask3', 'quotas', 'shard', 'skey, bucket')},
     q AS (SELECT sh.skey, sh.shard, words, blocks, least(coalesce(quota, 0), {REPEATS} * blocks) AS quota, CASE WHEN blocks > 0 THEN CAST('0x' || substr(md5('mix:' || sh.skey || ':' || sh.shard), 1, 8) AS BIGINT) % blocks ELSE 0 END AS shift
           FROM sh LEFT JOIN quotas USING (skey, shard)),
-    placed AS (SELECT dealt.*, words, blocks, quota, shift, CAST(coalesce(sum(size) OVER (PARTITION BY dealt.skey, dealt.shard ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM dealt JOIN q USING (skey, shard)),
+    placed AS (SELECT dealt.*, words, blocks, quota, shift, CAST(coalesce(sum(size) OVER (PARTITION BY dealt.skey, dealt.shard, dealt.size > 0 ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM dealt LEFT JOIN q USING (skey, shard)),
     part AS (SELECT doc_id, b, size, skey, shard, words, blocks, quota, shift, unnest(generate_series(((b + 1) * blocks - 1) // words, ((b + size) * blocks - 1) // words)) AS i FROM placed WHERE size > 0),
     extra AS (SELECT doc_id, skey, shard, b, CAST(sum(least(((i + 1) * words) // blocks, b + size) - greatest((i * words) // blocks, b)) AS BIGINT) AS x FROM part WHERE (i * {STEP} + shift) % blocks < quota % blocks GROUP BY doc_id, skey, shard, b)
     SELECT p.doc_id, p.size, p.source_size, p.target, CASE WHEN p.size = 0 THEN 0 ELSE (quota // blocks) * p.size + coalesce(x, 0) END AS taken

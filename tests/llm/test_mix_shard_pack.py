@@ -36,7 +36,7 @@ def test_water_fill(spark):
     for r in rows:
         sizes[r[3]] += len(words(r[1]))
     want = water_fill(sizes)
-    plan = mixing.mix_plan(frame(spark, rows), with_key=True)
+    plan = mixing.mix_plan(frame(spark, rows))
     got = {r.id: (r.source_size, r.target, r["size"]) for r in plan.collect()}
     for i, text, _, source in rows:
         assert got[i][0] == sizes[source] and got[i][2] == len(words(text))
