@@ -13,7 +13,7 @@ from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from ..storage import staged
 
-__all__ = ["LOWER", "SPACE", "WORD", "Words", "mixed", "named", "numbered", "plain", "row_key", "signed", "staged", "steps"]
+__all__ = ["LOWER", "SPACE", "WORD", "Words", "mixed", "named", "numbered", "plain", "signed", "spread_join", "staged", "steps"]
 
 #: Word pattern of all contracts: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,14 +21,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 STEP_BYTES = 1 << 19
 
 
-def row_key(id_col: str, text_col: str):
-    """A non-null key of a row by id and text; rows that repeat both share it."""
-    text = F.col(text_col)
-    return F.concat(
-        F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), F.sha2(F.coalesce(text, F.lit("")), 256)
-    )
-
-
 def plain(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """docs with its columns renamed to c0, c1, ..., which clash with none that are added, and those names in order."""
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -57,6 +49,22 @@ def named(found: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame
     return found.select(*order)
 
 
+#: A key with a greater share of the rows than one in so many is joined by broadcast.
+HEAVY = 4096
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows joined with the one row of table for each key; `size` is how many of the rows, `total` at most, have that key.
+
+    Keys with over 1 / HEAVY of the total, HEAVY at most, are settled on the map side; the others, none of them
+    hot, go through a shuffle. `size` is left out.
+    """
+    heavy = F.broadcast(table.where(F.col(size) * HEAVY > total).drop(size))
+    light = table.where(F.col(size) * HEAVY <= total).drop(size)
+    rest = rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys)
+    return rows.join(heavy, keys).unionByName(rest)
+
+
 def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole texts; null counts as empty."""
     col = batch.column(batch.schema.get_field_index(column))

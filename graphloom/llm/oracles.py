@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from .mixing import BLOCK_WORDS, BUCKET_SHARDS, REPEATS, SHARD_WORDS, SHARE_PERCENT, STEP, WEIGHTS
 from .sharding import BUCKET_ROWS, LEVEL_BITS, SHARDS, WHOLE_SHARE, hilbert_table
-from .url_filter import ALIKE, DEPTH, MAX_BRANCHES, PRIOR, REJECT
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -119,29 +118,43 @@ _RULE = "ends_with('.' || host, '.' || '{h}') AND starts_with(path, '{p}')"
 _HOST = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _url_level(k: int) -> str:
+    """One level of the tree: segments, branches, and the rows that go on to the next."""
+    off = lambda c: f"abs({c} / CAST(n AS DOUBLE) - all_{c} / CAST(all_n AS DOUBLE)) > 2.0 * sqrt((all_{c} / CAST(all_n AS DOUBLE)) * (1 - all_{c} / CAST(all_n AS DOUBLE)) / n)"
+    return f"""
+    seg{k} AS (SELECT host, template, parts[{k + 1}] AS part, any_value(passed) AS passed, CAST(sum(bad) AS BIGINT) AS bad, CAST(sum(good) AS BIGINT) AS good, CAST(sum(n) AS BIGINT) AS n,
+        CAST(sum(CASE WHEN len(parts) <= {k + 1} THEN n ELSE 0 END) AS BIGINT) AS ends FROM row{k} GROUP BY 1, 2, 3),
+    br{k} AS (SELECT host, template, any_value(passed) AS was, CAST(sum(bad) AS BIGINT) AS all_bad, CAST(sum(good) AS BIGINT) AS all_good, CAST(sum(n) AS BIGINT) AS all_n, CAST(sum(ends) AS BIGINT) AS all_ends,
+        count(*) AS segments, count(part) AS deeper, coalesce(sum(bad / CAST(bad + good AS DOUBLE)) FILTER (bad + good > 0), 0) AS impure, count(*) FILTER (bad + good > 0) AS labelled FROM seg{k} GROUP BY 1, 2),
+    end{k} AS (SELECT host, template, (all_bad + 2 * was) / (all_bad + all_good + 2) AS purity FROM br{k} WHERE all_bad = all_n OR all_good = all_n OR all_bad + all_good = 0 OR deeper = 0),
+    named{k} AS (SELECT *, CASE WHEN part IS NULL THEN '$' WHEN segments = 1 OR {off('bad')} OR {off('good')} OR {off('ends')} THEN '/' || part ELSE '/*' END AS name
+        FROM seg{k} JOIN br{k} USING (host, template) ANTI JOIN end{k} USING (host, template)),
+    part{k} AS (SELECT host, template, name, any_value(impure) AS impure, any_value(labelled) AS labelled, any_value(was) AS was, list(part) AS parts_in,
+        coalesce(sum(bad / CAST(bad + good AS DOUBLE)) FILTER (bad + good > 0), 0) AS own, count(*) FILTER (bad + good > 0) AS own_n FROM named{k} GROUP BY 1, 2, 3),
+    row{k + 1} AS (SELECT r.host, r.shape, r.bad, r.good, r.n, r.parts, r.template || m.name AS template, (impure - own + 2 * was) / (labelled - own_n + 2) AS passed
+        FROM row{k} r JOIN named{k} m ON m.host = r.host AND m.template = r.template AND m.part IS NOT DISTINCT FROM r.parts[{k + 1}] JOIN
+        (SELECT host, template, name, own, own_n FROM part{k}) p ON p.host = m.host AND p.template = m.template AND p.name = m.name)"""
+
+
+#: Levels that the statement spells out: paths of the tables have two segments.
+URL_LEVELS = 4
+
+
 def url_sql(rules) -> str:
     ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     pick = lambda f: "CASE " + " ".join(f"WHEN {_RULE.format(h=r[1], p=r[2])} THEN '{f(r)}'" for r in ordered) + " END"
-    levels = ["tree0 AS (SELECT host, shape, bad, good, CASE WHEN shape = '' THEN []::VARCHAR[] ELSE string_split(substr(shape, 2), '/') END AS parts, '' AS template, '' AS branch FROM shapes)"]
-    for k in range(DEPTH):
-        levels.append(f"""wide{k} AS (SELECT host, template FROM tree{k} WHERE len(parts) > {k} GROUP BY host, template HAVING count(DISTINCT parts[{k + 1}]) > {MAX_BRANCHES}),
-        tree{k + 1} AS (SELECT t.host, shape, bad, good, parts, CASE WHEN len(parts) > {k} THEN t.template || '/' || CASE WHEN w.host IS NULL THEN parts[{k + 1}] ELSE '*' END ELSE t.template END AS template,
-            CASE WHEN len(parts) > {k} THEN t.template ELSE branch END AS branch FROM tree{k} t LEFT JOIN wide{k} w ON w.host = t.host AND w.template = t.template)""")
     segment = r"""CASE WHEN regexp_matches(split_part(s, '.', 1), '^[0-9]+$') THEN '*' || substr(s, len(split_part(s, '.', 1)) + 1)
             WHEN regexp_matches(split_part(s, '.', 1), '^[0-9a-z-]{6,}$') AND regexp_matches(split_part(s, '.', 1), '[0-9]') AND regexp_matches(split_part(s, '.', 1), '[a-z-]') THEN '*' || substr(s, len(split_part(s, '.', 1)) + 1) ELSE s END"""
     return f"""
     WITH u AS (SELECT page_id, {_HOST} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
     r AS (SELECT *, {pick(lambda r: r[1] + r[2])} AS rule, {pick(lambda r: r[0])} AS by_rule,
-        array_to_string(list_prepend('', list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {segment})[1:{DEPTH}]), '/') AS shape FROM u),
-    shapes AS (SELECT host, shape, count(*) FILTER (by_rule = 'block') AS bad, count(*) FILTER (by_rule = 'allow') AS good FROM r GROUP BY host, shape),
-    {', '.join(levels)},
-    share AS (SELECT coalesce(CAST(sum(bad) AS DOUBLE) / nullif(CAST(sum(bad + good) AS BIGINT), 0), 0) AS s FROM tree{DEPTH}),
-    own AS (SELECT host, template, any_value(branch) AS branch, CAST(sum(bad) AS BIGINT) AS bad, CAST(sum(bad + good) AS BIGINT) AS n FROM tree{DEPTH} GROUP BY host, template),
-    pooled AS (SELECT *, sum(bad) OVER (PARTITION BY host, branch) AS all_bad, sum(n) OVER (PARTITION BY host, branch) AS all_n FROM own),
-    j AS (SELECT *, n > 0 AND abs(CAST(bad AS DOUBLE) / n - CAST(all_bad AS DOUBLE) / all_n) <= {ALIKE} * sqrt((CAST(all_bad AS DOUBLE) / all_n) * (1 - CAST(all_bad AS DOUBLE) / all_n) / n) AS alike FROM pooled),
-    judged AS (SELECT host, template, n > 0 AND (CASE WHEN alike THEN all_bad ELSE bad END + {PRIOR} * (SELECT s FROM share)) / (CASE WHEN alike THEN all_n ELSE n END + {PRIOR}) >= {REJECT} AS out FROM j)
-    SELECT page_id, r.host, path, rule, coalesce(by_rule, CASE WHEN out THEN 'block' ELSE 'allow' END) AS verdict
-    FROM r JOIN tree{DEPTH} t ON t.host = r.host AND t.shape = r.shape JOIN judged j ON j.host = t.host AND j.template = t.template
+        list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {segment}) AS parts FROM u),
+    shapes AS (SELECT host, parts, array_to_string(list_prepend('', parts), '/') AS shape, count(*) FILTER (by_rule = 'block') AS bad, count(*) FILTER (by_rule = 'allow') AS good, count(*) AS n FROM r GROUP BY host, parts),
+    row0 AS (SELECT host, shape, bad, good, n, parts, '' AS template, CAST(0.5 AS DOUBLE) AS passed FROM shapes),
+    {', '.join(_url_level(k) for k in range(URL_LEVELS))},
+    judged AS ({' UNION ALL '.join(f"SELECT w.host, w.shape, purity FROM row{k} w JOIN end{k} USING (host, template)" for k in range(URL_LEVELS))})
+    SELECT page_id, r.host, path, rule, coalesce(by_rule, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict
+    FROM r JOIN judged j ON j.host = r.host AND j.shape = array_to_string(list_prepend('', r.parts), '/')
     """
 
 

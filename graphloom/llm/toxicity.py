@@ -1,18 +1,23 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
-Features are words and word stems (leading bytes), lower-cased, hashed to 2 ** BITS buckets; those whose
-document frequency differs between toxic and other labelled documents are selected. A document's values are
-occurrences per hundred words, so one quoted insult in a long text weighs little.
+Features are words and word stems (leading bytes), lower-cased, hashed to 2 ** BITS buckets; all those whose
+document frequency differs by LEAST_Z standard errors between toxic and other labelled documents are selected,
+2 ** BITS at most. A document's values are occurrences per hundred words, so one quoted insult in a long text
+weighs little.
 
 Labels are 0 or 1. Toxic documents are graded 1 to 3 by the terciles of how dense the selected features are
 in them, others are grade 0. The model is P(grade <= k) = sigmoid(threshold_k - w.x): one weight vector,
 three ordered thresholds. Output is the expected severity, the sum over k of P(grade >= k).
 
-Fitting uses at most `max_labelled` labelled documents, those of smallest id hash; all documents are scored,
-whole, in one pass that ships only the selected weights.
+Fitting uses at most `max_labelled` labelled documents, those of smallest id hash, and of these the first whose
+texts fill `max_bytes`; they are written down once. All documents are scored, whole, in one pass that ships only
+the selected weights.
 
 Defined results: null or wordless text has severity 0; without both classes of labels every severity is 0;
-of several labels of an id the largest counts; null labels are ignored. An empty table gives an empty result.
+of several labels of an id the largest counts; null labels are ignored. Of rows that repeat a labelled id the
+greatest text is learned from, once; every row is scored by its own text alone, so equal texts tie exactly and
+texts of any length are read whole. drop_toxic keeps all columns, whatever their names. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -22,15 +27,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Words, mixed, steps
+from ._common import Words, mixed, plain, staged, steps
 
 BITS = 20
 STEMS = (4, 5, 6, 7, 8)
 MAX_LABELLED = 20_000
-MAX_FEATURES = 4096
+MAX_LABELLED_BYTES = 64 << 20
 #: Least standardised log-odds of a feature, and documents it must be in.
 LEAST_Z, LEAST_DOCS = 3.2, 4
 GRADES = 3
@@ -136,11 +141,18 @@ def fit(row: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, n_
     return p[:n_features], np.concatenate(([first], first + np.cumsum(gaps)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_labelled: int) -> Model | None:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_LABELLED_BYTES
+) -> Model | None:
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
     own = own.agg(F.max(F.col(label_col)).cast("int").alias("toxic"))
     own = own.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own), "id").select("text", "toxic")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own), "id")
+    rows = staged(rows.groupBy("id", "toxic").agg(F.max("text").alias("text")))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    upto = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1)  # max_labelled short rows
+    first = rows.select("id", size.alias("size")).withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0)))
+    rows = rows.join(F.broadcast(first.where(F.col("before") < max_bytes).select("id")), "id", "left_semi").select("text", "toxic")
     classes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = classes.get(1, 0), classes.get(0, 0)
     if not bad or not good:
@@ -150,12 +162,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     odds = F.log(a / (bad + 1 - a)) - F.log(b / (good + 1 - b))
     z = odds / F.sqrt(1 / a + 1 / (bad + 1 - a) + 1 / b + 1 / (good + 1 - b))
-    chosen = counts.select("feature", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "feature").limit(MAX_FEATURES)
-    picked = sorted((r["feature"], r["z"]) for r in chosen.collect())
+    chosen = counts.select("feature", z.alias("z")).where(F.abs("z") >= LEAST_Z)
+    picked = sorted((r["feature"], r["z"]) for r in chosen.collect())  # 2 ** BITS rows at most
     if not picked:
         return None
     features, strength = np.array([f for f, _ in picked]), np.array([s for _, s in picked])
-    # Arrow keeps the sample's entries as flat arrays; max_labelled bounds it.
+    # Arrow keeps the sample's entries as flat arrays; max_labelled and max_bytes bound it.
     found = rows.mapInArrow(_rows(features), "toxic int, f array<int>, v array<float>").toArrow().combine_chunks()
     toxic = found.column("toxic").to_numpy()
     entries = [found.column(c).combine_chunks() for c in ("f", "v")]
@@ -195,22 +207,23 @@ def _scorer(model: Model | None, column: str):
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **bounds: int
 ) -> DataFrame:
     """One row per document: id, expected_severity (0 to 3), grade (thresholds passed)."""
-    model = train(docs, labels, id_col, text_col, label_col, max_labelled)
+    model = train(docs, labels, id_col, text_col, label_col, **bounds)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     scored = rows.mapInArrow(_scorer(model, "text"), f"id {kind}, text string, expected_severity double, grade int")
     return scored.drop("text")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: float = LIMIT, **params) -> DataFrame:
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: float = LIMIT, **bounds: int
+) -> DataFrame:
     """The documents below the limit, with all their columns."""
-    model = train(docs, labels, id_col, text_col, params.get("label_col", "toxic"), params.get("max_labelled", MAX_LABELLED))
-    names = [f"c{i}" for i in range(len(docs.columns))]  # other columns may clash with those added
-    rows = docs.toDF(*names)
+    model = train(docs, labels, id_col, text_col, label_col, **bounds)
+    rows, names = plain(docs)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     scorer = _scorer(model, names[docs.columns.index(text_col)])
     out = rows.mapInArrow(scorer, f"{schema}, expected_severity double, grade int").where(F.col("expected_severity") < limit)
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    return out.select(*names).toDF(*docs.columns)

@@ -3,14 +3,19 @@
 A rule is a host, or a host and the start of a path; it fits that host and its subdomains, and of several the
 longest wins. URLs that a rule decides are the labels of the method; a table of further labels may be given.
 
-The tree has a host's path segments, DEPTH levels deep. Segments that are numbers, or ids mixing digits and
-letters, become wildcards; so does every level of a branch with more than `max_branches` different segments.
-Children of one branch whose labelled purity does not differ significantly from the branch's as a whole are
-merged with it. The smoothed purity of a template, (bad + PRIOR x share) / (labels + PRIOR) with the share of bad
-labels overall, decides: REJECT or more blocks. A template without labels is allowed.
-
-Defined results: a null URL, or one without ://, has an empty host and path and is allowed; rows that repeat
-are judged alike. An empty table gives an empty result; further columns are ignored.
+The tree has a host's path segments, to any depth. Segments that are numbers, or ids mixing digits and letters,
+become wildcards first. From the host down, a branch whose pages are neither all bad, all good nor all without
+a label is split by its next segment; a segment whose shares of bad, of good and of ending pages lie within ALIKE
+standard errors of the branch's becomes a wildcard too, which merges it and all below it with the others alike.
+A branch that is not split is a template.
+
+Purity is smoothed from the host down. What a branch passes to a part of it is (sum of the other labelled segments'
+shares of bad + PRIOR x what it was passed) / (other labelled segments + PRIOR), starting from one half: each segment counts once and never for itself, so one branch with many labels does not condemn its
+neighbours, several do. A template's purity is (bad + PRIOR x passed) / (labels + PRIOR); REJECT or more blocks, with or without labels of its own.
+
+Defined results: a null URL, or one without ://, has an empty host and path and is judged like any host; rows
+that repeat are judged alike, and so are ties. URLs may be of any length. An empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,15 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import spread_join, staged
 
 ALLOW, BLOCK = "allow", "block"
 RULES = ((BLOCK, "net", "/"), (ALLOW, "example.net", "/en/"), (BLOCK, "example.com", "/de/"), (ALLOW, "org", "/fr/"))
-DEPTH = 3
-MAX_BRANCHES = 64
-PRIOR = 5
+PRIOR = 2
 REJECT = 0.8
-#: Standard errors within which a child's purity counts as its branch's.
+#: Standard errors within which a segment's shares count as its branch's.
 ALIKE = 2.0
 
 
@@ -57,26 +60,72 @@ def _segment(s: Column) -> Column:
 
 
 def _shape() -> Column:
-    """The path as generalised segments, DEPTH at most, each after a slash."""
+    """The path as generalised segments, each after a slash."""
     parts = F.filter(F.split(F.col("path"), "/"), lambda s: s != "")
-    return F.concat_ws("/", F.lit(""), F.slice(F.transform(parts, _segment), 1, DEPTH))
-
-
-def template_tree(shapes: DataFrame, max_branches: int = MAX_BRANCHES) -> DataFrame:
-    """Adds template and branch (the template less its last segment) to distinct (host, shape)."""
-    tree = shapes.withColumn("__parts", F.split(F.substring("shape", 2, 1 << 20), "/"))
-    tree = tree.withColumn("template", F.lit("")).withColumn("branch", F.lit(""))
-    for level in range(DEPTH):
-        tree = tree.withColumn("__part", F.when(F.col("shape") != "", F.get("__parts", F.lit(level))))
-        wide = tree.where("__part IS NOT NULL").groupBy("host", "template", "__part").agg(F.lit(1).alias("__one"))
-        wide = wide.groupBy("host", "template").count().where(F.col("count") > max_branches)
-        tree = tree.join(wide, ["host", "template"], "left")
-        part = F.when(F.col("count").isNotNull(), F.lit("*")).otherwise(F.col("__part"))
-        deeper = F.col("__part").isNotNull()
-        tree = tree.withColumn("branch", F.when(deeper, F.col("template")).otherwise(F.col("branch")))
-        tree = tree.withColumn("template", F.when(deeper, F.concat("template", F.lit("/"), part)).otherwise(F.col("template")))
-        tree = tree.drop("count", "__part")
-    return tree.drop("__parts")
+    return F.concat_ws("/", F.lit(""), F.transform(parts, _segment))
+
+
+def _differs(own: str, whole: str) -> Column:
+    p, q = F.col(own) / F.col("n"), F.col(whole) / F.col("all_n")
+    return F.abs(p - q) > ALIKE * F.sqrt(q * (1 - q) / F.col("n"))
+
+
+def template_tree(shapes: DataFrame) -> DataFrame:
+    """(host, shape, template, labels, purity) of distinct shapes (host, shape, bad, good, n), n counting all pages."""
+    total = shapes.count()
+    parts = F.filter(F.split(F.col("shape"), "/"), lambda s: s != "")
+    rows = shapes.withColumn("parts", parts).withColumn("template", F.lit("")).withColumn("passed", F.lit(0.5))
+    found, level = [], 0
+    while True:
+        part = F.get("parts", F.lit(level))
+        counts = [F.sum(c).alias(f"all_{c}") for c in ("bad", "good", "n", "ends")]
+        segments = rows.withColumn("part", part).withColumn("ends", F.when(F.size("parts") <= level + 1, F.col("n")).otherwise(0))
+        segments = segments.groupBy("host", "template", "part").agg(
+            *[F.sum(c).alias(c) for c in ("bad", "good", "n", "ends")], F.count("*").alias("shapes"), F.first("passed").alias("passed")
+        )
+        segments = staged(segments)
+        labels = F.col("bad") + F.col("good")
+        branches = segments.groupBy("host", "template").agg(
+            *counts,
+            F.sum("shapes").alias("all_shapes"),
+            F.count("*").alias("segments"),
+            F.sum(F.when(labels > 0, F.col("bad") / labels)).alias("impure"),
+            F.count_if(labels > 0).alias("labelled"),
+            F.count("part").alias("deeper"),
+            F.first("passed").alias("was"),
+        )
+        uniform = (F.col("all_bad") == F.col("all_n")) | (F.col("all_good") == F.col("all_n")) | (F.col("all_bad") + F.col("all_good") == 0)
+        branches = staged(branches.withColumn("whole", uniform | (F.col("deeper") == 0)))
+        purity = (F.col("all_bad") + PRIOR * F.col("was")) / (F.col("all_bad") + F.col("all_good") + PRIOR)
+        judged = branches.where("whole").select("host", "template", "all_shapes", (F.col("all_bad") + F.col("all_good")).alias("labels"), purity.alias("purity"))
+        found.append(spread_join(rows.select("host", "shape", "template"), judged, ["host", "template"], "all_shapes", total))
+        split = branches.where("NOT whole")
+        if split.isEmpty():
+            break
+        segments = spread_join(segments, split.withColumn("n_segments", F.col("segments")), ["host", "template"], "segments", total)
+        differs = _differs("bad", "all_bad") | _differs("good", "all_good") | _differs("ends", "all_ends") | (F.col("n_segments") == 1)
+        name = F.when(F.col("part").isNull(), F.lit("$")).when(differs, F.concat(F.lit("/"), F.col("part"))).otherwise(F.lit("/*"))
+        impurity = F.when(labels > 0, F.col("bad") / labels).otherwise(F.lit(0.0))
+        merges = F.col("part").isNotNull() & ~differs
+        segments = segments.select(
+            "host", "template", F.coalesce("part", F.lit("")).alias("part"), "shapes", name.alias("name"), impurity.alias("own"),
+            (labels > 0).cast("int").alias("own_n"), merges.alias("merges"), "impure", "labelled", "was",
+        )
+        pooled = segments.groupBy("host", "template").agg(
+            F.sum(F.when(F.col("merges"), F.col("own")).otherwise(0.0)).alias("pool"), F.sum(F.when(F.col("merges"), F.col("own_n")).otherwise(0)).alias("pool_n"), F.count("*").alias("segments")
+        )
+        segments = spread_join(segments, pooled, ["host", "template"], "segments", total)
+        own, own_n = (F.when(F.col("merges"), F.col(f"pool{x}")).otherwise(F.col(f"own{x}")) for x in ("", "_n"))
+        passes = (F.coalesce("impure", F.lit(0.0)) - own + PRIOR * F.col("was")) / (F.col("labelled") - own_n + PRIOR)
+        segments = staged(segments.select("host", "template", "part", "shapes", "name", passes.alias("passes")))
+        rows = rows.drop("passed").withColumn("part", F.coalesce(part, F.lit("")))
+        rows = spread_join(rows, segments, ["host", "template", "part"], "shapes", total)
+        rows = staged(rows.withColumn("template", F.concat("template", "name")).withColumnRenamed("passes", "passed").drop("name", "part"))
+        level += 1
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return staged(out)
 
 
 def judge_urls(
@@ -85,29 +134,24 @@ def judge_urls(
     url_col: str = "url",
     rules=RULES,
     labels: DataFrame | None = None,
-    max_branches: int = MAX_BRANCHES,
     reject: float = REJECT,
 ) -> DataFrame:
-    """One row per page: id, host, path, rule, verdict, template purity. labels: (host, shape, bad, good) counts to add."""
+    """One row per page: id, host, path, rule, verdict, template, its labels and purity.
+
+    labels: (host, shape, bad, good) counts to add, each label counting as a page.
+    """
     rows = pages.select(F.col(id_col).alias("id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     rule, by_rule = rule_match(rules)
     rows = rows.select("*", _shape().alias("shape"), rule.alias("rule"), by_rule.alias("by_rule"))
-    shapes = rows.groupBy("host", "shape").agg(F.count_if(F.col("by_rule") == BLOCK).alias("bad"), F.count_if(F.col("by_rule") == ALLOW).alias("good"))
+    shapes = rows.groupBy("host", "shape").agg(
+        F.count_if(F.col("by_rule") == BLOCK).alias("bad"), F.count_if(F.col("by_rule") == ALLOW).alias("good"), F.count("*").alias("n"), F.count("*").alias("pages")
+    )
     if labels is not None:
-        shapes = shapes.unionByName(labels).groupBy("host", "shape").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    tree = staged(template_tree(shapes, max_branches))
-    bad, good = tree.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
-    share = bad / (bad + good) if bad + good else 0.0
-
-    own = tree.groupBy("host", "template").agg(F.first("branch").alias("branch"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    whole = own.groupBy("host", "branch").agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"))
-    both = own.join(whole, ["host", "branch"]).withColumn("n", F.col("bad") + F.col("good"))
-    p, q = F.col("bad") / F.col("n"), F.col("all_bad") / (F.col("all_bad") + F.col("all_good"))
-    alike = (F.col("n") > 0) & (F.abs(p - q) <= ALIKE * F.sqrt(q * (1 - q) / F.col("n")))
-    pooled_bad, pooled_n = F.when(alike, F.col("all_bad")).otherwise(F.col("bad")), F.when(alike, F.col("all_bad") + F.col("all_good")).otherwise(F.col("n"))
-    purity = F.when(F.col("n") > 0, (pooled_bad + PRIOR * F.lit(share)) / (pooled_n + PRIOR))
-    judged = tree.select("host", "shape", "template").join(both.select("host", "template", purity.alias("purity")), ["host", "template"])
-
-    out = rows.join(judged.select("host", "shape", "template", "purity"), ["host", "shape"])
+        more = labels.select("host", "shape", "bad", "good", (F.col("bad") + F.col("good")).alias("n"), F.lit(0).cast("long").alias("pages"))
+        shapes = shapes.unionByName(more).groupBy("host", "shape").agg(*[F.sum(c).alias(c) for c in ("bad", "good", "n", "pages")])
+    shapes = staged(shapes)
+    total = shapes.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    tree = template_tree(shapes.drop("pages")).join(shapes.select("host", "shape", "pages"), ["host", "shape"])
+    out = spread_join(rows, tree, ["host", "shape"], "pages", total)
     learned = F.when(F.col("purity") >= reject, F.lit(BLOCK)).otherwise(F.lit(ALLOW))
-    return out.select("id", "host", "path", "rule", F.coalesce("by_rule", learned).alias("verdict"), "template", "purity")
+    return out.select("id", "host", "path", "rule", F.coalesce("by_rule", learned).alias("verdict"), "template", "labels", "purity")

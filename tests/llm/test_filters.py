@@ -119,13 +119,47 @@ def test_url_templates(spark):
     assert got[0]["template"] == "/spam/*" and got[45]["template"] == "/news/*.html"
 
 
+def urls_of(spark, urls):
+    return spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+
+
 def test_url_wide_branch_becomes_a_wildcard(spark):
     names = ["".join(random.Random(i).choices("abcdefgh", k=9)) for i in range(90)]
-    pages = spark.createDataFrame([(i, f"http://h.com/user/{n}/posts") for i, n in enumerate(names)], "page_id long, url string")
-    assert {r["template"] for r in url_filter.judge_urls(pages).collect()} == {"/user/*/posts"}
+    urls = [f"http://h.com/user/{n}/posts" for n in names] + [f"http://h.com/de/{i}" for i in range(90)]
+    got = [r["template"] for r in url_filter.judge_urls(urls_of(spark, urls), rules=((url_filter.BLOCK, "h.com", "/de/"), (url_filter.ALLOW, "h.com", f"/user/{names[0]}"))).collect()]
+    assert set(got[90:]) == {"/de"} and got.count("/user/*/posts") + got.count("/user/*") >= 89
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_tree_decides_pages_without_a_rule_at_any_depth(spark):
+    """A spam folder whose parts are known from rules takes its other pages along; its neighbours stay."""
+    deep = "http://h.com/a/b/c/d"
+    spam = [f"{deep}/spam{'abcdefghij'[i]}x/{k}" for i in range(10) for k in range(12)]
+    news = [f"{deep}/news/{k}.html" for k in range(40)] + [f"{deep}/new/{k}" for k in range(30)]
+    rules = tuple((url_filter.BLOCK, "h.com", f"/a/b/c/d/spam{x}x/") for x in "abcdefgh") + ((url_filter.ALLOW, "h.com", "/a/b/c/d/news/"),)
+    got = {r["id"]: r for r in url_filter.judge_urls(urls_of(spark, spam + news), rules=rules).collect()}
+    unruled = [got[i] for i in range(8 * 12, 10 * 12)]
+    assert all(r["rule"] is None and r["verdict"] == "block" for r in unruled)
+    assert {got[i]["verdict"] for i in range(120, 160)} == {"allow"}
+    alone = url_filter.judge_urls(urls_of(spark, spam[:24] + news[:40]), rules=((url_filter.BLOCK, "h.com", "/a/b/c/d/spamax/"),)).collect()
+    assert {r["verdict"] for r in alone if r["rule"] is None} == {"allow"}  # one bad branch does not condemn its neighbours
+
+
+def test_url_held_out_rules_are_predicted(spark):
+    """A quarter of the ruled pages loses its label; the tree alone says what their rule says."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = pages.select("page_id", url_filter.host(F.col("url")).alias("host"), url_filter.path(F.col("url")).alias("path"))
+    rows = rows.select("*", url_filter._shape().alias("shape"), url_filter.rule_match()[1].alias("truth"))
+    known = rows.where("truth IS NOT NULL AND crc32(cast(page_id as string)) % 4 <> 0").groupBy("host", "shape")
+    known = known.agg(F.count_if(F.col("truth") == "block").alias("bad"), F.count_if(F.col("truth") == "allow").alias("good"))
+    got = url_filter.judge_urls(pages, rules=(), labels=known).select(F.col("id").alias("page_id"), "verdict")
+    held = rows.where("truth IS NOT NULL AND crc32(cast(page_id as string)) % 4 = 0").join(got, "page_id").groupBy("truth", "verdict").count().collect()
+    n = {(r["truth"], r["verdict"]): r["count"] for r in held}
+    caught, missed, wrong = (n.get(k, 0) for k in (("block", "block"), ("block", "allow"), ("allow", "block")))
+    print("held out:", n)
+    assert caught / (caught + missed) >= 0.8 and caught / (caught + wrong) >= 0.95
+
+
 SAMPLE = {
     "en": "the quick brown fox jumps over the lazy dog and then the other thing that they were thinking about with this house",
     "de": "der schnelle braune fuchs springt über den faulen hund und dann das andere ding über das sie nachgedacht haben größe",
