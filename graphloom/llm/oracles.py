@@ -159,12 +159,12 @@ def url_sql(rules) -> str:
 
 
 def _grams(source: str, keys: str) -> str:
-    """(keys, code) rows of 1- to 3-byte n-grams of the column t of source, words between single spaces."""
+    """(keys, code) rows of the 1 to 3 characters from each of the column t of source, words between single spaces."""
     return f"""
-        SELECT {keys}, unnest([b, CASE WHEN c IS NOT NULL THEN 16777216 + b * 256 + c END, CASE WHEN d IS NOT NULL AND c <> 32 THEN 33554432 + (b * 256 + c) * 256 + d END]) AS code FROM (
+        SELECT {keys}, unnest([CASE WHEN b <> ' ' THEN b END, CASE WHEN c IS NOT NULL AND NOT (b = ' ' AND c = ' ') THEN b || c END, CASE WHEN d IS NOT NULL AND c <> ' ' THEN b || c || d END]) AS code FROM (
             SELECT {keys}, b, lead(b) OVER (PARTITION BY doc_id ORDER BY i) AS c, lead(b, 2) OVER (PARTITION BY doc_id ORDER BY i) AS d FROM (
-                SELECT {keys}, CAST('0x' || unnest(h) AS BIGINT) AS b, unnest(generate_series(1, len(h))) AS i FROM (
-                    SELECT {keys}, regexp_extract_all(hex(encode(' ' || trim(regexp_replace(lower(t), '[\\x00-\\x60\\x7B-\\x7F]+', ' ', 'g')) || ' ')), '..') AS h FROM {source}) x) y) z"""
+                SELECT {keys}, unnest(h) AS b, unnest(generate_series(1, len(h))) AS i FROM (
+                    SELECT {keys}, regexp_extract_all(' ' || trim(regexp_replace(lower(t), '[\\x00-\\x60\\x7B-\\x7F]+', ' ', 'g')) || ' ', '(?s).') AS h FROM {source}) x) y) z"""
 
 
 def _crc_of(text: str) -> str:
@@ -173,10 +173,10 @@ def _crc_of(text: str) -> str:
 
 LANGUAGE = f"""
     WITH d AS (SELECT doc_id, text AS t, lang, {_crc_of("coalesce(CAST(doc_id AS VARCHAR), '')")} % 4 = 2 AS held_out FROM documents),
-    g AS (SELECT doc_id, lang, held_out, code, count(*) AS n FROM ({_grams('d', 'doc_id, lang, held_out')}) x WHERE code IS NOT NULL AND code <> 32 GROUP BY ALL),
+    g AS (SELECT doc_id, lang, held_out, code, count(*) AS n FROM ({_grams('d', 'doc_id, lang, held_out')}) x WHERE code IS NOT NULL GROUP BY ALL),
     profile AS (SELECT lang, code, row_number() OVER (PARTITION BY lang ORDER BY n DESC, code) - 1 AS rank FROM
         (SELECT lang, code, sum(n) AS n FROM g WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, code) x QUALIFY rank < 400),
-    own AS (SELECT doc_id, code, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, code) - 1 AS rank FROM g WHERE code IN (SELECT code FROM profile) QUALIFY rank < 300),
+    own AS (SELECT doc_id, code, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, code) - 1 AS rank FROM g QUALIFY rank < 300),
     langs AS (SELECT DISTINCT lang FROM profile),
     far AS (SELECT o.doc_id, l.lang, CAST(sum(coalesce(abs(o.rank - p.rank), 400)) AS BIGINT) AS far, count(*) AS n
         FROM own o CROSS JOIN langs l LEFT JOIN profile p ON p.lang = l.lang AND p.code = o.code GROUP BY o.doc_id, l.lang),

@@ -2,18 +2,25 @@
 
 Each document gets counts (words, their characters, symbols, duplicate lines, repeated words, capitals) and
 from them a vector of transformed statistics. Over the documents that pass the base rules, the minimum
-covariance determinant is estimated per (language, source): from a start of smallest robust z-scores,
-concentration steps refit mean and covariance on the COVERAGE share of documents that lie nearest. A document
-whose squared Mahalanobis distance exceeds the cut-off is rejected.
-
-A step is one aggregate: documents are counted and their moments summed per group and distance bin, so each
-task sends a few rows a group, and the bins give the nearest share without sorting. FLOOR variances keep
+covariance determinant is estimated per (language, source), in its regularised form: the COVERAGE share of the
+documents whose covariance, scaled and with FLOOR variances added, has the least determinant. The floor keeps
 statistics that are constant in most documents (no symbols at all) from making every exception an outlier.
-Groups with fewer than LEAST documents use their language's estimate, and small languages the estimate of
-all documents.
+
+The search is nested, as in FAST-MCD. A group is dealt into chunks of about CHUNK documents. In each, concentration
+steps (refit mean and covariance on the nearest share) run from several starts, three from robust moments and
+RANDOM_STARTS from a few documents, until they stand still, and the least determinant wins. The CANDIDATES best of a
+group's chunks then take steps over the whole group, all of its documents, until they stand still too, and the
+least determinant is the estimate. A group of one chunk is done with the first part. Steps over a whole group
+take the share by a quantile sketch of ACCURACY ranks, which is exact below so many documents.
+
+A document is rejected if its squared Mahalanobis distance exceeds the quantile that a new document exceeds with a
+chance of TAIL: k (n^2 - 1) / (n (n - k)) times that of F(k, n - k), n being the documents fitted, so estimates from few
+documents reject less. Groups need ROWS_A_DIMENSION documents for each statistic; smaller ones use their language's
+estimate, and small languages that of all documents.
 
 Defined results: null text has no words and fails the base rules; null language and source are values of
-their own. Equal rows get equal results. An empty table gives an empty result.
+their own. Equal rows get equal results and ties at the cut-off stay. Texts of any length count whole. An empty
+table, or one without sound documents, gives distances of 0. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +38,15 @@ from ._common import SPACE, Words, mixed, staged, steps
 LEAST_WORDS = 20
 REPEAT_WINDOW, REPEAT_PERCENT = 8, 30
 COVERAGE = 0.75
-STEPS = 4
-LEAST = 200
+CHUNK = 16_384
+RANDOM_STARTS = 4
+CANDIDATES = 2
+ACCURACY = 10_000
+ROWS_A_DIMENSION = 5
 #: Chance of a document of the fitted normal to lie beyond the cut-off.
 TAIL = 1e-6
-#: Distance bins a doubling of the distance.
-BINS = 32
+#: Fall of a determinant, as a share, below which it stands still.
+STILL = 1e-9
 #: Groups whose estimates may be broadcast; with more, the join shuffles.
 BROADCAST_GROUPS = 20_000
 #: Statistics and the least standard deviation of each.
@@ -112,11 +122,26 @@ def _vector() -> list[Column]:
     ]
 
 
-def _chi2_quantile(p: float, k: int) -> float:
-    """Upper-tail quantile by the approximation of Wilson and Hilferty, with a rational normal quantile."""
-    t = np.sqrt(-2 * np.log(p))
-    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t**3)
-    return float(k * (1 - 2 / (9 * k) + z * np.sqrt(2 / (9 * k))) ** 3)
+def cut_off(n: int, k: int, p: float = TAIL) -> float:
+    """The squared distance that a new document exceeds with chance p, after a fit of n; k must be even.
+
+    P(F(k, n - k) > f) is the incomplete beta function I_x(a, b) at x = (n - k) / (n - k + k f), a = (n - k) / 2, b = k / 2.
+    """
+    if n <= k + 1:
+        return float("inf")
+    a, low, high = (n - k) / 2, -700.0, 0.0
+    for _ in range(200):  # for the log of x
+        x = (low + high) / 2
+        terms, term = 0.0, 1.0
+        for j in range(k // 2):
+            terms += term
+            term *= (a + j) / (j + 1) * -np.expm1(x)
+        if a * x + np.log(terms) > np.log(p):
+            high = x
+        else:
+            low = x
+    f = (n - k) / k * np.expm1(-low)
+    return float(k * (n * n - 1) / (n * (n - k)) * f)
 
 
 def _consistency(k: int) -> float:
@@ -126,53 +151,150 @@ def _consistency(k: int) -> float:
     return float(k / d[: int(COVERAGE * len(d))].mean())
 
 
-PARAMS = ", ".join([f"m{i} double" for i in range(len(NAMES))] + [f"p{i}_{j} double" for i, j in PAIRS])
+def _share(n: int, k: int) -> int:
+    return min(n, max(int(np.ceil(COVERAGE * n)), k + 1))
+
+
+def _distances(x: np.ndarray, mean: np.ndarray, scatter: np.ndarray) -> np.ndarray:
+    d = x - mean
+    return np.einsum("ij,ij->i", d @ np.linalg.inv(scatter), d)
+
+
+def mcd(x: np.ndarray, floor: np.ndarray, factor: float, seed: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
+    """(log determinant, mean, scatter) of the share of the rows of x found with the least determinant."""
+    n, k = x.shape
+    h = _share(n, k)
+
+    def fit(rows: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        scatter = np.cov(rows, rowvar=False, bias=True).reshape(k, k) * factor + floor
+        return np.linalg.slogdet(scatter)[1], rows.mean(axis=0), scatter
+
+    def step(found):
+        return fit(x[np.argpartition(_distances(x, *found[1:]), h - 1)[:h]])
+
+    middle = np.median(x, axis=0)
+    spread = np.maximum(np.subtract(*np.percentile(x, [75, 25], axis=0)) / 1.349, np.sqrt(np.diag(floor)))
+    z = (x - middle) / spread
+    length = np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    signs = (z / length).T @ (z / length) / n * k
+    ranks = np.tanh(z)
+    shapes = [np.eye(k), signs, np.cov(ranks, rowvar=False, bias=True).reshape(k, k) / max(np.var(ranks, axis=0).max(), 1e-12)]
+    starts = [(np.inf, middle, spread[:, None] * s * spread + floor) for s in shapes]
+    rng = np.random.default_rng(seed)
+    starts += [fit(x[rng.choice(n, min(n, k + 1), replace=False)]) for _ in range(RANDOM_STARTS)]
+    best = None
+    for found in starts:
+        found = step(found)
+        while (nearer := step(found))[0] < found[0] - STILL:
+            found = nearer
+        best = found if best is None or found[0] < best[0] else best
+    return best
+
+
+DIMS = len(NAMES)
+ESTIMATE = ", ".join(["logdet double", *[f"m{i} double" for i in range(DIMS)], *[f"p{i}_{j} double" for i, j in PAIRS]])
 
 
-def _estimates(factor: float):
-    """(group, mean, precision) from sums of moments."""
-    k = len(NAMES)
-    floor = np.diag(np.square(list(FLOOR.values())))
+def _floor() -> np.ndarray:
+    return np.diag(np.square(list(FLOOR.values())))
+
+
+def _row(logdet: float, mean: np.ndarray, scatter: np.ndarray) -> list[float]:
+    precision = np.linalg.inv(scatter)
+    return [logdet, *mean, *[precision[i, j] for i, j in PAIRS]]
+
+
+def _chunk_estimate(factor: float):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        x = np.column_stack([table.column(f"x{i}").to_numpy() for i in range(DIMS)])
+        x = x[np.lexsort(x.T)]  # the order of arrival is nobody's
+        row = _row(*mcd(x, _floor(), factor))
+        names = ["group", "chunk", *[c.split()[0] for c in ESTIMATE.split(", ")]]
+        return pa.table([pa.array([v.as_py()]) for v in key] + [pa.array([v]) for v in row], names=names)
+
+    return run
+
+
+def _refit(factor: float):
+    """(group, candidate, estimate) from sums of moments."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for _, r in frame.iterrows():
-                n = float(r["n"])
-                mean = np.array([r[f"s{i}"] for i in range(k)]) / n
-                cov = np.zeros((k, k))
+            for r in frame.to_dict("records"):
+                mean = np.array([r[f"s{i}"] for i in range(DIMS)]) / r["n"]
+                scatter = _floor()
                 for i, j in PAIRS:
-                    cov[i, j] = cov[j, i] = r[f"q{i}_{j}"] / n - mean[i] * mean[j]
-                precision = np.linalg.inv(cov * factor + floor)
-                rows.append([r["group"], *mean, *[precision[i, j] for i, j in PAIRS]])
-            yield pd.DataFrame(rows, columns=["group", *[f"m{i}" for i in range(k)], *[f"p{i}_{j}" for i, j in PAIRS]])
+                    v = (r[f"q{i}_{j}"] / r["n"] - mean[i] * mean[j]) * factor
+                    scatter[i, j] += v
+                    scatter[j, i] += v if i != j else 0.0
+                rows.append([r["group"], r["candidate"], *_row(np.linalg.slogdet(scatter)[1], mean, scatter)])
+            yield pd.DataFrame(rows, columns=["group", "candidate", *[c.split()[0] for c in ESTIMATE.split(", ")]])
 
     return run
 
 
 def _distance() -> Column:
-    d = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(len(NAMES))]
+    d = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(DIMS)]
     terms = [F.col(f"p{i}_{j}") * d[i] * d[j] * (1 if i == j else 2) for i, j in PAIRS]
     return sum(terms[1:], terms[0])
 
 
-def _step(vectors: DataFrame, near: Column, factor: float) -> DataFrame:
-    """Estimates from the COVERAGE share of each group that is nearest by `near`."""
-    b = F.floor(F.log2(F.greatest(near, F.lit(1e-6))) * BINS).cast("int")
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(len(NAMES))]
-    sums += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in PAIRS]
-    bins = vectors.withColumn("bin", b).groupBy("group", "bin").agg(F.count("*").alias("n"), *sums)
-    upto = Window.partitionBy("group").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(upto), F.lit(0))
-    bins = bins.withColumn("before", before).withColumn("all", F.sum("n").over(Window.partitionBy("group")))
-    names = [c for c in bins.columns if c[0] in "sq" and c[1:2].isdigit()]
-    kept = bins.where(F.col("before") < COVERAGE * F.col("all")).orderBy("group", "bin")
-    total = kept.groupBy("group").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names])
-    return staged(total.mapInPandas(_estimates(factor), f"group string, {PARAMS}"))
-
+def _whole_steps(vectors: DataFrame, candidates: DataFrame, few: bool, factor: float) -> DataFrame:
+    """The candidates (group, candidate, estimate) after steps over all vectors of their groups until none falls."""
+    spread = lambda t: F.broadcast(t) if few else t
+    settled, current = None, staged(candidates.withColumn("logdet", F.lit(float("inf"))))
+    while True:
+        far = vectors.join(spread(current.drop("logdet")), "group").select("group", "candidate", _distance().alias("far"), *[f"x{i}" for i in range(DIMS)])
+        limit = far.groupBy("group", "candidate").agg(F.percentile_approx("far", COVERAGE, ACCURACY).alias("limit"))
+        near = far.join(spread(staged(limit)), ["group", "candidate"]).where("far <= limit")
+        sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)]
+        sums += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in PAIRS]
+        total = near.groupBy("group", "candidate").agg(F.count("*").alias("n"), *sums)
+        fitted = staged(total.mapInPandas(_refit(factor), f"group string, candidate int, {ESTIMATE}"))
+        was = current.select("group", "candidate", F.col("logdet").alias("was"))
+        fitted = fitted.join(was, ["group", "candidate"])
+        falls = F.col("logdet") < F.col("was") - STILL
+        still = staged(fitted.where(~falls).drop("was"))
+        settled = still if settled is None else settled.unionByName(still)
+        current = staged(fitted.where(falls).drop("was"))
+        if current.isEmpty():
+            return settled
+
+
+def _estimates(vectors: DataFrame, sizes: DataFrame, few: bool, tail: float) -> DataFrame:
+    """(group, estimate, cut) of vectors (group, row, x...); sizes has (group, count)."""
+    factor = _consistency(DIMS)
+    sizes = staged(sizes.withColumn("chunks", F.ceil(F.col("count") / CHUNK)))
+    dealt = vectors.join(F.broadcast(sizes) if few else sizes, "group")
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")))
+    schema = f"group string, chunk long, {ESTIMATE}"
+    first = staged(dealt.select("group", "chunk", *[f"x{i}" for i in range(DIMS)]).groupBy("group", "chunk").applyInArrow(_chunk_estimate(factor), schema))
+    # The least of each group by aggregates: one after the other, as there are few candidates.
+    left, picked = first, None
+    for nth in range(CANDIDATES):
+        names = [c for c in first.columns if c != "group"]
+        best = left.groupBy("group").agg(F.min(F.struct("logdet", "chunk")).alias("b")).select("group", F.col("b.chunk").alias("chunk"))
+        own = left.join(best, ["group", "chunk"]).select("group", *names).withColumn("candidate", F.lit(nth))
+        picked = own if picked is None else picked.unionByName(own)
+        left = left.join(best, ["group", "chunk"], "left_anti")
+    picked = staged(picked.drop("chunk"))
+    large = staged(sizes.where("chunks > 1").select("group"))
+    done = picked.where("candidate = 0").join(large, "group", "left_anti")
+    if not large.isEmpty():
+        wide = vectors.join(F.broadcast(large) if few else large, "group", "left_semi")
+        settled = _whole_steps(wide, picked.join(large, "group", "left_semi").select("group", "candidate", *[c for c in picked.columns if c not in ("group", "candidate")]), few, factor)
+        least = settled.groupBy("group").agg(F.min(F.struct("logdet", "candidate")).alias("b")).select("group", F.col("b.candidate").alias("candidate"))
+        done = done.unionByName(settled.join(least, ["group", "candidate"]).select(*done.columns))
+    done = done.drop("candidate", "logdet").join(sizes.select("group", "count"), "group")
+
+    def cuts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame["cut"] = [cut_off(_share(int(n), DIMS), DIMS, tail) for n in frame["count"]]
+            yield frame
 
-def _with(vectors: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
-    return vectors.join(F.broadcast(estimates) if few else estimates, "group")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in done.schema.fields)
+    return staged(done.mapInPandas(cuts, f"{schema}, cut double").drop("count"))
 
 
 def judge(
@@ -187,32 +309,28 @@ def judge(
     stats = stats.withColumn("base_failed", failed)
     stats = staged(stats.select("*", *[c.alias(f"x{i}") for i, c in enumerate(_vector())]))
 
+    stats = stats.withColumn("row", F.monotonically_increasing_id())
+    least = ROWS_A_DIMENSION * DIMS
     sizes = stats.where("NOT base_failed").groupBy("lang", "source").count()
-    sizes = sizes.withColumn("in_lang", F.sum("count").over(Window.partitionBy("lang")))
-    pair = F.concat_ws("|", "lang", "source")
-    group = F.when(F.col("count") >= LEAST, pair).when(F.col("in_lang") >= LEAST, F.col("lang")).otherwise(F.lit(""))
-    groups = staged(sizes.select("lang", "source", group.alias("own")))
+    sizes = staged(sizes.withColumn("in_lang", F.sum("count").over(Window.partitionBy("lang"))))
+    # Lengths keep a language and a source apart, whatever characters they hold.
+    pair = F.concat(F.lit("2:"), F.length("lang").cast("string"), F.lit(":"), "lang", "source")
+    lang, every = F.concat(F.lit("1:"), "lang"), F.lit("0:")
+    group = F.when(F.col("count") >= least, pair).when(F.col("in_lang") >= least, lang).otherwise(every)
+    groups = staged(sizes.select("lang", "source", "count", "in_lang", group.alias("own")))
     few = groups.count() <= BROADCAST_GROUPS
-    stats = stats.join(F.broadcast(groups) if few else groups, ["lang", "source"], "left").withColumn("own", F.coalesce("own", F.lit("")))
+    stats = stats.join((F.broadcast(groups) if few else groups).drop("count", "in_lang"), ["lang", "source"], "left").withColumn("own", F.coalesce("own", every))
 
     # A group that only its language or all documents serve is estimated from all of those.
-    sound = stats.where("NOT base_failed")
-    used = F.array(F.lit(""), F.when(F.col("own") != "", F.col("lang")), F.when(F.col("own").contains("|"), F.col("own")))
-    vectors = sound.select(F.explode(F.filter(used, lambda g: g.isNotNull())).alias("group"), *[f"x{i}" for i in range(len(NAMES))])
     wanted = groups.select(F.col("own").alias("group")).distinct()
-    vectors = vectors.join(F.broadcast(wanted) if few else wanted, "group", "left_semi")
-
-    k, factor = len(NAMES), _consistency(len(NAMES))
-    middle = vectors.groupBy("group").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"c{i}") for i in range(k)])
-    middle = staged(middle)
-    z = [(F.col(f"x{i}") - F.col(f"c{i}")[1]) / F.greatest((F.col(f"c{i}")[2] - F.col(f"c{i}")[0]) / 1.349, F.lit(FLOOR[n])) for i, n in enumerate(NAMES)]
-    squares = [c * c for c in z]
-    estimates = _step(_with(vectors, middle, few), sum(squares[1:], squares[0]), factor)
-    for _ in range(STEPS):
-        estimates = _step(_with(vectors, estimates, few), _distance(), factor)
+    used = lambda p, l: F.explode(F.array(p, l, every))
+    counts = groups.select(used(pair, lang).alias("group"), "count").groupBy("group").agg(F.sum("count").alias("count"))
+    counts = staged(counts.join(wanted, "group", "left_semi"))
+    vectors = stats.where("NOT base_failed").select(used(pair, lang).alias("group"), "row", *[f"x{i}" for i in range(DIMS)])
+    vectors = vectors.join(F.broadcast(counts.select("group")) if few else counts.select("group"), "group", "left_semi")
+    estimates = _estimates(vectors, counts, few, tail)
 
     final = stats.withColumnRenamed("own", "group").join(F.broadcast(estimates) if few else estimates, "group", "left")
-    far = F.coalesce(_distance(), F.lit(0.0))
-    final = final.withColumn("distance", far)
-    kept = ~F.col("base_failed") & (F.col("distance") <= _chi2_quantile(tail, k))
+    final = final.withColumn("distance", F.coalesce(_distance(), F.lit(0.0)))
+    kept = ~F.col("base_failed") & (F.col("distance") <= F.coalesce("cut", F.lit(0.0)))
     return final.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))

@@ -1,6 +1,9 @@
 """Toxicity, quality, URL and language filters."""
 
+import itertools
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -119,6 +122,74 @@ def test_url_templates(spark):
     assert got[0]["template"] == "/spam/*" and got[45]["template"] == "/news/*.html"
 
 
+def log_det(rows, floor, factor):
+    return np.linalg.slogdet(np.cov(rows, rowvar=False, bias=True) * factor + floor)[1]
+
+
+def test_mcd_is_the_least_determinant_of_all_subsets():
+    floor, factor = np.eye(2) * 1e-3, 1.3
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        x = rng.normal(size=(13, 2)) @ np.array([[1.0, 0.7], [0.0, 0.4]])
+        x[:3] += 6
+        h = quality._share(13, 2)
+        least = min(log_det(x[list(c)], floor, factor) for c in itertools.combinations(range(13), h))
+        assert quality.mcd(x, floor, factor)[0] == pytest.approx(least, abs=0.05)
+
+
+def test_mcd_of_200_rows_against_many_starts():
+    k, floor = quality.DIMS, quality._floor()
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, k)) @ rng.normal(size=(k, k))
+    x[:40] = rng.normal(size=(40, k)) * 0.1 + 9  # a fifth in a far, tight cluster
+    h = quality._share(200, k)
+    least = np.inf
+    for _ in range(300):
+        rows, was = x[rng.choice(200, k + 1, replace=False)], np.inf
+        while True:
+            scatter = np.cov(rows, rowvar=False, bias=True) * 1.2 + floor
+            now = np.linalg.slogdet(scatter)[1]
+            if now >= was - 1e-9 and len(rows) == h:
+                break
+            was = now if len(rows) == h else np.inf
+            d = x - rows.mean(axis=0)
+            rows = x[np.argsort(((d @ np.linalg.inv(scatter)) * d).sum(axis=1))[:h]]
+        least = min(least, now)
+    logdet, mean, scatter = quality.mcd(x, floor, 1.2)
+    assert logdet <= least + 1e-6
+    assert quality._distances(x[:40], mean, scatter).min() > quality._distances(x[40:], mean, scatter).max()
+
+
+def test_cut_off_is_the_quantile():
+    rng = np.random.default_rng(1)
+    for n in (30, 300):
+        f = (rng.chisquare(6, 400_000) / 6) / (rng.chisquare(n - 6, 400_000) / (n - 6))
+        want = 6 * (n * n - 1) / (n * (n - 6)) * np.quantile(f, 1 - 1e-3)
+        assert quality.cut_off(n, 6, 1e-3) == pytest.approx(want, rel=0.03)
+    assert quality.cut_off(10**9, 6, 1e-6) == pytest.approx(38.258, rel=1e-3)
+    assert quality.cut_off(7, 6) == float("inf")
+
+
+def test_whole_steps_agree_with_one_chunk(spark, monkeypatch):
+    """A group dealt into chunks gets the estimate of one that is not."""
+    rows = [(i, " ".join(talk(random.Random(i), 30 + i * 7 % 90)) + (" Ab" if i % 3 else ". C!"), "en", "a") for i in range(260)]
+    rows += [(1000 + i, "#$% " * 60 + " ".join(talk(random.Random(i), 25)), "en", "a") for i in range(12)]
+    docs = frame(spark, rows)
+    one = {r["id"]: (r["distance"], r["kept"]) for r in quality.judge(docs).collect()}
+    monkeypatch.setattr(quality, "CHUNK", 70)
+    cut = {r["id"]: (r["distance"], r["kept"]) for r in quality.judge(docs).collect()}
+    assert {i: k for i, (_, k) in one.items()} == {i: k for i, (_, k) in cut.items()}
+    assert np.corrcoef([one[i][0] for i in one], [cut[i][0] for i in one])[0, 1] > 0.98
+
+
+def test_quality_edges(spark):
+    """Groups whose names join alike stay apart; a table without sound documents is judged; nulls and repeats."""
+    few = frame(spark, [(1, None, None, None), (2, "", "a|b", "c"), (3, "x y", "a", "b|c"), (3, "x y", "a", "b|c")])
+    got = quality.judge(few).collect()
+    assert len(got) == 4 and all(r["base_failed"] and not r["kept"] for r in got)
+    assert quality.judge(frame(spark, [])).count() == 0
+
+
 def urls_of(spark, urls):
     return spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
 
@@ -190,24 +261,63 @@ def test_language_id(spark):
     assert langid.identify(frame(spark, []), profiles).count() == 0
 
 
-def test_out_of_place_by_hand(spark):
-    profiles = spark.createDataFrame([("x", ord("a"), 0), ("x", ord("b"), 1), ("y", ord("b"), 0), ("y", ord("c"), 1)], "lang string, gram long, rank int")
-    docs = spark.createDataFrame([(1, "b b b a a c")], "doc_id long, text string")
-    # ranks: b 0, a 1, c 2; x: |1-0| + |0-1| + 400, y: 0 + 400 + |1-2|
-    (r,) = langid.identify(docs, profiles).collect()
-    assert r["lang_pred"] == "y" and r["score"] == pytest.approx(1 - 401 / 1200)
+def grams_of(text):
+    """1- to 3-grams of the definition, as numbers."""
+    low = "".join(c if "a" <= c <= "z" or ord(c) > 127 else " " for c in text.lower())
+    if not low:
+        return Counter()
+    padded = " " + " ".join(low.split(" ")).strip(" ") + " "
+    padded = re.sub(" +", " ", padded)
+    found = Counter(c for c in padded if c != " ")
+    found.update(g for g in (padded[i : i + 2] for i in range(len(padded) - 1)) if g != "  ")
+    found.update(g for g in (padded[i : i + 3] for i in range(len(padded) - 2)) if g[1] != " ")
+    code = lambda g: sum(ord(c) << 21 * (2 - i) for i, c in enumerate(g))
+    return Counter({code(g): n for g, n in found.items()})
 
 
-def test_grams_of_several_texts_are_those_of_each():
-    texts = ["Ab, c", "", "!!", "é x", "b"]
-    def grams(batch):
-        data = np.frombuffer("".join(t.lower() for t in batch).encode(), np.uint8)
-        offsets = np.concatenate(([0], np.cumsum([len(t.lower().encode()) for t in batch])))
-        return sorted((int(d), int(c)) for codes, doc in langid._grams(data, offsets) for c, d in zip(codes, doc, strict=True))
+def ranked(counts, most):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]]
 
-    alone = sorted((i, c) for i, t in enumerate(texts) for _, c in grams([t]))
-    assert grams(texts) == alone
-    assert (4, (32 << 16 | ord("b") << 8 | 32) | 1 << 25) in alone
+
+def test_language_id_by_brute_force(spark):
+    rows = language_rows()[:60] + [(800, "é" * 30 + " 😀😀 x 漢字 漢", "zz", "a"), (801, "word " * 900, "en", "a")]
+    docs = frame(spark, rows)
+    learned = {}
+    for _, text, lang, *_ in rows:
+        learned.setdefault(lang, Counter()).update(grams_of(text))
+    learned = {lang: ranked(c, langid.PROFILE) for lang, c in learned.items()}
+    profiles = langid.learn_profiles(docs)
+    kept = {}
+    for r in profiles.orderBy("lang", "rank").collect():
+        kept.setdefault(r["lang"], []).append(r["gram"])
+    assert kept == learned
+    got = {r["id"]: r for r in langid.identify(docs, profiles).collect()}
+    for i, text, *_ in rows:
+        own = ranked(grams_of(text), langid.RANKS)
+        far = {lang: sum(abs(p.index(g) - k) if g in p else langid.PROFILE for k, g in enumerate(own)) for lang, p in learned.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[i]["lang_pred"] == best
+        assert got[i]["score"] == pytest.approx(1 - far[best] / (langid.PROFILE * len(own)))
+
+
+@pytest.mark.parametrize("slice_", [3, 1 << 20])
+def test_grams_of_several_texts_are_those_of_each(monkeypatch, slice_):
+    monkeypatch.setattr(langid, "SLICE", slice_)
+    texts = ["ab, c", "", "!!", "é x", "b", " b", "漢字 " * 9]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    owner, grams, counts = langid.count_grams(*langid._letters(data, offsets), np.arange(len(texts)))
+    got = {i: Counter() for i in range(len(texts))}
+    for d, g, n in zip(owner.tolist(), grams.tolist(), counts.tolist(), strict=True):
+        got[d][g] = n
+    assert got == {i: grams_of(t) for i, t in enumerate(texts)}
+    assert np.all(np.diff(owner) >= 0)
+
+
+def test_bytes_that_are_no_text_do_not_stop_the_counting():
+    data, offsets = np.frombuffer(b"ab\xff\xfecd", np.uint8), np.array([0, 3, 6])
+    x, doc = langid._letters(data, offsets)
+    assert set(doc.tolist()) == {0, 1} and len(x)
 
 
 def test_held_out_is_crc32(spark):
