@@ -15,8 +15,8 @@ take the share by a quantile sketch of ACCURACY ranks, which is exact below so m
 
 A document is rejected if its squared Mahalanobis distance exceeds the quantile that a new document exceeds with a
 chance of TAIL: k (n^2 - 1) / (n (n - k)) times that of F(k, n - k), n being the documents fitted, so estimates from few
-documents reject less. Groups need ROWS_A_DIMENSION documents for each statistic; smaller ones use their language's
-estimate, and small languages that of all documents.
+documents reject less. A group has an estimate of its own once that limit is at most WIDEST times what it would be
+with unlimited documents; smaller groups use their language's estimate, and small languages that of all documents.
 
 Defined results: null text has no words and fails the base rules; null language and source are values of
 their own. Equal rows get equal results and ties at the cut-off stay. Texts of any length count whole. An empty
@@ -42,7 +42,7 @@ CHUNK = 16_384
 RANDOM_STARTS = 4
 CANDIDATES = 2
 ACCURACY = 10_000
-ROWS_A_DIMENSION = 5
+WIDEST = 1.5
 #: Chance of a document of the fitted normal to lie beyond the cut-off.
 TAIL = 1e-6
 #: Fall of a determinant, as a share, below which it stands still.
@@ -155,6 +155,14 @@ def _share(n: int, k: int) -> int:
     return min(n, max(int(np.ceil(COVERAGE * n)), k + 1))
 
 
+def _least(tail: float) -> int:
+    """Documents from which a group's cut-off is at most WIDEST times that of an unlimited group."""
+    n, most = DIMS + 1, WIDEST * cut_off(10**9, DIMS, tail)
+    while cut_off(_share(n, DIMS), DIMS, tail) > most:
+        n += 1
+    return n
+
+
 def _distances(x: np.ndarray, mean: np.ndarray, scatter: np.ndarray) -> np.ndarray:
     d = x - mean
     return np.einsum("ij,ij->i", d @ np.linalg.inv(scatter), d)
@@ -310,7 +318,7 @@ def judge(
     stats = staged(stats.select("*", *[c.alias(f"x{i}") for i, c in enumerate(_vector())]))
 
     stats = stats.withColumn("row", F.monotonically_increasing_id())
-    least = ROWS_A_DIMENSION * DIMS
+    least = _least(tail)
     sizes = stats.where("NOT base_failed").groupBy("lang", "source").count()
     sizes = staged(sizes.withColumn("in_lang", F.sum("count").over(Window.partitionBy("lang"))))
     # Lengths keep a language and a source apart, whatever characters they hold.
