@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .mixing import BLOCK_WORDS, BUCKET_SHARDS, REPEATS, SHARD_WORDS, SHARE_PERCENT, STEP, WEIGHTS
-from .sharding import BUCKET_ROWS, LEVEL_BITS, SHARDS, WHOLE_SHARE, hilbert_table
+from .sharding import LEVEL_BITS, SHARDS, WHOLE_SHARE, hilbert_table
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 

@@ -6,13 +6,17 @@ order the groups. The order is cut into runs of equal bytes, so neighbouring sha
 and min/max statistics of a shard's files prune on all three dimensions at once. A group stays in one shard
 unless its bytes exceed `whole_share` of a shard; only such a group is cut, by a hash of the id.
 
-No step sorts or sums everything in one task: offsets come from sums per cell (4096 at most), then per
-bucket of a cell (a bucket holds about `bucket_rows` groups), then a window within a bucket.
+No step sorts or sums everything in one task: groups, then rows, are sorted by range into a written table, where
+the monotonic number of a row tells its part and its place in it; sums and counts per part, a few rows, give the
+offsets. Groups that hold over 1 / HEAVY of the rows meet their rows by broadcast. Values of a dimension are counted
+to one row each before they are cut into levels.
 
 Defined results (law `bytes`): size is the UTF-8 bytes of the text plus 8, null text counts as empty; null
-source and language are levels of their own; slots number the rows of a shard from 0 along the curve, rows
-that tie in everything in any order. Shards may be empty when there are few rows. An empty table gives an
-empty result.
+source and language are levels of their own; a null id counts as an empty one. Slots number the rows of a shard
+from 0 along the curve, rows that tie in everything in any order. Rows that repeat one id and text, or lack an id,
+and fill over `whole_share` of a shard are cut by where they stand. Shards may be empty when there are few rows. An
+empty table gives an empty result. shard_plan ignores further columns; write_shards keeps them, and names its
+folders `shard`, with underscores added while a column has that name.
 """
 
 from __future__ import annotations
@@ -20,11 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import plain, spread_join, staged
 
 SHARDS = 24
 LEVEL_BITS = 4
-BUCKET_ROWS = 512
 WHOLE_SHARE = 0.25
 #: Values of one dimension that may be broadcast; with more, the plain join shuffles.
 BROADCAST_VALUES = 20_000
@@ -73,23 +76,32 @@ def _key(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("~"))
 
 
+def _parts(ordered: DataFrame, *order: str) -> DataFrame:
+    """A table written in this order, with `pos`, a number that rises along it, and `part`, one of its pieces of that."""
+    out = staged(ordered.orderBy(*order).withColumn("pos", F.monotonically_increasing_id()))
+    return out.withColumn("part", F.shiftright("pos", 33))
+
+
 def shard_plan(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     dims: tuple[str, str] = ("source", "lang"),
     shards: int = SHARDS,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per document: id, size, text_crc32, digest, curve, shard, slot."""
+    """One row per document: id, size, text_crc32, digest, curve, shard, slot (and row)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    id_text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rows = staged(
         docs.select(
             F.col(id_col).alias("id"),
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.md5(text).alias("digest"),
-            F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("id_hash"),
+            F.md5(id_text).alias("id_hash"),
             *[F.col(c).cast("string").alias(f"dim{i}") for i, c in enumerate(dims)],
+            (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
         )
     )
     groups = rows.groupBy("digest").agg(
@@ -103,52 +115,46 @@ def shard_plan(
     size_level = F.least(F.greatest(F.floor(F.log2(F.col("size")) - 3), F.lit(0)), F.lit((1 << LEVEL_BITS) - 1)).cast("int")
     place = F.shiftleft("dim0_level", 2 * LEVEL_BITS) + F.shiftleft("dim1_level", LEVEL_BITS) + size_level
     curve = F.element_at(F.array(*[F.lit(x) for x in hilbert_table()]), place + 1)
-    number = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
-    groups = staged(groups.select("digest", "n", "size", "bytes", curve.alias("curve"), number.alias("number")))
-
-    cells = groups.groupBy("curve").agg(F.sum("bytes").alias("cell_bytes"), F.count("*").alias("groups"))
-    upto = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("cell_start", F.coalesce(F.sum("cell_bytes").over(upto), F.lit(0)))
-    cells = cells.withColumn("buckets", F.ceil(F.col("groups") / BUCKET_ROWS)).drop("groups")
-    cells = staged(cells.withColumn("total", F.sum("cell_bytes").over(Window.partitionBy())).coalesce(1))
-    in_cell = groups.join(F.broadcast(cells), "curve")  # 4096 rows at most
-    in_cell = in_cell.withColumn("bucket", F.floor(F.col("number") * F.col("buckets") / F.lit(1 << 32)))
-    buckets = in_cell.groupBy("curve", "bucket").agg(F.sum("bytes").alias("bucket_bytes"))
-    before = Window.partitionBy("curve").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_bytes").over(before), F.lit(0)))
-    line = Window.partitionBy("curve", "bucket").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("cell_start") + F.col("bucket_start") + F.coalesce(F.sum("bytes").over(line), F.lit(0))
-    placed = in_cell.join(buckets, ["curve", "bucket"]).withColumn("start", start)
-    placed = placed.select("digest", "bytes", "curve", "start", "total")
 
-    # A whole group goes where its middle lies; a row of a cut group where its share of the group lies.
-    each = F.greatest(F.col("total"), F.lit(1)) / F.lit(float(shards))
+    ordered = _parts(groups.select("digest", "n", "bytes", curve.alias("curve")), "curve", "digest")
+    sums = ordered.groupBy("part").agg(F.sum("bytes").alias("part_bytes"), F.sum("n").alias("part_rows"))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = staged(sums.withColumn("part_start", F.coalesce(F.sum("part_bytes").over(upto), F.lit(0))).coalesce(1))
+    total, count = sums.agg(F.coalesce(F.sum("part_bytes"), F.lit(0)), F.coalesce(F.sum("part_rows"), F.lit(0))).first()
+    each = max(total, 1) / shards
+    line = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("part_start") + F.coalesce(F.sum("bytes").over(line), F.lit(0))
+    placed = ordered.join(F.broadcast(sums), "part").select("digest", "n", "bytes", "curve", start.alias("start"))  # a row a part
     cut = F.col("bytes") > WHOLE_SHARE * each
-    part = F.conv(F.substring("id_hash", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
-    at = F.col("start") + F.col("bytes") * F.when(cut, part).otherwise(F.lit(0.5))
-    out = rows.drop("dim0", "dim1").join(placed, "digest").withColumn("at", at)
-    out = out.withColumn("shard", F.least(F.floor(F.col("at") / each), F.lit(shards - 1)).cast("int"))
-    # Slots: rows of a run of bytes are numbered within it, after those of the shard's runs before.
-    run = F.floor(F.col("at") / (BUCKET_ROWS * F.lit(_mean_size(rows)))).cast("long")
-    out = out.select("id", "size", "text_crc32", "digest", "id_hash", "curve", "at", "shard", run.alias("run"))
-    runs = out.groupBy("shard", "run").count()
-    base = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = runs.select("shard", "run", base.alias("base"))
-    order = Window.partitionBy("shard", "run").orderBy("at", "digest", "id_hash", "id")
-    out = out.withColumn("nth", F.row_number().over(order) - 1).join(runs, ["shard", "run"])
-    return out.select("id", "size", "text_crc32", "digest", "curve", "shard", (F.col("base") + F.col("nth")).alias("slot"))
-
-
-def _mean_size(rows: DataFrame) -> float:
-    return float(rows.agg(F.avg("size")).first()[0] or 8.0)
-
-
-def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **params) -> None:
+    out = spread_join(rows.drop("dim0", "dim1"), staged(placed), ["digest"], "n", count).withColumn("cut", cut)
+
+    # A whole group goes where its middle lies; a row of a cut group where its share of the group lies.
+    repeats = out.where("cut").groupBy("digest", "id_hash").agg(F.sum("size").alias("own"))
+    repeats = staged(repeats.where(F.col("own") > WHOLE_SHARE * each).select("digest", "id_hash", F.lit(True).alias("repeats")))
+    out = out.join(F.broadcast(repeats), ["digest", "id_hash"], "left")  # shards / WHOLE_SHARE rows at most
+    hashed = F.conv(F.substring(F.when(F.col("repeats"), F.md5(F.col("row").cast("string"))).otherwise(F.col("id_hash")), 1, 8), 16, 10)
+    part = hashed.cast("long") / F.lit(float(1 << 32))
+    at = F.col("start") + F.col("bytes") * F.when(F.col("cut"), part).otherwise(F.lit(0.5))
+    out = out.withColumn("at", at).withColumn("shard", F.least(F.floor(F.col("at") / F.lit(each)), F.lit(shards - 1)).cast("int"))
+    out = _parts(out.select("id", "size", "text_crc32", "digest", "id_hash", "curve", "at", "shard", "row"), "at", "digest", "id_hash", "id", "row")
+
+    # Slots: rows of a shard are numbered within a part, after those of the parts before.
+    runs = out.groupBy("part", "shard").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = staged(runs.select("part", "shard", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")).coalesce(1))
+    out = out.join(F.broadcast(runs), ["part", "shard"])  # parts + shards rows at most
+    own = ["row"] if row_col else []
+    return out.select("id", "size", "text_crc32", "digest", "curve", "shard", (F.col("shift") + F.col("pos")).alias("slot"), *own)
+
+
+def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, str] = ("source", "lang"), shards: int = SHARDS) -> None:
     """The documents as Parquet, a folder per shard, each file sorted along the curve."""
-    plan = shard_plan(docs, id_col, text_col, **params)
-    key = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("-")), F.lit(":"), F.col("digest"))
-    plan = plan.select(key.alias("__key"), "shard", "slot").groupBy("__key").agg(F.min(F.struct("shard", "slot")).alias("__at"))
-    own = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    out = docs.withColumn("__key", own).join(plan, "__key").withColumn("shard", F.col("__at.shard")).withColumn("__slot", F.col("__at.slot"))
-    out = out.drop("__key", "__at").repartitionByRange("shard", "__slot").sortWithinPartitions("shard", "__slot")
-    out.drop("__slot").write.partitionBy("shard").parquet(path)
+    rows, columns = plain(docs)
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()))
+    own = dict(zip(docs.columns, columns, strict=True))
+    plan = shard_plan(rows, own[id_col], own[text_col], (own[dims[0]], own[dims[1]]), shards, "row")
+    folder = "shard"
+    while folder in docs.columns:
+        folder += "_"
+    out = rows.join(plan.select("row", "shard", "slot"), "row").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    out.select(*[F.col(c).alias(name) for name, c in own.items()], F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)

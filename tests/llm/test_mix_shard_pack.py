@@ -112,10 +112,63 @@ def test_shard_plan(spark):
 
 def test_write_shards(spark, tmp_path):
     rows = make_rows(15, n=200)
-    docs = frame(spark, rows).drop("shard")
+    docs = frame(spark, rows)
     sharding.write_shards(docs, str(tmp_path / "out"), shards=4)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(r.doc_id for r in back.collect()) == sorted(r[0] for r in rows)
+    assert back.columns == [*docs.columns, "shard_"]
+    back = back.collect()
+    assert sorted(r.doc_id for r in back) == sorted(r[0] for r in rows)
+    assert {r.shard for r in back} == {"shard"} and {r.shard_ for r in back} <= set(range(4))
+
+
+def test_repeated_rows_are_cut_and_dealt(spark):
+    """One row a thousand times, and a thousand rows without an id, spread over shards, bins and blocks."""
+    rows = [(7, "the same text over and over", "en", "a")] * 900 + [(None, "no id at all here", "en", "a")] * 900 + make_rows(21, n=50)
+    docs = frame(spark, rows)
+    got = sharding.shard_plan(docs, shards=6).collect()
+    size = Counter()
+    for r in got:
+        size[r.shard] += r["size"]
+    mean = sum(size.values()) / 6
+    assert len(got) == len(rows) and max(size.values()) < 1.25 * mean + max(r["size"] for r in got)
+    packed = packing.pack(docs, shard_rows=100).collect()
+    in_shard = Counter(r.shard for r in packed)
+    assert len(packed) >= len(rows) and max(in_shard.values()) < 250
+    assert Counter(r.id for r in packed if r.piece == 0)[7] == 900 + sum(r[0] == 7 for r in rows[1800:])
+    mixed = mixing.mix_sources(docs, block_words=8)
+    assert mixed.columns == docs.columns and mixed.where("doc_id = 7").count() > 900
+
+
+@pytest.mark.parametrize("name", ["key", "row", "shard", "c0"])
+def test_clashing_columns(spark, tmp_path, name):
+    docs = spark.createDataFrame([(i, f"some words {i % 3} here", "en", "ab"[i % 2], f"own{i}") for i in range(12)], f"doc_id long, text string, lang string, source string, {name} string")
+    mixed = mixing.mix_sources(docs, block_words=2)
+    assert mixed.columns == docs.columns and all(r[name] == f"own{r.doc_id}" for r in mixed.collect())
+    sharding.write_shards(docs, str(tmp_path / "o"), shards=2)
+    assert all(r[name] == f"own{r.doc_id}" for r in spark.read.parquet(str(tmp_path / "o")).collect())
+
+
+def test_ids_that_are_no_numbers(spark):
+    docs = spark.createDataFrame([("", "a b c d", "en", "a"), ("x", "a b c d", "en", "a"), (None, "e f", "en", "b"), ("y", None, None, None)], "doc_id string, text string, lang string, source string")
+    assert sorted(r.id or "" for r in packing.pack(docs).collect()) == ["", "", "x", "y"]
+    assert mixing.mix_plan(docs).count() == sharding.shard_plan(docs, shards=2).count() == 4
+
+
+def test_tightest_compatible_bin_by_brute_force():
+    rnd = __import__("random").Random(4)
+    sizes = sorted((rnd.randint(1, 60) for _ in range(300)), reverse=True)
+    sources, clusters = [rnd.choice("aaaab") for _ in sizes], [rnd.choice([1, 1, 2, *range(3, 200)]) for _ in sizes]
+    bins, want = [], []
+    for size, source, cluster in zip(sizes, sources, clusters):
+        fits = [k for k, b in enumerate(bins) if b["room"] >= size and b["sources"].count(source) < 2 and cluster not in b["clusters"]]
+        k = min(fits, key=lambda k: (bins[k]["room"], k), default=len(bins))
+        if k == len(bins):
+            bins.append({"room": 100, "sources": [], "clusters": []})
+        want.append((k, len(bins[k]["sources"]), 100 - bins[k]["room"]))
+        bins[k]["room"] -= size
+        bins[k]["sources"].append(source)
+        bins[k]["clusters"].append(cluster)
+    assert packing.pack_shard(sizes, sources, clusters, 100, 2) == want
 
 
 def test_pack_shard_best_fit():
