@@ -10,7 +10,7 @@ The search is nested, as in FAST-MCD. A group is dealt into chunks of about CHUN
 steps (refit mean and covariance on the nearest share) run from several starts, three from robust moments and
 RANDOM_STARTS from a few documents, until they stand still, and the least determinant wins. The CANDIDATES best of a
 group's chunks then take steps over the whole group, all of its documents, until they stand still too, and the
-least determinant is the estimate. A group of one chunk is done with the first part. Steps over a whole group
+least determinant is the estimate; for a group of one chunk these steps only confirm it. Steps over a whole group
 take the share by a quantile sketch of ACCURACY ranks, which is exact below so many documents.
 
 A document is rejected if its squared Mahalanobis distance exceeds the quantile that a new document exceeds with a
@@ -38,7 +38,7 @@ from ._common import SPACE, Words, mixed, staged, steps
 LEAST_WORDS = 20
 REPEAT_WINDOW, REPEAT_PERCENT = 8, 30
 COVERAGE = 0.75
-CHUNK = 16_384
+CHUNK = 4096
 RANDOM_STARTS = 4
 CANDIDATES = 2
 ACCURACY = 10_000
@@ -287,13 +287,9 @@ def _estimates(vectors: DataFrame, sizes: DataFrame, few: bool, tail: float) ->
         picked = own if picked is None else picked.unionByName(own)
         left = left.join(best, ["group", "chunk"], "left_anti")
     picked = staged(picked.drop("chunk"))
-    large = staged(sizes.where("chunks > 1").select("group"))
-    done = picked.where("candidate = 0").join(large, "group", "left_anti")
-    if not large.isEmpty():
-        wide = vectors.join(F.broadcast(large) if few else large, "group", "left_semi")
-        settled = _whole_steps(wide, picked.join(large, "group", "left_semi").select("group", "candidate", *[c for c in picked.columns if c not in ("group", "candidate")]), few, factor)
-        least = settled.groupBy("group").agg(F.min(F.struct("logdet", "candidate")).alias("b")).select("group", F.col("b.candidate").alias("candidate"))
-        done = done.unionByName(settled.join(least, ["group", "candidate"]).select(*done.columns))
+    settled = _whole_steps(vectors, picked, few, factor)
+    least = settled.groupBy("group").agg(F.min(F.struct("logdet", "candidate")).alias("b")).select("group", F.col("b.candidate").alias("candidate"))
+    done = settled.join(least, ["group", "candidate"])
     done = done.drop("candidate", "logdet").join(sizes.select("group", "count"), "group")
 
     def cuts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -336,7 +332,7 @@ def judge(
     counts = staged(counts.join(wanted, "group", "left_semi"))
     vectors = stats.where("NOT base_failed").select(used(pair, lang).alias("group"), "row", *[f"x{i}" for i in range(DIMS)])
     vectors = vectors.join(F.broadcast(counts.select("group")) if few else counts.select("group"), "group", "left_semi")
-    estimates = _estimates(vectors, counts, few, tail)
+    estimates = _estimates(staged(vectors), counts, few, tail)
 
     final = stats.withColumnRenamed("own", "group").join(F.broadcast(estimates) if few else estimates, "group", "left")
     final = final.withColumn("distance", F.coalesce(_distance(), F.lit(0.0)))
