@@ -86,8 +86,9 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD6E8FEB86659FD93
+#: Bases of the hash of a word's bytes and of that of a window's words; a second pair checks the first.
+BYTE_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -136,22 +137,22 @@ class Words:
         self.counts = np.bincount(self.doc, minlength=len(offsets) - 1)
         self.first = np.concatenate(([0], np.cumsum(self.counts)))
 
-    def hashes(self) -> np.ndarray:
-        return self.heads(len(self.data) + 1)
+    def hashes(self, nth: int = 0) -> np.ndarray:
+        return self.heads(len(self.data) + 1, nth)
 
-    def heads(self, most: int) -> np.ndarray:
+    def heads(self, most: int, nth: int = 0) -> np.ndarray:
         """Hashes of the first `most` bytes of each word."""
         ends = np.minimum(self.ends, self.starts + most)
-        raw = _spans(self.data.astype(np.uint64) + np.uint64(1), self.starts, ends, _BYTE_BASE)
+        raw = _spans(self.data.astype(np.uint64) + np.uint64(1), self.starts, ends, BYTE_BASES[nth])
         return mixed(raw + (ends - self.starts).astype(np.uint64))
 
-    def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, hashes: np.ndarray, k: int, nth: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each position, and which positions have k words of one text."""
         m = len(hashes) - k + 1
         if m <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
         at = np.arange(m)
-        return mixed(_spans(hashes, at, at + k, _WORD_BASE) + np.uint64(k)), self.doc[:m] == self.doc[k - 1 :]
+        return mixed(_spans(hashes, at, at + k, WORD_BASES[nth]) + np.uint64(k)), self.doc[:m] == self.doc[k - 1 :]
 
 
 def signed(x: np.ndarray) -> np.ndarray:

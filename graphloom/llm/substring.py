@@ -17,9 +17,11 @@ smaller id go. Three steps find them, all linear in the text:
 Anchors of very many documents spread their stretches over several bins that all get the passages, and the
 stretches are streamed, not gathered, so no task depends on the size of a group of copies.
 
-Defined results: null or wordless text has no words; a document without an integer id neither removes nor
-loses words; rows that repeat an id never remove words from each other. Windows compare words by 64-bit
-hashes. An empty table gives an empty result; further columns are ignored.
+Defined results: null or wordless text has no words; a document without an id neither removes nor loses words;
+ids may be of any orderable type, and smaller means smaller in its order. Rows that repeat an id never remove
+words from each other. Windows are equal when two independent 64-bit hashes of their words are, from the count
+of windows to the last confirmation. Texts of any length are read whole. An empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, mixed, signed, staged, steps
+from ._common import Words, mixed, named, numbered, signed, staged, steps
 
 WINDOW = 50
 ANCHOR = 16
@@ -42,6 +44,8 @@ AUTOMATON_WORDS = 400_000
 BIN_WORDS = 30_000
 #: Documents of an anchor that share a bin; those of more frequent ones are dealt over several.
 SPREAD = 128
+#: Pieces and their bytes that a task holds before it hands them on.
+PIECES_AT_ONCE, PIECE_BYTES = 4096, 4 << 20
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -109,7 +113,7 @@ def _member(doc: np.ndarray, values: np.ndarray, lists: np.ndarray, flat: np.nda
 
 
 def _candidate_windows(window: int):
-    """(whash, id) of every window whose anchor recurs."""
+    """(whash, wcheck, id) of every window whose anchor recurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,10 +128,16 @@ def _candidate_windows(window: int):
                 own = lists[i : j + 1]
                 found = _member(words.doc[at], anchors[at], own - own[0], flat[own[0] : own[-1]]) >= 0
                 at = at[found]
-                whole, _ = words.windows(hashes, window)
-                keys = np.unique(np.stack([words.doc[at].astype(np.uint64), whole[at]]), axis=1) if len(at) else np.zeros((2, 0), np.uint64)
+                if not len(at):
+                    continue
+                (whole, _), (check, _) = words.windows(hashes, window), words.windows(words.hashes(1), window, 1)
+                doc, whole, check = words.doc[at], whole[at], check[at]
+                order = np.lexsort((check, whole, doc))
+                doc, whole, check = doc[order], whole[order], check[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (whole[1:] != whole[:-1]) | (check[1:] != check[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(keys[1].copy())), pa.array(ids[i + keys[0].astype(np.int64)])], names=["whash", "id"]
+                    [pa.array(signed(whole[new])), pa.array(signed(check[new])), pa.array(ids[i + doc[new]])], names=["whash", "wcheck", "id"]
                 )
 
     return run
@@ -137,7 +147,17 @@ PIECES = "bin long, passage boolean, id long, key long, start int, words int, te
 
 
 def _pieces(window: int, bins: int):
-    """Candidate stretches of documents and the passages they own, each with the bins it goes to."""
+    """Candidate stretches of documents and the passages they own, each with the bins it goes to.
+
+    A passage may hold a window more that shares the first hash of an owned one; its document has that window
+    too, so the confirmation by both hashes stays right.
+    """
+
+    def handed(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bin", "passage", "id", "key", "start", "words", "text"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,6 +185,7 @@ def _pieces(window: int, bins: int):
                 keep[np.unique(first, return_index=True)[1]] = True
                 keep &= first >= 0
                 out: list[tuple] = []
+                held = 0
                 for passage, chosen in ((False, np.arange(len(at))), (True, np.flatnonzero(keep))):
                     if not len(chosen):
                         continue
@@ -183,11 +204,12 @@ def _pieces(window: int, bins: int):
                         for salt in salts:
                             to = int(mixed(np.array([group * 1_000_003 + salt], np.int64).view(np.uint64))[0] % np.uint64(bins))
                             out.append((to, passage, int(ids[row]), int(keys[row]), w0 - int(words.first[d[a]]), w1 - w0, text))
+                            held += len(text)
+                            if len(out) >= PIECES_AT_ONCE or held >= PIECE_BYTES:
+                                yield handed(out)
+                                out, held = [], 0
                 if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
-                        names=["bin", "passage", "id", "key", "start", "words", "text"],
-                    )
+                    yield handed(out)
 
     return run
 
@@ -203,27 +225,27 @@ class Automaton:
     def __init__(self, half: int, window: int):
         self.half, self.window, self.words = half, window, 0
         self.machine = ahocorasick.Automaton()
-        self.parts: list[tuple[np.ndarray, int]] = []
-        self.keys = self.owners = None
+        self.parts: list[tuple[np.ndarray, np.ndarray, int]] = []
+        self.keys = self.checks = self.owners = None
 
-    def add(self, owner: int, hashes: np.ndarray, windows: np.ndarray) -> None:
+    def add(self, owner: int, hashes: np.ndarray, windows: np.ndarray, checks: np.ndarray) -> None:
         letters = _letters(hashes)
         for at in range(0, len(hashes) - self.half + 1, self.half):
             self.machine.add_word(letters[at : at + self.half], True)
-        self.parts.append((windows, owner))
+        self.parts.append((windows, checks, owner))
         self.words += len(hashes)
 
     def _compile(self) -> None:
         self.machine.make_automaton()
-        keys = np.concatenate([w for w, _ in self.parts])
-        owners = np.repeat(np.array([o for _, o in self.parts], np.int64), [len(w) for w, _ in self.parts])
-        order = np.lexsort((owners, keys))
-        keys, owners = keys[order], owners[order]
+        keys, checks = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
+        owners = np.repeat(np.array([o for *_, o in self.parts], np.int64), [len(w) for w, *_ in self.parts])
+        order = np.lexsort((owners, checks, keys))
+        keys, checks, owners = keys[order], checks[order], owners[order]
         first = np.ones(len(keys), bool)
-        first[1:] = keys[1:] != keys[:-1]
-        self.keys, self.owners = keys[first], owners[first]
+        first[1:] = (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])
+        self.keys, self.checks, self.owners = keys[first], checks[first], owners[first]
 
-    def locate(self, doc: int, hashes: np.ndarray, windows: np.ndarray, gone: np.ndarray) -> None:
+    def locate(self, doc: int, hashes: np.ndarray, windows: np.ndarray, checks: np.ndarray, gone: np.ndarray) -> None:
         """Mark in gone the window starts of a stretch of `doc` that a smaller document owns.
 
         A phrase found makes the windows that span it candidates; each is then confirmed as a whole.
@@ -237,8 +259,15 @@ class Automaton:
         np.add.at(span, np.maximum(ends + 1 - self.window, 0), 1)
         np.add.at(span, ends - self.half + 2, -1)
         at = np.flatnonzero(np.cumsum(span)[: len(windows)] > 0)
-        place = np.minimum(np.searchsorted(self.keys, windows[at]), len(self.keys) - 1)
-        gone[at[(self.keys[place] == windows[at]) & (self.owners[place] < doc)]] = True
+        place = np.searchsorted(self.keys, windows[at])
+        while len(at):
+            inside = place < len(self.keys)
+            at, place = at[inside], place[inside]
+            same = self.keys[place] == windows[at]
+            at, place = at[same], place[same]
+            equal = self.checks[place] == checks[at]
+            gone[at[equal & (self.owners[place] < doc)]] = True
+            at, place = at[~equal], place[~equal] + 1  # another window of that first hash
 
 
 def _spans(window: int, automaton_words: int):
@@ -252,20 +281,20 @@ def _spans(window: int, automaton_words: int):
             for i, j, data, offsets in steps(batch, "text"):
                 words = Words(data, offsets)
                 hashes = words.hashes()
-                whole, _ = words.windows(hashes, window)
+                (whole, _), (check, _) = words.windows(hashes, window), words.windows(words.hashes(1), window, 1)
                 for r in range(i, j):
                     if bins[r] != current:
                         current, book = bins[r], []
                     a, b = words.first[r - i], words.first[r - i + 1]
-                    own, windows = hashes[a:b], whole[a : b - window + 1]
+                    own, windows, checks = hashes[a:b], whole[a : b - window + 1], check[a : b - window + 1]
                     if passages[r]:
                         if not book or book[-1].words and book[-1].words + len(own) > automaton_words:
                             book.append(Automaton(window // 2, window))
-                        book[-1].add(docs[r], own, windows)
+                        book[-1].add(docs[r], own, windows, checks)
                         continue
                     gone = np.zeros(len(windows), bool)
                     for automaton in book:
-                        automaton.locate(docs[r], own, windows, gone)
+                        automaton.locate(docs[r], own, windows, checks, gone)
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0]))))
                     for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
                         out.append((docs[r], keys[r], begins[r] + x, begins[r] + y + window - 1))
@@ -312,7 +341,7 @@ def _rest():
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_sha256, kept_text."""
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    rows, names = numbered(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text")))
     with_id = rows.where("id IS NOT NULL")
     anchors = with_id.select("id", "text").mapInArrow(_anchors(window), "anchor long, id long")
     recurring = anchors.groupBy("anchor").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count("*").alias("n"))
@@ -324,8 +353,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # All joins with the texts are by id alone, so their one exchange is reused.
     near = with_id.join(found, "id").select("id", "key", "anchors", "text")
-    windows = near.mapInArrow(_candidate_windows(window), "whash long, id long")
-    owned = windows.groupBy("whash").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id < last")
+    windows = near.mapInArrow(_candidate_windows(window), "whash long, wcheck long, id long")
+    owned = windows.groupBy("whash", "wcheck").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id < last")
     owned = owned.groupBy("id").agg(F.collect_list("whash").alias("owned"))
     bins = max(1, recurring.count() * ANCHOR // BIN_WORDS)
     both = near.join(owned, "id", "left")
@@ -337,4 +366,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = with_id.join(spans, "id", "left").select("id", "key", "text", "spans")
     no_id = rows.where("id IS NULL").select("id", "key", "text", F.lit(None).cast(out.schema["spans"].dataType).alias("spans"))
     schema = "id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    return out.mapInArrow(_rest(), schema).unionByName(no_id.mapInArrow(_rest(), schema))
+    return named(out.mapInArrow(_rest(), schema).unionByName(no_id.mapInArrow(_rest(), schema)), names, "id")

@@ -124,6 +124,72 @@ def test_substring_null_id_removes_nothing(spark):
     assert sorted((r.id or 0, r.n_removed) for r in got.collect()) == [(0, 0), (5, 0), (6, 80)]
 
 
+def test_substring_windows_of_one_hash_are_told_apart(spark, monkeypatch):
+    """With a first hash that takes all windows for equal, the second still decides."""
+    plain_windows = substring.Words.windows
+
+    def blind(self, hashes, k, nth=0):
+        found, ok = plain_windows(self, hashes, k, nth)
+        return (found * 0 if k == 50 and nth == 0 else found), ok
+
+    monkeypatch.setattr(substring.Words, "windows", blind)
+    w = [f"w{i}" for i in range(60)]
+    book = substring.Automaton(25, 50)
+    def coded(words):
+        text = " ".join(words).encode()
+        own = substring.Words(__import__("numpy").frombuffer(text, "u1"), __import__("numpy").array([0, len(text)]))
+        h = own.hashes()
+        return h, own.windows(h, 50)[0], own.windows(own.hashes(1), 50, 1)[0]
+    book.add(1, *coded(w))
+    gone = __import__("numpy").zeros(11, bool)
+    book.locate(5, *coded(w), gone)
+    assert gone.all()
+    gone[:] = False
+    book.locate(5, *coded(w[:30] + ["x"] + w[31:]), gone)
+    assert not gone.any()
+
+
+@pytest.mark.parametrize("name", ["key", "row", "gone", "c0"])
+def test_stages_keep_clashing_columns(spark, name):
+    docs = spark.createDataFrame([(i, f"some words {i // 2} here and more of them", f"own{i}") for i in range(8)], f"doc_id long, text string, {name} string")
+    for out in (exact_dedup.exact_dedup(docs), minhash.near_dedup(docs)):
+        assert out.columns == docs.columns and all(r[name] == f"own{r.doc_id}" for r in out.collect())
+
+
+def test_ids_that_are_no_numbers(spark):
+    long = " ".join(f"w{i}" for i in range(70))
+    docs = spark.createDataFrame([("b", long), ("", "x " + long), ("c", long + " y"), (None, long), ("d", None)], "doc_id string, text string")
+    near = {(r.id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert near == {("", "", True), ("b", "", False), ("c", "", False), (None, None, True), ("d", "d", True)}
+    assert {r.doc_id for r in minhash.near_dedup(docs).collect()} == {"", None, "d"}
+    gone = {r.id: r.n_removed for r in substring.substring_dedup(docs).collect()}
+    assert gone == {"": 0, "b": 70, "c": 70, None: 0, "d": 0}
+    kept = exact_dedup.exact_dedup(docs).collect()
+    assert {r.doc_id for r in kept} == {"b", "", "c", "d"}
+
+
+def test_two_texts_of_one_id_join_their_copies(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = spark.createDataFrame([(5, a), (5, b), (6, a), (7, b)], "doc_id long, text string")
+    assert {(r.id, r.component_id) for r in minhash.near_duplicates(docs).collect()} == {(5, 5), (6, 5), (7, 5)}
+
+
+def test_repeated_row_is_a_heavy_digest(spark):
+    rows = [(3, "hot", "en", "a")] * 400 + [(9, "hot", "en", "a")] * 300 + make_rows(5, n=20)
+    assert [r.doc_id for r in exact_dedup.exact_dedup(frame(spark, rows), counters=4).where("text = 'hot'").collect()] == [9]
+
+
+@pytest.mark.parametrize("matches", [24, 46])
+def test_one_rule_for_lists_of_all_lengths(spark, monkeypatch, matches):
+    """The threshold on collisions holds in long lists as in short ones."""
+    rows = make_rows(9)
+    run = lambda: sorted((r.id, r.component_id) for r in minhash.near_duplicates(frame(spark, rows), matches=matches).collect())
+    short = run()
+    monkeypatch.setattr(minhash, "SHORT", 1)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    assert run() == short
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     assert exact_dedup.digest_groups(docs).count() == 0
