@@ -30,7 +30,7 @@ def _meta(spark, path: str) -> dict[str, str]:
 
 def index(spark, settings: config.Config) -> None:
     """Reads new and changed files, links them with the rows kept of all others, names communities, and writes it all."""
-    files = scan.scan_sources(spark, str(Path(settings.root).resolve()))
+    files = scan.scan_sources(spark, str(Path(settings.root).resolve()), ignore=settings.ignore)
     target = str(Path(settings.root, settings.index).resolve())
     hashes = staged(files.select("file", "language", "hash"))
     if Path(target, "rows").exists():
@@ -40,7 +40,7 @@ def index(spark, settings: config.Config) -> None:
         rows = staged(extract.extract(fresh).unionByName(kept))
     else:
         rows = staged(extract.extract(files))
-    graph = extract.link_rows(rows, hashes.select("file", "language"), settings.aliases)
+    graph = extract.link_rows(rows, hashes.select("file", "language"), settings.aliases | config.tsconfig_aliases(settings.root))
     graph = community.with_communities(graph.staged())
     new = f"{target}.new"
     graph_store.save(graph, new)

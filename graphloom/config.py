@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import asdict, dataclass, field, fields, replace
 from pathlib import Path
 
@@ -38,3 +39,23 @@ def init(root: str = ".") -> Path:
         raise FileExistsError(path)
     path.write_text(json.dumps(asdict(Config()), indent=2))
     return path
+
+
+def tsconfig_aliases(root: str) -> dict[str, str]:
+    """Path aliases of tsconfig.json, and of the file it extends: prefix to folder, both without their star; none if unreadable."""
+
+    def read(path: Path) -> dict:
+        try:
+            found = json.loads(path.read_text())
+        except (OSError, ValueError):
+            return {}
+        return found if isinstance(found, dict) else {}
+
+    own = read(Path(root, "tsconfig.json"))
+    options = dict(own.get("compilerOptions") or {})
+    if isinstance(base := own.get("extends"), str):
+        path = Path(root, base)
+        options = dict(read(path if path.is_file() else Path(f"{path}.json")).get("compilerOptions") or {}) | options
+    paths = options.get("paths") or {}
+    first = {k: v[0] for k, v in paths.items() if isinstance(v, list) and v}
+    return {k.replace("*", ""): os.path.normpath(v.replace("*", "_"))[: -1 if "*" in v else None] for k, v in first.items()}

@@ -31,17 +31,22 @@ def enclosing(points: DataFrame, symbols: DataFrame, narrowest: bool = True) ->
 def link_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """CALLS edges (source_id, target_id, confidence): the callee by name, another file's before the own, the first of those.
 
-    1.0 within a file or from an imported file, 0.4 otherwise; calls of a symbol to itself drop out.
+    0.7 within a file, 1.0 from an imported file, 0.4 otherwise; calls of a symbol to itself drop out. A name is
+    reduced to its first symbol and the first of another file before calls meet it, so a name that very many
+    files define costs each of its calls one row.
     """
-    at = enclosing(calls.select("file", "callee", "line"), symbols)
-    t = symbols.select(F.col("name").alias("callee"), F.col("id").alias("target_id"), F.col("file").alias("t_file"), F.col("seq").alias("t_seq"))
-    rows = at.join(t, "callee").where("source_id <> target_id")
-    best = Window.partitionBy("file", "callee", "line", "source_id").orderBy(F.col("file") == F.col("t_file"), "t_seq")
-    rows = rows.withColumn("__n", F.row_number().over(best)).where("__n = 1")
+    own = symbols.select("name", F.struct("seq", "id", "file").alias("at"))
+    first = own.groupBy("name").agg(F.min("at").alias("first"))
+    other = own.join(first, "name").where(F.col("at.file") != F.col("first.file")).groupBy("name").agg(F.min("at").alias("other"))
+    names = first.join(other, "name", "left").withColumnRenamed("name", "callee")
+    at = enclosing(calls.select("file", "callee", "line"), symbols).join(names, "callee")
+    away = F.when(F.col("first.file") != F.col("file"), F.col("first")).otherwise(F.coalesce("other", "first"))
+    rows = at.withColumn("to", away).select("file", "source_id", F.col("to.id").alias("target_id"), F.col("to.file").alias("t_file"))
+    rows = rows.where("source_id <> target_id")
     known = imports.select(F.col("file"), F.col("source").alias("t_file")).distinct().withColumn("imported", F.lit(True))
     rows = rows.join(known, ["file", "t_file"], "left")
-    sure = (F.col("file") == F.col("t_file")) | F.coalesce("imported", F.lit(False))
-    return rows.groupBy("source_id", "target_id").agg(F.max(F.when(sure, 1.0).otherwise(0.4)).alias("confidence"))
+    sure = F.when(F.col("file") == F.col("t_file"), 0.7).when(F.col("imported"), 1.0).otherwise(0.4)
+    return rows.groupBy("source_id", "target_id").agg(F.max(sure).alias("confidence"))
 
 
 def link_heritage(heritage: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -104,10 +109,10 @@ def name_map(symbols: DataFrame) -> DataFrame:
     return symbols.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
 
 
-def link_usages(usages: DataFrame, symbols: DataFrame, edge_type: str, confidence: float) -> DataFrame:
-    """Edges for (file, name, line) usages of mapped names from the symbol around each: components, types."""
+def link_usages(usages: DataFrame, symbols: DataFrame, edge_type: str, confidence: float, types: tuple[str, ...] = ()) -> DataFrame:
+    """Edges for (file, name, line) usages of mapped names, of symbols of these types only, from the symbol around each."""
     at = enclosing(usages.select("file", "name", "line"), symbols)
-    to = name_map(symbols).select("name", F.col("id").alias("target_id"))
+    to = name_map(symbols.where(F.col("type").isin(*types)) if types else symbols).select("name", F.col("id").alias("target_id"))
     rows = at.join(to, "name").where("source_id <> target_id").select("source_id", "target_id").distinct()
     return rows.select(F.lit(edge_type).alias("type"), "source_id", "target_id", F.lit(confidence).alias("confidence"))
 
@@ -122,6 +127,18 @@ def link_components(usages: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.select(F.lit("USES_COMPONENT").alias("type"), "source_id", "target_id", F.lit(0.9).alias("confidence"))
 
 
+def api_calls(uses: DataFrame, constants: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(caller_id, method, pattern) of uses (file, line, key, pattern, method) and of the files of constants (file, key, pattern).
+
+    A use of a constant's key stands for its pattern, a path of its own for itself; the caller is the symbol around it.
+    """
+    known = constants.select("key", F.col("pattern").alias("known")).distinct()
+    rows = uses.join(known, "key", "left").withColumn("pattern", F.coalesce("pattern", "known")).where("pattern IS NOT NULL")
+    rows = enclosing(rows.select("file", "line", "method", "pattern"), symbols).select(F.col("source_id").alias("caller_id"), "method", "pattern")
+    files = constants.select(F.concat(F.lit("file:"), "file").alias("caller_id"), F.lit(None).cast("string").alias("method"), "pattern")
+    return rows.unionByName(files).distinct()
+
+
 def link_routes(routes: DataFrame, constants: DataFrame, symbols: DataFrame) -> DataFrame:
     """CALLS_API edges from (caller_id, method, pattern) calls of constants to (method, pattern, handler) routes.
 

@@ -142,12 +142,40 @@ TYPESCRIPT_NO_CALL = frozenset("""
     createElement appendChild emit on off once describe it test expect beforeEach afterEach beforeAll afterAll
 """.split())
 _COMPONENT = re.compile(r"<([A-Z]\w*)[\s/>]")
+_REEXPORT = re.compile(r"^\s*export\s+(?:type\s+)?(?:\*(?:\s+as\s+\w+)?|\{(?P<names>[^}]*)\})\s+from\s+['\"](?P<source>[^'\"]+)['\"]")
+_EXPORT_LIST = re.compile(r"^\s*export\s+(?:type\s+)?\{([^}]*)\}\s*;?\s*$")
+_TYPE_ARGUMENTS = re.compile(r"\w<([A-Z][\w\s,|<\[\]]*)>")
+_API_CONSTANT = re.compile(r"(\w+):\s*(?:\([^)]*\)\s*=>\s*)?[\"`](/api/v1/[^\"`]+)[\"`]")
+_API_USE = re.compile(r"(?:\.(get|post|put|patch|delete)(?:<[^>]*>)?\(\s*)?\bAPI((?:\.\w+)+)")
+_API_PATH = re.compile(r"\.(get|post|put|patch|delete)(?:<[^>]*>)?\(\s*[\"'`](/api/v1/[^\"'`]+)")
+_ROUTE = re.compile(r"(\w+)\.(Get|Post|Put|Patch|Delete)\(\"([^\"]+)\".*?h\.(\w+)\)")
+_GO_FUNCTION = re.compile(r"^func\s+(\w+)\(")
+
+
+def _names(text: str) -> list[str]:
+    """Names before `as` in a list between braces."""
+    return [w[0] for part in text.split(",") if (w := [x for x in part.split() if x != "type"])]
+
+
+def typescript_rows(n: int, line: str) -> Iterator[dict]:
+    """Re-exports, type arguments, API constants and their uses on a line."""
+    if m := _REEXPORT.match(line):
+        yield {"kind": "reexport", "detail": m["source"], "start_line": n, "names": _names(m["names"]) if m["names"] is not None else ["*"]}
+    for m in _TYPE_ARGUMENTS.finditer(line):
+        for name in re.findall(r"\b[A-Z]\w*", m[1]):
+            yield {"kind": "type_use", "name": name, "start_line": n}
+    for m in _API_CONSTANT.finditer(line):
+        yield {"kind": "api_constant", "name": m[1], "detail": m[2], "start_line": n}
+    for m in _API_USE.finditer(line):
+        yield {"kind": "api_use", "name": m[2].rsplit(".", 1)[1], "parent": m[1] and m[1].upper(), "start_line": n}
+    for m in _API_PATH.finditer(line):
+        yield {"kind": "api_use", "detail": m[2], "parent": m[1].upper(), "start_line": n}
 
 
 def _block_end(lines: list[str], at: int) -> int:
     """Last line of the braces that open at or after a declaration; the line itself if none do."""
     depth, opened = 0, False
-    for n in range(at, min(len(lines), at + 5000)):
+    for n in range(at, len(lines)):
         depth += lines[n].count("{") - lines[n].count("}")
         opened = opened or "{" in lines[n]
         if (opened and depth <= 0) or (not opened and lines[n].rstrip().endswith(";")):
@@ -177,7 +205,15 @@ def pattern_rows(language: str, file: str, text: str) -> Iterator[dict]:
     declarations = [(re.compile(p), t) for p, t in DECLARATIONS.get(language, ())]
     imports = re.compile(IMPORTS[language]) if language in IMPORTS else None
     lines = text.split("\n")
+    listed = {x for line in lines if (m := _EXPORT_LIST.match(line)) for x in _names(m[1])} if language == "typescript" else set()
+    around = ""
     for n, line in enumerate(lines):
+        if language == "typescript":
+            yield from typescript_rows(n + 1, line)
+        elif language == "go":
+            around = m[1] if (m := _GO_FUNCTION.match(line)) else around
+            if m := _ROUTE.search(line):
+                yield {"kind": "route", "name": m[2].upper(), "detail": m[3], "parent": m[4], "start_line": n + 1, "names": [around, m[1]]}
         m = imports.match(line) if imports else None
         if m:
             names = re.findall(r"\w+", re.sub(r"\btype\b|\bas\b", " ", m.groupdict().get("names") or ""))
@@ -190,7 +226,7 @@ def pattern_rows(language: str, file: str, text: str) -> Iterator[dict]:
             name = groups["name"]
             if language == "typescript" and kind in ("Function", "Class") and name[:1].isupper() and file.endswith("x"):
                 kind = "Component"
-            out = _exported(language, name, line, bool(groups.get("out")))
+            out = name in listed or _exported(language, name, line, bool(groups.get("out")))
             yield {"kind": "symbol", "name": name, "type": kind, "start_line": n + 1, "end_line": _block_end(lines, n), "exported": out, "parent": groups.get("parent"), "names": []}
             for how in ("extends", "implements"):
                 for parent in re.findall(r"\w+", groups.get(how) or ""):
@@ -207,7 +243,7 @@ EXTRACTORS["python"] = python_rows
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """ROW rows of (file, language, content): kinds symbol, call, import, heritage, component, error."""
+    """ROW rows of (file, language, content): kinds symbol, call, import, heritage, component, reexport, type_use, api_constant, api_use, route, error."""
     kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ROW.split(", ")])
     extractors = dict(EXTRACTORS)
@@ -257,6 +293,7 @@ def link_rows(rows: DataFrame, file_table: DataFrame, aliases: dict[str, str] |
     Reading sources is the costly part and goes file by file; linking always sees all rows, so an
     incremental index links calls between changed and unchanged files like a full one.
     """
+    from ..functions.columns import route_prefix
     from ..graph import CodeGraph
     from ..operators import linking
     from ..storage import staged
@@ -274,9 +311,24 @@ def link_rows(rows: DataFrame, file_table: DataFrame, aliases: dict[str, str] |
     files_in = imports.select(F.concat(F.lit("file:"), "file").alias("source_id"), F.concat(F.lit("file:"), "target").alias("target_id"), F.lit(1.0).alias("confidence")).distinct()
     components = linking.link_components(rows.where("kind = 'component'").select("file", "name"), syms)
     edges = typed(calls, "CALLS").unionByName(linking.link_heritage(heritage, syms)).unionByName(typed(linking.link_methods(syms), "HAS_METHOD"))
-    edges = edges.unionByName(typed(defines, "DEFINES")).unionByName(typed(files_in, "IMPORTS")).unionByName(components)
+    reexports = rows.where("kind = 'reexport'").select("file", F.col("detail").alias("source"), "names")
+    reexports = linking.resolve_imports(reexports, file_table, aliases).where("file <> target")
+    passed = reexports.select("file", "target", F.lit(1.0).alias("confidence")).unionByName(linking.expand_barrels(imports, reexports))
+    passed = passed.select(F.concat(F.lit("file:"), "file").alias("source_id"), F.concat(F.lit("file:"), "target").alias("target_id"), "confidence")
+    files_in = files_in.unionByName(passed).groupBy("source_id", "target_id").agg(F.max("confidence").alias("confidence"))
+    uses = rows.where("kind = 'type_use'").select("file", "name", F.col("start_line").alias("line"))
+    types = linking.link_usages(uses, syms, "USES_TYPE", 0.8, linking.CLASS_TYPES)
+    routes = rows.where("kind = 'route'").select(
+        F.col("name").alias("method"), F.concat(route_prefix(F.col("names")[0], F.col("names")[1]), "detail").alias("pattern"), F.col("parent").alias("handler")
+    )
+    constants = rows.where("kind = 'api_constant'").select("file", F.col("name").alias("key"), F.col("detail").alias("pattern"))
+    asked = rows.where("kind = 'api_use'").select("file", F.col("start_line").alias("line"), F.col("name").alias("key"), F.col("detail").alias("pattern"), F.col("parent").alias("method"))
+    api = linking.link_routes(routes, linking.api_calls(asked, constants, syms), syms)
+    api = api.groupBy("type", "source_id", "target_id").agg(F.max("confidence").alias("confidence"), F.min("metadata").alias("metadata"))
+    edges = edges.unionByName(typed(defines, "DEFINES")).unionByName(typed(files_in, "IMPORTS")).unionByName(components).unionByName(types)
+    edges = edges.unionByName(api, allowMissingColumns=True)
     edge_id = F.concat_ws(":", "type", "source_id", "target_id")
-    edges = edges.select(F.xxhash64("type", "source_id", "target_id").alias("edge_seq"), edge_id.alias("id"), "type", "source_id", "target_id", "confidence")
+    edges = edges.select(F.xxhash64("type", "source_id", "target_id").alias("edge_seq"), edge_id.alias("id"), "type", "source_id", "target_id", "confidence", "metadata")
     nodes = syms.withColumnRenamed("seq", "node_seq").unionByName(
         file_table.select(F.xxhash64("file").alias("node_seq"), F.concat(F.lit("file:"), "file").alias("id"), F.col("file").alias("name"), F.lit("File").alias("type"), "file", F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), "language", F.lit(False).alias("exported")),
         allowMissingColumns=True,

@@ -12,15 +12,15 @@ MOST_BYTES = 1_000_000
 SKIPPED = ("node_modules", "vendor", "target", "build", "dist", "out", "venv", "__pycache__", "bin", "obj")
 
 
-def scan_sources(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(file, language, content, length, hash) of source files below root: known endings, up to MOST_BYTES, no skipped or hidden folder."""
+def scan_sources(spark: SparkSession, root: str, glob: str | None = None, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """(file, language, content, length, hash) of source files below root: known endings, up to MOST_BYTES, no skipped, ignored or hidden folder."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     rows = (reader.option("pathGlobFilter", glob) if glob else reader).load(root).where(F.col("length") <= MOST_BYTES)
     base = F.lit(root.rstrip("/").split("://")[-1] + "/")
     path = F.regexp_replace("path", r"^\w+:/*", "/")
     rows = rows.withColumn("file", F.element_at(F.split(path, base, 2), -1))
     folders = F.slice(F.split("file", "/"), 1, F.greatest(F.size(F.split("file", "/")) - 1, F.lit(0)))
-    hidden = F.exists(folders, lambda d: d.startswith(".") | d.isin(*SKIPPED))
+    hidden = F.exists(folders, lambda d: d.startswith(".") | d.isin(*SKIPPED, *ignore))
     rows = rows.where(~hidden).withColumn("language", file_language("file")).where("language IS NOT NULL")
     return rows.select("file", "language", F.decode("content", "UTF-8").alias("content"), "length", F.sha2("content", 256).alias("hash"))
 

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from graphloom import config
 from graphloom.operators import linking
 from graphloom.sources import extract, graph_store, scan
 from graphloom.streaming import watch
@@ -61,6 +62,42 @@ def test_build_graph(spark, tmp_path):
     assert ("IMPORTS", "src/app.tsx", "src/button.tsx", 1.0) in got
 
 
+def test_links_of_a_web_tree(spark, tmp_path):
+    """Confidences, re-exports, barrels, type arguments, routes and aliases, from files to edges."""
+    sources = {
+        "tsconfig.json": '{"extends": "./base", "compilerOptions": {"strict": true}}',
+        "base.json": '{"compilerOptions": {"paths": {"~/*": ["web/*"]}}}',
+        "web/user.ts": "interface User {\n}\nfunction helper() {\n  return 1;\n}\nfunction local() {\n  return helper();\n}\nexport { User, helper as aid };\n",
+        "web/index.ts": "export { User } from './user';\nexport * from './other';\n",
+        "web/other.ts": "export function other() {\n  return 2;\n}\n",
+        "web/api.ts": 'export const API = {\n  one: (id: string) => `/api/v1/users/${id}`,\n};\n',
+        "app.ts": "import { User } from '~/index';\nimport { other } from './web/other';\nexport function load() {\n  other();\n  return api.get<Promise<User>>(API.one(id));\n}\n",
+        "server.go": 'package main\nfunc Setup(app) {\n\tv1.Get("/users/:id", h.GetUser)\n}\nfunc GetUser() {\n}\n',
+        "skip/no.ts": "export function no() {\n}\n",
+    }
+    for name, text in sources.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / name).write_text(text)
+    aliases = config.tsconfig_aliases(str(tmp_path))
+    assert aliases == {"~/": "web/"}
+    g = extract.build_graph(scan.scan_sources(spark, str(tmp_path), ignore=("skip",)), aliases)
+    nodes = {r["id"]: r for r in g.nodes.collect()}
+    got = {(r["type"], nodes[r["source_id"]]["name"], nodes[r["target_id"]]["name"], r["confidence"]) for r in g.edges.where("type <> 'DEFINES'").collect()}
+    assert ("CALLS", "local", "helper", 0.7) in got and ("CALLS", "load", "other", 1.0) in got
+    assert ("IMPORTS", "web/index.ts", "web/user.ts", 1.0) in got and ("IMPORTS", "web/index.ts", "web/other.ts", 1.0) in got
+    assert ("IMPORTS", "app.ts", "web/index.ts", 1.0) in got and ("IMPORTS", "app.ts", "web/user.ts", 0.9) in got
+    assert ("USES_TYPE", "load", "User", 0.8) in got
+    assert ("CALLS_API", "load", "GetUser", 0.6) in got and ("CALLS_API", "web/api.ts", "GetUser", 0.6) in got
+    assert {n["name"] for n in nodes.values() if n["exported"]} >= {"User", "helper", "load"} and "no" not in {n["name"] for n in nodes.values()}
+    (api,) = g.edges.where("type = 'CALLS_API' AND source_id LIKE 'ts:%'").collect()
+    assert (api["metadata"]["http_method"], api["metadata"]["url_pattern"]) == ("GET", "/api/v1/users/:id")
+
+
+def test_block_of_a_long_declaration():
+    lines = ["function f() {", *["  x();"] * 6000, "}", "y();"]
+    assert extract._block_end(lines, 0) == 6002
+
+
 def test_enclosing_narrowest_and_first(spark):
     s = spark.createDataFrame([(1, "outer", "f", 1, 100), (2, "inner", "f", 10, 20), (3, "other", "g", 1, 100)], "seq long, id string, file string, start_line int, end_line int")
     points = spark.createDataFrame([("f", 15), ("f", 50), ("f", 200)], "file string, line int")
