@@ -121,19 +121,51 @@ def blast_radius(graph: CodeGraph, seeds: DataFrame, exclude: DataFrame, depth:
     return first.join(seeds.select("seed_seq", "via"), "seed_seq")
 
 
-def nodes_on_cycles(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(id) of nodes that reach themselves: path doubling over (source_id, target_id)."""
-    reach = staged(edges.select("source_id", "target_id").distinct())
-    n = reach.count()
-    for _ in range(max_rounds):
-        longer = reach.select("source_id", F.col("target_id").alias("m")).join(
-            reach.select(F.col("source_id").alias("m"), "target_id"), "m"
-        ).select("source_id", "target_id")
-        reach = staged(reach.unionByName(longer).distinct())
-        if (now := reach.count()) == n:
-            break
-        n = now
-    return reach.where("source_id = target_id").select(F.col("source_id").alias("id"))
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """edges without those that lead from a node that nothing reaches or to one that leads nowhere, again and again."""
+    n = edges.count()
+    while True:
+        heads, tails = edges.select(F.col("target_id").alias("source_id")).distinct(), edges.select(F.col("source_id").alias("target_id")).distinct()
+        edges = staged(edges.join(heads, "source_id", "left_semi").join(tails, "target_id", "left_semi"))
+        if (left := edges.count()) == n:
+            return edges
+        n = left
+
+
+def nodes_on_cycles(edges: DataFrame) -> DataFrame:
+    """(id) of nodes that reach themselves, over (source_id, target_id).
+
+    Strongly connected parts by colours: the least id that reaches a node is its colour, and what reaches the
+    node of that id within the colour is its part. Parts found are taken out and the rest is coloured anew, until
+    no edge is left. Every table has a row a node or an edge; rounds follow the longest of the shortest ways.
+    """
+    edges = staged(edges.select("source_id", "target_id").distinct())
+    found = staged(edges.where("source_id = target_id").select(F.col("source_id").alias("id")))
+    edges = _trimmed(edges.where("source_id <> target_id"))
+    while not edges.isEmpty():
+        labels = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct().withColumn("label", F.col("id"))
+        labels = staged(labels.withColumn("changed", F.lit(True)))
+        while not labels.where("changed").isEmpty():
+            sent = labels.where("changed").join(edges, F.col("id") == F.col("source_id")).groupBy("target_id").agg(F.min("label").alias("sent"))
+            labels = labels.drop("changed").join(sent, F.col("id") == F.col("target_id"), "left")
+            labels = staged(labels.select("id", F.least("label", "sent").alias("label"), F.coalesce(F.col("sent") < F.col("label"), F.lit(False)).alias("changed")))
+        colour = lambda end: labels.select(F.col("id").alias(f"{end}_id"), F.col("label").alias(f"{end}_label"))
+        inner = edges.join(colour("source"), "source_id").join(colour("target"), "target_id").where("source_label = target_label")
+        inner = staged(inner.select("source_id", "target_id"))
+        front = staged(labels.where("id = label").select("id"))
+        part = front
+        while not front.isEmpty():
+            front = inner.join(front, F.col("target_id") == F.col("id")).select(F.col("source_id").alias("id")).distinct()
+            front = staged(front.join(part, "id", "left_anti"))
+            part = part.unionByName(front)
+        part = staged(part.join(labels.select("id", "label"), "id"))
+        many = part.groupBy("label").count().where("count > 1").select("label")
+        found = found.unionByName(part.join(many, "label", "left_semi").select("id"))
+        gone = part.select("id")
+        for end in ("source_id", "target_id"):
+            edges = edges.join(gone.withColumnRenamed("id", end), end, "left_anti")
+        edges = _trimmed(staged(edges.select("source_id", "target_id")))
+    return found.distinct()
 
 
 #: Packages that the driver may search depth first; more are refused, for nodes_on_cycles to answer.

@@ -456,7 +456,21 @@ def review_file_risks(g, hunks):
     return risks.select("file", "modified", "direct", "affected", "risk")
 
 
-@on_review("review_risk")
+def _ways(before: str, seed: str, order: str, k: int) -> str:
+    """The least way of k edges to each node that takes part: its seed and the edges it takes."""
+    return f"""way{k} AS (SELECT * FROM (SELECT e.source_id AS id, {seed} AS seed_seq, {order}e.edge_seq AS k{k}, e.id AS i{k}, e.confidence,
+        row_number() OVER (PARTITION BY e.source_id ORDER BY {seed}, {order}e.edge_seq, e.id, e.type, e.confidence) AS n
+        FROM {before} JOIN edges e ON e.target_id = w.id WHERE e.source_id IN ({SOUND})) x WHERE n = 1)"""
+
+
+RISK = f"""{_ways("(SELECT * FROM changed WHERE reason = 'modified') w", "w.node_seq", "", 1)}, {_ways("way1 w", "w.seed_seq", "w.k1, w.i1, ", 2)},
+    firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seed_seq, depth) AS nth FROM (
+        SELECT id, seed_seq, 1 AS depth, confidence FROM way1 UNION ALL SELECT id, seed_seq, 2, confidence FROM way2) x WHERE id NOT IN (SELECT id FROM changed)) y WHERE nth = 1),
+    tally AS (SELECT count(*) FILTER (depth = 1) AS direct, count(*) FILTER (confidence >= 0.9) AS confident, count(DISTINCT file) AS files FROM firsts JOIN nodes USING (id)),
+    scored AS (SELECT *, 3 * direct + 2 * confident + CASE WHEN files > 5 THEN 20 ELSE 0 END AS score FROM tally)"""
+
+
+@on_review("review_risk", "SELECT direct, confident, files, score, CASE WHEN score >= 50 THEN 'CRITICAL' WHEN score >= 20 THEN 'HIGH' WHEN score >= 10 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM scored", CHANGED, RISK)
 def review_risk(g, hunks):
     return review.overall_risk(review.affected_symbols(g, staged(review.changed_symbols(g, hunks))))
 

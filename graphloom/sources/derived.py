@@ -45,6 +45,14 @@ NODES = f"""
     UNION ALL
     SELECT 4 * {_KIND} + min(p_partkey), 'file:' || file, 'File', file, file, 0, 0, 'typescript', min(p_brand), false, 'tpch', NULL, false, NULL
     FROM ({PARTS}) p GROUP BY file
+    UNION ALL
+    SELECT 5 * {_KIND} + min(c_custkey), 'file:data/' || lower(c_mktsegment) || '.ts', 'File', lower(c_mktsegment), 'data/' || lower(c_mktsegment) || '.ts',
+           0, 0, 'typescript', c_mktsegment, false, 'tpch', NULL, false, NULL
+    FROM {{customer}} GROUP BY c_mktsegment
+    UNION ALL
+    SELECT 6 * {_KIND} + n_nationkey, 'enum:nation:' || CAST(n_nationkey AS STRING), 'Enum', n_name || 'Code', 'data/codes.ts',
+           CAST(4 * n_nationkey + 1 AS INT), CAST(4 * n_nationkey + 3 AS INT), 'typescript', 'data', false, 'tpch', NULL, false, NULL
+    FROM {{nation}}
 """
 
 
@@ -87,7 +95,7 @@ HUNKS = f"""
     FROM {{orders}} JOIN ({PARTS}) p ON p_partkey = o_orderkey % (SELECT count(*) FROM {{part}})
 """
 
-TABLES = ("region", "nation", "supplier", "part", "orders", "lineitem")
+TABLES = ("region", "nation", "supplier", "customer", "part", "orders", "lineitem")
 
 #: The graph as common table expressions for an oracle.
 GRAPH_CTE = "nodes AS (" + NODES.format(**{t: t for t in TABLES}) + "), edges AS (" + EDGES.format(**{t: t for t in TABLES}) + ")"

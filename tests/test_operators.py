@@ -232,3 +232,15 @@ def test_engine(spark):
     with pytest.raises(EmptyGraph):
         Engine(make(spark, [], [])).report("map")
     assert SymbolNotFound("x", []).to_json() == '{"error": "symbol_not_found", "message": "Symbol \'x\' not found", "symbol": "x", "suggestions": []}'
+
+
+def test_nodes_on_cycles_by_brute_force(spark):
+    import random
+
+    rnd = random.Random(8)
+    pairs = {(rnd.randrange(40), rnd.randrange(40)) for _ in range(45)} | {(i, i + 1) for i in range(50, 60)} | {(60, 57), (70, 70)}
+    reach = set(pairs)
+    while more := {(a, d) for a, b in reach for c, d in pairs if b == c} - reach:
+        reach |= more
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "source_id string, target_id string")
+    assert sorted(r.id for r in traversal.nodes_on_cycles(edges).collect()) == sorted(f"n{a}" for a, b in reach if a == b)
