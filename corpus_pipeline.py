@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages over documents, each one of the operators of graphloom.llm."""
+"""The corpus pipeline: five stages over documents, each one of the operators of graphloom.llm.
+
+All stages but the last return the columns of documents, whatever further ones there are. Null texts count as empty,
+empty and very long texts pass every stage that does not judge them, a null id is a document of its own, and an empty
+table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -10,28 +15,28 @@ from graphloom.llm._common import staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the severity limit."""
+    """Documents below the severity limit; all of them where the labels lack a class. Equal texts go or stay together."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One row of each group of equal texts stays: the largest id, one of those that repeat it, a null id only if alone."""
     return exact_dedup.exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component at similarity 0.8 of five-word shingles stays."""
+    """One document of each component at similarity 0.8 of five-word shingles stays, that of the smallest id; null ids and texts stay."""
     return minhash.near_dedup(docs, shingle=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often, and as far, as the mixture takes them."""
+    """Documents as often, and as far, as the mixture takes them; texts without words are taken 0 times, so they go."""
     mixed = mixing.mix_sources(docs)
     return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixture placed in sequences."""
+    """Pieces of the mixture placed in sequences; repeated rows are pieces of their own."""
     return packing.pack(docs).withColumnRenamed("id", "doc_id")
 
 
