@@ -1,9 +1,17 @@
-"""DuckDB oracles of the opN_<name> queries that SQL can express; each follows the contract, not the operator."""
+"""DuckDB oracles of the opN_<name> queries that SQL can express.
+
+EXACT, SUBSTRING and NEAR follow the contract alone. MIXING, SHARDING, url_sql and LANGUAGE state the operator's published
+method in SQL, over whole tables at once where the operator works in parts, as the contract leaves their choices
+open. Nothing is imported from the operators: the parameters below are the documented ones, written out again.
+"""
 
 from __future__ import annotations
 
-from .mixing import BLOCK_WORDS, BUCKET_SHARDS, REPEATS, SHARD_WORDS, SHARE_PERCENT, STEP, WEIGHTS
-from .sharding import LEVEL_BITS, SHARDS, WHOLE_SHARE, hilbert_table
+#: op2: weights, percent of all sizes, repeats, words a block and a shard, shards a bucket, step of the block permutation.
+WEIGHTS, SHARE_PERCENT, REPEATS = (5, 2, 1), 150, 2
+BLOCK_WORDS, SHARD_WORDS, BUCKET_SHARDS, STEP = 32, 65_536, 1024, 2_654_435_761
+#: op4: shards, bits of a level, share of a shard from which a group is cut.
+SHARDS, LEVEL_BITS, WHOLE_SHARE = 24, 4, 0.25
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -40,7 +48,25 @@ NEAR = r"""
     FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.a = d.doc_id
 """
 
-_TABLE = "[" + ", ".join(map(str, hilbert_table())) + "]"
+
+def _cell(index: int) -> tuple[int, ...]:
+    """The cell at a place of the Hilbert curve: Skilling's transform the other way round, from the index to the axes."""
+    digits = f"{index:0{3 * LEVEL_BITS}b}"
+    x = [int(digits[k::3], 2) for k in range(3)]
+    low = x[2] >> 1
+    x = [x[0] ^ low, x[1] ^ x[0], x[2] ^ x[1]]
+    for q in (1 << b for b in range(1, LEVEL_BITS)):
+        for i in (2, 1, 0):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                swap = (x[0] ^ x[i]) & (q - 1)
+                x[0], x[i] = x[0] ^ swap, x[i] ^ swap
+    return tuple(x)
+
+
+_PLACE = {_cell(i): i for i in range(1 << 3 * LEVEL_BITS)}
+_TABLE = "[" + ", ".join(str(_PLACE[cell]) for cell in sorted(_PLACE)) + "]"
 _SIDE = 1 << LEVEL_BITS
 
 
