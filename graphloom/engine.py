@@ -10,6 +10,7 @@ from .graph import CodeGraph
 from .operators import export, lookup, process, rename, review, rules, traversal
 from .plans import pattern
 from .sources import graph_store
+from .storage import staged
 
 
 class Engine:
@@ -19,6 +20,7 @@ class Engine:
 
     def __init__(self, graph: CodeGraph):
         self.graph = graph
+        self._flows: DataFrame | None = None
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Engine:
@@ -34,6 +36,12 @@ class Engine:
     def find(self, query: str, **options) -> DataFrame:
         return lookup.find(self.graph, query, **options)
 
+    def flows(self) -> DataFrame:
+        """All flows of the graph, traced once and written down."""
+        if self._flows is None:
+            self._flows = staged(process.detect_processes(self.graph))
+        return self._flows
+
     def explain(self, name: str, file: str | None = None) -> DataFrame:
         return lookup.explain(self.graph, lookup.resolve(self.graph, name, file)["id"])
 
@@ -72,7 +80,7 @@ class Engine:
             return render.found(self.find(*args, **options))
         if tool == "explain":
             node = lookup.resolve(self.graph, *args)
-            return render.explain(node, lookup.explain(self.graph, node["id"]))
+            return render.explain(node, lookup.explain(self.graph, node["id"]), process.participation(self.flows(), node["id"]))
         if tool == "impact":
             node = lookup.resolve(self.graph, args[0], options.get("file"))
             direction = options.get("direction", "upstream")

@@ -195,3 +195,9 @@ def get_process(graph: CodeGraph, name: str) -> DataFrame:
     flows = detect_processes(graph, 100).withColumn("__exact", F.lower("name") == name.lower())
     flows = flows.where(F.lower("name").contains(name.lower()))
     return flows.orderBy(F.desc("__exact"), F.desc("complexity"), "place").limit(1).drop("__exact")
+
+
+def participation(flows: DataFrame, node_id: str) -> DataFrame:
+    """(name, label, step, total) of the flows that a node is part of; step 0 is the entry."""
+    at = flows.select("name", "label", F.size("trace").alias("total"), F.posexplode("trace").alias("step", "id"))
+    return at.where(F.col("id") == node_id).select("name", "label", "step", "total").orderBy("name", "step")

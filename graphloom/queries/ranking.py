@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import search
 from ..functions.columns import search_tokens
+from ..sources import index_store
 from ..sources.derived import GRAPH_CTE, derived_graph
-from ..storage import staged
+from ..storage import scratch_path, staged
 from . import register
 
 TOKENS = r"""list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c},
@@ -58,6 +59,13 @@ def bm25_index(spark, sf_dir):
     return search.bm25(index, search.index_stats(docs), "blueBolt").withColumn("score", F.round("score", 6))
 
 
+@register("bm25_saved", f"WITH {DOCS}, {BM25.format(asked=chr(39) + 'heart' + chr(39) + ', ' + chr(39) + 'anon' + chr(39))} SELECT id, round(score, 6) AS score FROM scored ORDER BY round(scored.score, 9) DESC, seq, id LIMIT 20")
+def bm25_saved(spark, sf_dir):
+    path = scratch_path(spark)
+    index_store.save_index(_docs(spark, sf_dir), path)
+    return search.bm25(*index_store.load_index(spark, path), "heart anon").withColumn("score", F.round("score", 6))
+
+
 @register("document_frequency", f"WITH {DOCS} SELECT token, count(*) AS df FROM (SELECT DISTINCT id, unnest(tokens) AS token FROM docs) x GROUP BY token")
 def document_frequency(spark, sf_dir):
     return search.document_frequency(search.postings(_docs(spark, sf_dir)))
@@ -129,3 +137,19 @@ def embedding_text(spark, sf_dir):
 def embed_symbols(spark, sf_dir):
     found = search.embed(search.embedding_text(derived_graph(spark, sf_dir).nodes))
     return found.select("id", F.size("embedding").alias("dims"), "embedding")
+
+
+@register(
+    "embedding_signs",
+    f"""WITH {GRAPH_CTE}, texts AS (SELECT id, concat_ws(' ', type || ': ' || name, CASE WHEN package <> '' THEN 'Package: ' || package END, CASE WHEN file <> '' THEN 'File: ' || file END,
+        'Language: ' || language, CASE WHEN exported THEN 'Exported: true' END, 'Receiver: ' || receiver) AS text FROM nodes WHERE type IN ({', '.join(repr(t) for t in search.EMBEDDABLE)})),
+    words AS (SELECT id, md5(unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''))) AS h FROM texts),
+    cells AS (SELECT id, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 384 AS place, sum(1 - 2 * (CAST('0x' || substr(h, 9, 1) AS BIGINT) % 2)) AS n FROM words GROUP BY 1, 2)
+    SELECT id, CAST(384 AS INT) AS dims, count(*) FILTER (n <> 0) AS filled, CAST(coalesce(sum((place + 1) * sign(n)), 0) AS BIGINT) AS signs FROM cells GROUP BY id""",
+)
+def embedding_signs(spark, sf_dir):
+    """How many places of each symbol's embedding are filled, and with which signs."""
+    found = search.embed(search.embedding_text(derived_graph(spark, sf_dir).nodes))
+    signs = F.aggregate(F.transform("embedding", lambda x, i: F.signum(x).cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, b: a + b)
+    filled = F.size(F.filter("embedding", lambda x: x != 0)).cast("long")
+    return found.select("id", F.size("embedding").alias("dims"), filled.alias("filled"), signs.alias("signs"))

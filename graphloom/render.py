@@ -65,13 +65,15 @@ def impact(target, direction: str, rows: DataFrame) -> str:
     return "\n".join(lines)
 
 
-def explain(target, rows: DataFrame) -> str:
+def explain(target, rows: DataFrame, flows: DataFrame | None = None) -> str:
     lines = [f"# {target['name']} ({target['type']})", "", f"`{target['file']}:{target['start_line']}` — {target['package']}", ""]
     sections: dict[str, list] = {}
     for r in rows.collect():
         sections.setdefault(r["section"], []).append(r)
     for name, refs in sections.items():
         lines += [f"## {name.replace('_', ' ').capitalize()} ({len(refs)})", ""] + [f"- **{r['name']}** -- `{r['file']}:{r['line']}`" for r in refs] + [""]
+    if flows is not None and (found := flows.collect()):
+        lines += [f"## Flows ({len(found)})", ""] + [f"- **{r['name']}** -- step {r['step']} of {r['total']}" for r in found] + [""]
     return "\n".join(lines)
 
 

@@ -18,9 +18,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the scratch folder."""
+    return f"{scratch_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: lineage ends here, and a lost executor costs no more than its tasks."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -70,18 +71,21 @@ class Watcher:
     """Applies debounced changes to a graph held as written tables, one micro-batch at a time.
 
     `extract(files)` returns the CodeGraph of changed files; `save(graph)` is called after SAVE_EVERY
-    updates, or when the trigger's time has passed with updates unsaved.
+    updates, or at the first micro-batch SAVE_SECONDS after the last save that finds updates unsaved; a batch
+    may be empty.
     """
 
-    SAVE_EVERY = 5
+    SAVE_EVERY, SAVE_SECONDS = 5, 30
 
     def __init__(self, graph: CodeGraph, extract: Callable[[DataFrame], CodeGraph], save: Callable[[CodeGraph], None] | None = None):
         self.graph, self.extract, self.save, self.status = graph.staged(), extract, save, Status()
+        self.saved_at = time.monotonic()
 
     def on_batch(self, changes: DataFrame, _: int = 0) -> None:
         changes = staged(changes)
         n = changes.count()
         if not n:
+            self._save_if_due()
             return
         try:
             extracted = self.extract(changes.where("last_event <> 'unlink'").select("file"))
@@ -92,9 +96,13 @@ class Watcher:
         self.status.updates += n
         self.status.unsaved += n
         self.status.last_update = datetime.now(timezone.utc)
-        if self.save and self.status.unsaved >= self.SAVE_EVERY:
+        self._save_if_due()
+
+    def _save_if_due(self) -> None:
+        late = time.monotonic() - self.saved_at >= self.SAVE_SECONDS
+        if self.save and self.status.unsaved and (late or self.status.unsaved >= self.SAVE_EVERY):
             self.save(self.graph)
-            self.status.unsaved = 0
+            self.status.unsaved, self.saved_at = 0, time.monotonic()
 
     def start(self, events: DataFrame, checkpoint: str, gap: str = "1500 milliseconds", every: str = "30 seconds") -> StreamingQuery:
         writer = debounce(events, gap).writeStream.outputMode("append").foreachBatch(self.on_batch)

@@ -244,3 +244,35 @@ def test_nodes_on_cycles_by_brute_force(spark):
         reach |= more
     edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "source_id string, target_id string")
     assert sorted(r.id for r in traversal.nodes_on_cycles(edges).collect()) == sorted(f"n{a}" for a, b in reach if a == b)
+
+
+def test_paths_by_brute_force(spark):
+    """The first paths of an entry, against a queue that takes one path at a time."""
+    import random
+
+    rnd = random.Random(4)
+    names = [f"n{i}" for i in range(12)]
+    calls = [(rnd.choice(names), "CALLS", rnd.choice(names)) for _ in range(40)]
+    g = make(spark, [{"id": n} for n in names], calls)
+    nexts = {}
+    for r in process.calls(g).orderBy("edge_seq", "id").collect():
+        nexts.setdefault(r.source_id, []).append(r.target_id)
+    want = {}
+    for start in names[:6]:
+        queue, done = [[start]], []
+        while queue and len(done) < process.PATHS_AN_ENTRY:
+            path = queue.pop(0)
+            on = [c for c in nexts.get(path[-1], [])[: process.BRANCHING] if c not in path] if len(path) < process.MAX_NODES else []
+            if on:
+                queue += [[*path, c] for c in on]
+            elif len(path) >= process.LEAST_NODES:
+                done.append(path)
+        want[start] = done
+    entries = spark.createDataFrame([(n, i) for i, n in enumerate(names[:6])], "id string, place int")
+    got = {n: [] for n in names[:6]}
+    for r in process.trace_paths(g, entries).orderBy("entry", "nth").collect():
+        got[r.entry].append(r.path)
+    assert got == want
+    flow = process.detect_processes(g)
+    inside = flow.first()["trace"][1]
+    assert {(r.name, r.step) for r in process.participation(flow, inside).collect()} >= {(flow.first()["name"], 1)}

@@ -5,8 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from graphloom import config
-from graphloom.operators import linking
-from graphloom.sources import extract, graph_store, scan
+from graphloom.operators import linking, search
+from graphloom.sources import extract, graph_store, index_store, scan
 from graphloom.streaming import watch
 
 from .graphs import make, query_graph, tool_graph
@@ -217,3 +217,39 @@ def test_debounce_on_a_table(spark):
     rows = spark.createDataFrame([("a", "2024-01-01 00:00:00", "add"), ("a", "2024-01-01 00:00:01", "change"), ("a", "2024-01-01 00:00:05", "unlink")], "file string, ts string, event string")
     got = watch.debounce(rows.withColumn("ts", F.col("ts").cast("timestamp"))).orderBy("start").collect()
     assert [(r["events"], r["last_event"]) for r in got] == [(2, "change"), (1, "unlink")]
+
+
+def test_saved_index_and_vectors(spark, tmp_path):
+    docs = spark.createDataFrame([("a", 1, ["red", "bolt"]), ("b", 2, ["red", "red", "nut"]), ("c", 3, ["blue"])], "id string, seq long, tokens array<string>")
+    index_store.save_index(docs, str(tmp_path / "index"))
+    index, stats = index_store.load_index(spark, str(tmp_path / "index"))
+    assert search.bm25(index, stats, "red nut").collect() == search.bm25_scan(docs, "red nut").collect()
+    empty = index_store.Vectors(spark, str(tmp_path / "vectors"))
+    assert empty.size() == 0 and not empty.has("a")
+    rows = lambda *r: spark.createDataFrame(r, "id string, embedding array<double>")
+    one = empty.add(rows(("a", [1.0, 0.0]), ("b", [0.0, 1.0])))
+    two = one.add(rows(("b", [1.0, 0.0]), ("c", [0.0, 1.0])))
+    assert one.size() == 2 and two.size() == 3 and two.has("c") and not one.has("c")
+    assert sorted(r.id for r in two.ids().collect()) == ["a", "b", "c"]
+    assert [r.id for r in two.nearest([1.0, 0.1], 2).collect()] == ["a", "b"]
+
+
+def test_embedding_of_a_batch_is_that_of_each():
+    texts = ["a b a", "", None, "B c"]
+    both = search.hashed_vectors(texts, 16)
+    assert all((both[i] == search.hashed_vectors([t], 16)[0]).all() for i, t in enumerate(texts))
+    assert abs((both[0] ** 2).sum() - 1) < 1e-12 and not both[1].any()
+
+
+def test_watcher_saves_by_count_or_time(spark, monkeypatch):
+    g, saved = tool_graph(spark), []
+    w = watch.Watcher(g, lambda files: g, saved.append)
+    monkeypatch.setattr(watch, "apply_changes", lambda graph, changes, extracted: graph)
+    batch = lambda n: spark.createDataFrame([(f"f{i}", "change") for i in range(n)], "file string, last_event string")
+    w.on_batch(batch(2))
+    assert not saved and w.status.unsaved == 2
+    monkeypatch.setattr(w, "SAVE_SECONDS", 0)
+    w.on_batch(batch(0))
+    assert len(saved) == 1 and w.status.unsaved == 0
+    w.on_batch(batch(0))
+    assert len(saved) == 1
