@@ -64,7 +64,7 @@ def trace_paths(graph: CodeGraph, entries: DataFrame) -> DataFrame:
         around = around.unionByName(level)
     around = around.join(nexts, "node").select("entry", "place", "node", "callees")
     schema = f"entry string, place {entries.schema['place'].dataType.simpleString()}, nth int, path array<string>"
-    around = around.repartition(4 * graph.nodes.sparkSession.sparkContext.defaultParallelism, "entry")  # few rows, much work
+    around = around.repartition(graph.nodes.sparkSession.sparkContext.defaultParallelism, "entry")  # few rows, much work
     return around.groupBy("entry", "place").applyInArrow(_first_paths, schema)
 
 
