@@ -103,33 +103,43 @@ def framework(file: Column | str, name: Column | str) -> tuple[Column, Column]:
     return F.coalesce(best["name"], F.lit("unknown")), F.coalesce(best["multiplier"], F.lit(1.0))
 
 
-#: Entry-point names for all languages and by language, and helper names (fixed patterns).
+#: Entry-point names, for all languages and by language. Fixed values.
 ENTRY_NAMES = {
-    "*": r"(?i)^(main|init|bootstrap|start|run|setup|configure|app)$|(?-i)^handle[A-Z]|^on[A-Z]|(?i)^(get|post|put|delete|patch)(Handler)?$"
-    r"|^(create|register|subscribe|dispatch|emit)$|(?-i)Controller$|Handler$|Middleware$|Command$|Router$",
-    "typescript": r"^use[A-Z]|^render[A-Z]|^app\.|Server$|Route$|Plugin$",
-    "python": r"(?i)^(cli|main|app|run)$|(?-i)_handler$|_view$|_command$|^test_",
-    "go": r"^(main|Run|Start|Serve|Listen)$|Handler$|^New[A-Z]|Server$",
-    "java": r"^do(Get|Post|Put|Delete)$|^create[A-Z]|^build[A-Z]|Service$|Controller$",
-    "rust": r"^(main|run|start|new)$|^handle_|_handler$",
-}
+    "*": (
+        r"(?i)^(main|init|bootstrap|start|run|setup|configure|app)$", r"^handle[A-Z]", r"^on[A-Z]",
+        r"(?i)^(get|post|put|delete|patch)(Handler)?$", r"(?i)^(create|register|subscribe|dispatch|emit)$",
+        r"Controller$", r"Handler$", r"Middleware$", r"Command$", r"Router$",
+    ),
+    "typescript": (r"^use[A-Z]", r"^render[A-Z]", r"^app\.", r"Server$", r"Route$", r"Plugin$"),
+    "python": (r"(?i)^(cli|main|app|run)$", r"_handler$", r"_view$", r"_command$", r"^test_"),
+    "go": (r"^(main|Run|Start|Serve|Listen)$", r"Handler$", r"^New[A-Z]", r"Server$"),
+    "java": (r"^do(Get|Post|Put|Delete)$", r"^create[A-Z]", r"^build[A-Z]", r"Service$", r"Controller$"),
+    "rust": (r"^(main|run|start|new)$", r"^handle_", r"_handler$"),
+}
+#: Helper names. Fixed values.
 HELPER_NAMES = (
-    r"^(get|set|is|has|can|should|will|did)[A-Z]|^_|^(to|from|as|into)[A-Z]|(?i)^(parse|format|validate|sanitize|normalize|encode|decode)"
-    r"|(?-i)Helper$|Util(s)?$|^(map|filter|reduce|find|some|every|forEach)$|(?i)^(log|debug|warn|error|trace|info)$"
-)
+    r"^(get|set|is|has|can|should|will|did)[A-Z]", r"^_", r"^(to|from|as|into)[A-Z]",
+    r"(?i)^(parse|format|validate|sanitize|normalize|encode|decode)", r"Helper$", r"Util(s)?$",
+    r"^(map|filter|reduce|find|some|every|forEach)$", r"(?i)^(log|debug|warn|error|trace|info)$",
+)
+
+
+def _any(name: Column, patterns: tuple[str, ...]) -> Column:
+    """Whether name has one of the patterns, each with its own flags."""
+    return name.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
 def is_entry_name(name: Column | str, language: Column | str) -> Column:
     name, language = _col(name), _col(language)
     own = F.lit(False)
-    for lang, pattern in ENTRY_NAMES.items():
+    for lang, patterns in ENTRY_NAMES.items():
         if lang != "*":
-            own = own | ((language == lang) & name.rlike(pattern))
-    return name.rlike(ENTRY_NAMES["*"]) | F.coalesce(own, F.lit(False))
+            own = own | ((language == lang) & _any(name, patterns))
+    return _any(name, ENTRY_NAMES["*"]) | F.coalesce(own, F.lit(False))
 
 
 def is_helper_name(name: Column | str) -> Column:
-    return _col(name).rlike(HELPER_NAMES)
+    return _any(_col(name), HELPER_NAMES)
 
 
 #: File name endings and their languages (fixed values).

@@ -131,16 +131,22 @@ IMPORTS = {
 }
 _CALL = re.compile(r"(?<![\w.])(?:[\w.]+\.)?([A-Za-z_]\w*)\s*\(")
 #: Words before a bracket that are no calls (fixed values).
-NO_CALL = frozenset("if for while switch catch return function new typeof await super this import require fn func def class match loop sizeof elif not and or in".split())
-#: Calls that say nothing of a TypeScript project (fixed values).
-TYPESCRIPT_NO_CALL = frozenset("""
-    require import console log warn error info debug setTimeout setInterval clearTimeout clearInterval
-    Promise resolve reject then catch finally JSON parse stringify toString valueOf Array Object Map Set String Number Boolean
-    push pop shift unshift splice slice concat filter map reduce forEach find findIndex some every
-    includes indexOf join split replace trim match test keys values entries has get set delete add clear
-    from of isArray assign freeze defineProperty addEventListener removeEventListener querySelector getElementById
-    createElement appendChild emit on off once describe it test expect beforeEach afterEach beforeAll afterAll
-""".split())
+NO_CALL = (
+    "if", "for", "while", "switch", "catch", "return", "function", "new", "typeof", "await", "super", "this",
+    "import", "require", "fn", "func", "def", "class", "match", "loop", "sizeof", "elif", "not", "and", "or", "in",
+)
+#: Calls that say nothing of a TypeScript project. Fixed values.
+TYPESCRIPT_NO_CALL = (
+    "require", "import", "console", "log", "warn", "error", "info", "debug", "setTimeout", "setInterval",
+    "clearTimeout", "clearInterval", "Promise", "resolve", "reject", "then", "catch", "finally", "JSON", "parse",
+    "stringify", "toString", "valueOf", "Array", "Object", "Map", "Set", "String", "Number", "Boolean", "push",
+    "pop", "shift", "unshift", "splice", "slice", "concat", "filter", "map", "reduce", "forEach", "find",
+    "findIndex", "some", "every", "includes", "indexOf", "join", "split", "replace", "trim", "match", "test",
+    "keys", "values", "entries", "has", "get", "set", "delete", "add", "clear", "from", "of", "isArray", "assign",
+    "freeze", "defineProperty", "addEventListener", "removeEventListener", "querySelector", "getElementById",
+    "createElement", "appendChild", "emit", "on", "off", "once", "describe", "it", "test", "expect", "beforeEach",
+    "afterEach", "beforeAll", "afterAll",
+)
 _COMPONENT = re.compile(r"<([A-Z]\w*)[\s/>]")
 _REEXPORT = re.compile(r"^\s*export\s+(?:type\s+)?(?:\*(?:\s+as\s+\w+)?|\{(?P<names>[^}]*)\})\s+from\s+['\"](?P<source>[^'\"]+)['\"]")
 _EXPORT_LIST = re.compile(r"^\s*export\s+(?:type\s+)?\{([^}]*)\}\s*;?\s*$")
@@ -204,6 +210,7 @@ def _exported(language: str, name: str, line: str, marked: bool) -> bool:
 def pattern_rows(language: str, file: str, text: str) -> Iterator[dict]:
     declarations = [(re.compile(p), t) for p, t in DECLARATIONS.get(language, ())]
     imports = re.compile(IMPORTS[language]) if language in IMPORTS else None
+    silent = {*NO_CALL, *(TYPESCRIPT_NO_CALL if language == "typescript" else ())}
     lines = text.split("\n")
     listed = {x for line in lines if (m := _EXPORT_LIST.match(line)) for x in _names(m[1])} if language == "typescript" else set()
     around = ""
@@ -233,7 +240,7 @@ def pattern_rows(language: str, file: str, text: str) -> Iterator[dict]:
                     yield {"kind": "heritage", "name": name, "detail": how, "parent": parent}
         start = found[0].end() if found else 0
         for m in _CALL.finditer(line, start):
-            if m[1] not in NO_CALL and not (language == "typescript" and m[1] in TYPESCRIPT_NO_CALL):
+            if m[1] not in silent:
                 yield {"kind": "call", "name": m[1], "start_line": n + 1}
         for m in _COMPONENT.finditer(line) if language == "typescript" else ():
             yield {"kind": "component", "name": m[1], "start_line": n + 1}
