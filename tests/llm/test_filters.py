@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,46 @@ def test_toxicity_thresholds_rise_and_weights_are_shared():
     assert np.allclose(theta / w[0], [1, 2, 3], atol=0.25)
 
 
+def ordinal_loss(w, theta, x, grade, ridge):
+    """Minus the mean log-likelihood of the cumulative-link model, and the ridge, document by document."""
+    total = 0.0
+    for v, g in zip(x, grade):
+        below = [0.0, *(1 / (1 + np.exp(-(t - w * v))) for t in theta), 1.0]
+        total -= np.log(max(below[g + 1] - below[g], 1e-9))
+    return total / len(grade) + ridge / 2 * w * w
+
+
+def test_fit_is_a_maximum_of_the_likelihood():
+    rnd = np.random.default_rng(2)
+    x = rnd.uniform(0, 3, 200)
+    grade = np.clip((x + rnd.normal(0, 0.8, 200)).astype(int), 0, 3)
+    w, theta = toxicity.fit(np.arange(200), np.zeros(200, int), x, grade, 1, rounds=3000, ridge=1e-3)
+    best = ordinal_loss(w[0], theta, x, grade, 1e-3)
+    for step in (0.05, -0.05):
+        assert ordinal_loss(w[0] + step, theta, x, grade, 1e-3) > best
+        for k in range(3):
+            moved = theta.copy()
+            moved[k] += step
+            assert ordinal_loss(w[0], moved, x, grade, 1e-3) > best
+
+
+def test_scores_of_a_batch_are_those_of_each_text_by_hand():
+    texts = ["Idiot! idiot scum of the house", "", "river walk", "trashy morons " * 40, None, "x " * 500 + "scum"]
+    one = lambda t: toxicity.Words(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]), lower=True, gaps=toxicity.GAPS)
+    known = sorted({int(f) for t in texts[:4] for codes, _ in toxicity._features(one(t)) for f in codes})
+    rnd = np.random.default_rng(0)
+    model = toxicity.Model(np.array(known), rnd.normal(0, 0.2, len(known)), np.array([0.5, 1.5, 2.5]))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    (out,) = toxicity._scorer(model, "text")([batch])
+    weight = dict(zip(known, model.weights))
+    for t, got in zip(texts, out.column(1).to_pylist(), strict=True):
+        words = one(t)
+        hits = Counter(int(f) for codes, _ in toxicity._features(words) for f in codes if int(f) in weight)
+        score = sum(weight[f] * min(n * 100 / len(words.starts), 10.0) for f, n in hits.items())
+        want = sum(1 / (1 + np.exp(t_k - score)) for t_k in model.thresholds) if hits else 0.0
+        assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, toxic_rows(20)[0])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
