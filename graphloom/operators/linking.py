@@ -6,7 +6,7 @@ calls(file, callee, line), imports(file, source, names, line), heritage(child, f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalize_pattern
@@ -14,18 +14,42 @@ from ..functions.columns import normalize_pattern
 CLASS_TYPES = ("Class", "Struct", "Interface", "Trait", "Enum", "Type")
 
 
+#: Blocks of lines are 1, 8, 64, ... long: 2 to the power of STEP times their level.
+STEP = 3
+
+
+def _level(lines: Column) -> Column:
+    """The highest level with blocks no longer than so many lines."""
+    return F.floor((F.length(F.bin(lines)) - 1) / STEP).cast("int")
+
+
+def _blocks(symbols: DataFrame) -> DataFrame:
+    """symbols with (__level, __block), one row for each of the fewest blocks that make up their lines, 2 * (2^STEP - 1) of a level at most."""
+    start, end = F.col("start_line").cast("long"), F.col("end_line").cast("long") + 1
+    level, side = F.col("__level"), F.lit(1 << STEP)
+    whole = lambda n: (F.ceil(start / F.pow(F.lit(2.0), STEP * n)), F.floor(end / F.pow(F.lit(2.0), STEP * n)))
+    between = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    (first, last), (above, beyond) = whole(level), whole(level + 1)
+    parts = F.when(above < beyond, F.concat(between(first, above * side), between(beyond * side, last))).otherwise(between(first, last))
+    rows = symbols.where("start_line <= end_line").withColumn("__level", F.explode(F.sequence(F.lit(0), _level(end - start))))
+    return rows.withColumn("__block", F.explode(parts))
+
+
 def enclosing(points: DataFrame, symbols: DataFrame, narrowest: bool = True) -> DataFrame:
-    """Adds source_id to (file, line): the narrowest symbol whose lines contain it, or the first.
+    """Adds source_id to (file, line): the narrowest symbol whose lines contain it, or the first; repeated rows stay once.
 
-    An equi-join by file with the range as a residual, so never a nested loop over all symbols.
+    A symbol's lines are cut into blocks, a block keeps only its best symbol, and a line looks up the block of each
+    level that it lies in. The cost grows with the lines and the symbols, never with their product in a file.
     """
-    s = symbols.select(F.col("file").alias("s_file"), F.col("id").alias("source_id"), F.col("seq").alias("s_seq"), F.col("start_line").alias("s_start"), F.col("end_line").alias("s_end"))
-    points = points.withColumn("__point", F.xxhash64(*points.columns))
-    rows = points.join(s, (F.col("file") == F.col("s_file")) & F.col("line").between(F.col("s_start"), F.col("s_end")))
-    order = [F.col("s_end") - F.col("s_start"), F.col("s_seq")] if narrowest else [F.col("s_seq")]
-    best = Window.partitionBy(*points.columns).orderBy(*order)
-    rows = rows.withColumn("__n", F.row_number().over(best)).where("__n = 1")
-    return rows.drop("__n", "__point", "s_file", "s_seq", "s_start", "s_end")
+    width = [(F.col("end_line").cast("long") - F.col("start_line")).alias("width")] if narrowest else []
+    best = F.min(F.struct(*width, "seq", "id")).alias("__best")
+    table = _blocks(symbols).groupBy(F.col("file").alias("__file"), "__level", "__block").agg(best)
+    lines = F.col("end_line").cast("long") - F.col("start_line") + 1
+    top = symbols.where("start_line <= end_line").agg(F.max(_level(lines)).alias("__top"))  # one row
+    rows = points.crossJoin(F.broadcast(top)).withColumn("__level", F.explode(F.sequence(F.lit(0), "__top")))
+    rows = rows.withColumn("__block", F.floor(F.col("line") / F.pow(F.lit(2.0), STEP * F.col("__level"))))
+    rows = rows.join(table.withColumnRenamed("__level", "__l").withColumnRenamed("__block", "__b"), (F.col("file") == F.col("__file")) & (F.col("__level") == F.col("__l")) & (F.col("__block") == F.col("__b")))
+    return rows.groupBy(*points.columns).agg(F.min("__best").alias("__best")).select(*points.columns, F.col("__best.id").alias("source_id"))
 
 
 def link_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:

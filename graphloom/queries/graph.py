@@ -46,6 +46,16 @@ def on_review(name: str, oracle: str | None = None, *more: str):
     return add
 
 
+def on_nodes(name: str, oracle: str, *more: str):
+    """As on_review, of the nodes alone: the edges are neither derived nor written, and the nodes are read where they are."""
+
+    def add(f):
+        register(name, sql(oracle, HUNKS_CTE, *more))(lambda spark, sf_dir: f(derived_graph(spark, sf_dir).nodes, derived_hunks(spark, sf_dir)))
+        return f
+
+    return add
+
+
 NODE = "id, type, name, file, start_line, end_line, language, package, exported, is_test"
 
 
@@ -490,14 +500,14 @@ def broken_flows(g, hunks):
     return review.broken_flows(process.detect_processes(g, 50), review.changed_symbols(g, hunks))
 
 
-@on_review(
+@on_nodes(
     "enclosing_symbol",
     """SELECT file, line, source_id FROM (SELECT h.file, h.start_line AS line, n.id AS source_id, row_number() OVER (PARTITION BY h.file, h.start_line ORDER BY n.end_line - n.start_line, n.node_seq) AS k
         FROM (SELECT DISTINCT file, start_line FROM hunks) h JOIN nodes n ON n.file = h.file AND h.start_line BETWEEN n.start_line AND n.end_line AND n.type <> 'File') x WHERE k = 1""",
 )
-def enclosing_symbol(g, hunks):
+def enclosing_symbol(nodes, hunks):
     points = hunks.select("file", F.col("start_line").alias("line")).distinct()
-    return linking.enclosing(points, g.nodes.where("type <> 'File'").withColumnRenamed("node_seq", "seq")).select("file", "line", "source_id")
+    return linking.enclosing(points, nodes.where("type <> 'File'").withColumnRenamed("node_seq", "seq")).select("file", "line", "source_id")
 
 
 RENAMED = f"""SELECT file, line, confidence, context FROM (SELECT *, row_number() OVER (PARTITION BY file, line ORDER BY part, o, context) AS k FROM (

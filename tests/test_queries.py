@@ -33,3 +33,9 @@ def test_label_propagation_runs_to_its_default_of_ten_rounds(spark, monkeypatch)
 def test_embed_symbols_returns_the_default_embedding(spark):
     rows = QUERIES["embed_symbols"](spark, SF).limit(5).collect()
     assert rows and all(r.dims == len(r.embedding) == 384 and any(r.embedding) for r in rows)
+
+
+def test_enclosing_symbol_reads_tables_and_no_edges(spark):
+    read = QUERIES["enclosing_symbol"](spark, SF).inputFiles()
+    assert {f.rsplit("/", 1)[1] for f in read} >= {"part.parquet", "orders.parquet", "supplier.parquet"}
+    assert all(f.endswith(".parquet") and "/testdata/sf0.001/" in f for f in read) and not any("lineitem" in f for f in read)

@@ -1,6 +1,8 @@
 """Storage, scanning, extraction, linking and streams."""
 
 import json
+import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -253,3 +255,31 @@ def test_watcher_saves_by_count_or_time(spark, monkeypatch):
     assert len(saved) == 1 and w.status.unsaved == 0
     w.on_batch(batch(0))
     assert len(saved) == 1
+
+
+def test_enclosing_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i, f"s{i}", f"f{rng.randrange(3)}", a := rng.choice([rng.randrange(-80, 900), 8 ** rng.randrange(4)]), a + rng.choice([-1, 0, 7, 8, 63, 64, rng.randrange(700), 10**6])) for i in range(300)]
+    points = [(f"f{rng.randrange(4)}", rng.randrange(-100, 1200)) for _ in range(600)] + [("f0", 2**31 - 1), ("f0", -(2**31)), (None, 5), ("f0", None)]
+    s = spark.createDataFrame([*rows, (300, "whole", "f0", -(2**31), 2**31 - 1), (301, "none", "f1", None, 9)], "seq long, id string, file string, start_line int, end_line int")
+    rows.append((300, "whole", "f0", -(2**31), 2**31 - 1))
+    p = spark.createDataFrame(points, "file string, line int")
+    for narrowest in (True, False):
+        want = {}
+        for file, line in points:
+            around = [((e - a, n) if narrowest else n, i) for n, i, f, a, e in rows if f == file and line is not None and a <= line <= e]
+            if around:
+                want[file, line] = min(around)[1]
+        got = [((r["file"], r["line"]), r["source_id"]) for r in linking.enclosing(p, s, narrowest).collect()]
+        assert len(got) == len(want) and dict(got) == want
+
+
+def test_enclosing_of_a_large_file_takes_no_time_by_its_square(spark):
+    n = 60_000
+    s = spark.range(n).selectExpr("id AS seq", "concat('s', id) AS id", "'f' AS file", "CAST(10 * id AS INT) AS start_line", "CAST(10 * id + 8 AS INT) AS end_line")
+    points = spark.range(3 * n).selectExpr("'f' AS file", "CAST(4 * id AS INT) AS line")
+    plan = linking.enclosing(points, s)
+    began = time.time()
+    got = plan.agg(F.count("*").alias("n"), F.sum((F.concat(F.lit("s"), (F.col("line") / 10).cast("long")) == F.col("source_id")).cast("long")).alias("right")).first()
+    want = sum(4 * i % 10 <= 8 and 4 * i < 10 * n for i in range(3 * n))
+    assert (got["n"], got["right"]) == (want, want) and time.time() - began < 60
