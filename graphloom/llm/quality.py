@@ -26,6 +26,8 @@ table, or one without sound documents, gives distances of 0. Further columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -242,23 +244,41 @@ def _refit(factor: float):
     return run
 
 
-def _distance() -> Column:
-    d = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(DIMS)]
-    terms = [F.col(f"p{i}_{j}") * d[i] * d[j] * (1 if i == j else 2) for i, j in PAIRS]
+def _distance(of: str = "") -> Column:
+    d = [F.col(f"x{i}") - F.col(f"{of}m{i}") for i in range(DIMS)]
+    terms = [F.col(f"{of}p{i}_{j}") * d[i] * d[j] * (1 if i == j else 2) for i, j in PAIRS]
     return sum(terms[1:], terms[0])
 
 
+def _distances_of(vectors: DataFrame, current: DataFrame, few: bool) -> DataFrame:
+    """A row for each vector of the groups in current, with its distance far0, far1, ... from each of the group's candidates, null without."""
+    estimate = F.struct(*[c for c in current.columns if c not in ("group", "candidate", "logdet")])
+    beside = [F.first(F.when(F.col("candidate") == n, estimate), ignorenulls=True).alias(f"e{n}") for n in range(CANDIDATES)]
+    wide = current.groupBy("group").agg(*beside)
+    far = [_distance(f"e{n}.").alias(f"far{n}") for n in range(CANDIDATES)]
+    return vectors.join(F.broadcast(wide) if few else wide, "group").select("group", *far, *[f"x{i}" for i in range(DIMS)])
+
+
+def _moments(far: DataFrame, few: bool) -> DataFrame:
+    """(group, candidate, n, sums, sums of products) of the vectors within the COVERAGE share of each candidate."""
+    numbers = range(CANDIDATES)
+    limit = staged(far.groupBy("group").agg(*[F.percentile_approx(f"far{n}", COVERAGE, ACCURACY).alias(f"limit{n}") for n in numbers]))
+    near = [F.col(f"far{n}") <= F.col(f"limit{n}") for n in numbers]
+    values = {"n": F.lit(1)} | {f"s{i}": F.col(f"x{i}") for i in range(DIMS)} | {f"q{i}_{j}": F.col(f"x{i}") * F.col(f"x{j}") for i, j in PAIRS}
+    rows = far.join(F.broadcast(limit) if few else limit, "group").where(reduce(or_, near))
+    total = rows.groupBy("group").agg(*[F.sum(F.when(near[n], v)).alias(f"{name}of{n}") for n in numbers for name, v in values.items()])
+    each = [F.struct(F.lit(n).alias("candidate"), *[F.col(f"{name}of{n}").alias(name) for name in values]) for n in numbers]
+    return total.select("group", F.inline(F.array(*each))).where("n IS NOT NULL")
+
+
 def _whole_steps(vectors: DataFrame, candidates: DataFrame, few: bool, factor: float) -> DataFrame:
-    """The candidates (group, candidate, estimate) after steps over all vectors of their groups until none falls."""
-    spread = lambda t: F.broadcast(t) if few else t
+    """The candidates (group, candidate, estimate) after steps over all vectors of their groups until none falls.
+
+    A step meets each vector once, for all candidates of its group together.
+    """
     settled, current = None, staged(candidates.withColumn("logdet", F.lit(float("inf"))))
     while True:
-        far = vectors.join(spread(current.drop("logdet")), "group").select("group", "candidate", _distance().alias("far"), *[f"x{i}" for i in range(DIMS)])
-        limit = far.groupBy("group", "candidate").agg(F.percentile_approx("far", COVERAGE, ACCURACY).alias("limit"))
-        near = far.join(spread(staged(limit)), ["group", "candidate"]).where("far <= limit")
-        sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)]
-        sums += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in PAIRS]
-        total = near.groupBy("group", "candidate").agg(F.count("*").alias("n"), *sums)
+        total = _moments(_distances_of(vectors, current, few), few)
         fitted = staged(total.mapInPandas(_refit(factor), f"group string, candidate int, {ESTIMATE}"))
         was = current.select("group", "candidate", F.col("logdet").alias("was"))
         fitted = fitted.join(was, ["group", "candidate"])
