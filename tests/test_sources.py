@@ -275,7 +275,7 @@ def test_enclosing_against_brute_force(spark):
 
 
 def test_enclosing_of_a_large_file_takes_no_time_by_its_square(spark):
-    n = 60_000
+    n = 300_000
     s = spark.range(n).selectExpr("id AS seq", "concat('s', id) AS id", "'f' AS file", "CAST(10 * id AS INT) AS start_line", "CAST(10 * id + 8 AS INT) AS end_line")
     points = spark.range(3 * n).selectExpr("'f' AS file", "CAST(4 * id AS INT) AS line")
     plan = linking.enclosing(points, s)
